@@ -83,24 +83,26 @@ def window_start(k: Column, spec: WindowSpec) -> Column:
     return _accumulated_starts(float(spec.stride_sec))(k)
 
 
+def checked_duration(duration: Column) -> Column:
+    """A recording duration that is present, finite and not negative."""
+    return (
+        F.when(duration.isNull(), fail(SegmentationError, "Recording duration is missing"))
+        .when(
+            (duration < 0) | (duration == float("inf")),
+            fail(SegmentationError, "'recording_duration_sec' must be >= 0. Received: ", duration),
+        )
+        .otherwise(duration)
+    )
+
+
 def window_count(duration: Column, spec: WindowSpec) -> Column:
     """An upper bound, at most two too high, on the complete windows.
 
     The caller filters on ``start + window <= duration``, which decides.
     """
     size, stride = float(spec.window_size_sec), float(spec.stride_sec)
-    return (
-        F.when(duration.isNull(), fail(SegmentationError, "Recording duration is missing"))
-        .when(
-            duration < 0,
-            fail(SegmentationError, "'recording_duration_sec' must be >= 0. Received: ", duration),
-        )
-        .when(
-            duration == float("inf"),
-            fail(SegmentationError, "'recording_duration_sec' is infinite"),
-        )
-        .when(F.isnan(duration) | (duration < size), F.lit(0).cast("bigint"))
-        .otherwise(F.floor((duration - size) / stride).cast("bigint") + 2)
+    return F.when(F.isnan(duration) | (duration < size), F.lit(0).cast("bigint")).otherwise(
+        F.floor((duration - size) / stride).cast("bigint") + 2
     )
 
 

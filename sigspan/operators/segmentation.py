@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sigspan.functions.labeling import assign_label
 from sigspan.functions.windows import (
     WindowSpec,
+    checked_duration,
     ordered_end,
     overlap_ratio,
     shared_seconds,
@@ -36,7 +37,8 @@ def _blocks(recordings: DataFrame, spec: WindowSpec, key: str) -> DataFrame:
     """One row per block of windows, spread evenly over the cluster."""
     last = F.floor((F.col("_n") - 1) / BLOCK)
     return (
-        recordings.select("*", window_count(F.col(DURATION), spec).alias("_n"))
+        recordings.withColumn(DURATION, checked_duration(F.col(DURATION)))
+        .select("*", window_count(F.col(DURATION), spec).alias("_n"))
         # No windows give a null array, and explode drops those rows.
         .select("*", F.explode(F.when(F.col("_n") > 0, F.sequence(F.lit(0), last))).alias("_block"))
         # A fixed count: adaptive coalescing judges by bytes and would put the
@@ -86,7 +88,9 @@ def window_overlaps(
     cap = recordings.agg(F.max(window_count(F.col(DURATION), spec)).alias("n")).scalar()
     onset, end = F.col("onset_sec"), F.col("end_sec")
     # One window of slack on both sides absorbs rounding; the overlap decides.
-    first = F.greatest(F.coalesce(F.floor(F.least((onset - size) / stride, huge)), zero), zero)
+    first = F.when(onset.isNull(), zero).otherwise(
+        F.greatest(F.floor(F.least((onset - size) / stride, huge)), zero)
+    )
     last = F.least(F.floor(F.least(end / stride, huge)) + 1, F.col("_cap"))
     shared = shared_seconds(F.col("start_sec"), F.col("window_end_sec"), onset, F.col("interval_end_sec"))
     return (
