@@ -30,6 +30,11 @@ def default_channel_names(n_channels: int) -> list[str]:
     return [f"ch_{i:02d}" for i in range(1, n_channels + 1)]
 
 
+def channel_name(number: Column) -> Column:
+    """The default name of a channel number, as a column."""
+    return F.format_string("ch_%02d", number)
+
+
 def check_channel_names(names: Sequence[str]) -> list[str]:
     if not names:
         raise FeatureExtractionError("Signal must contain at least one channel.")
