@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,6 +82,9 @@ def stage_errors() -> Iterator[None]:
     """Re-raise tagged executor failures as the stage's own class."""
     try:
         yield
+    except AnalysisException:
+        # Its text quotes the plan, messages of unreached checks included.
+        raise
     except PySparkException as exc:
         tagged = _TAGGED.search(str(exc))
         if tagged is None:

@@ -33,26 +33,29 @@ def plain_path(uri: Column) -> Column:
     ).otherwise(uri)
 
 
-def entity(path: Column, key: str) -> Column:
+def name_parts(path: Column) -> Column:
+    return F.split(stem(path), "_")
+
+
+def entity(parts: Column, key: str) -> Column:
     """Value of the last ``key-value`` part, or null."""
     tag = f"{key}-"
-    parts = F.filter(F.split(stem(path), "_"), lambda p: p.startswith(tag))
-    return F.substr(F.try_element_at(parts, F.lit(-1)), F.lit(len(tag) + 1))
+    mine = F.filter(parts, lambda p: p.startswith(tag))
+    return F.substr(F.try_element_at(mine, F.lit(-1)), F.lit(len(tag) + 1))
 
 
-def suffix(path: Column) -> Column:
+def suffix(parts: Column) -> Column:
     """Last part without a dash, or null."""
-    parts = F.filter(F.split(stem(path), "_"), lambda p: ~p.contains("-"))
-    return F.try_element_at(parts, F.lit(-1))
+    return F.try_element_at(F.filter(parts, lambda p: ~p.contains("-")), F.lit(-1))
 
 
-def filename_fields(path: Column) -> list[Column]:
+def filename_fields(parts: Column) -> list[Column]:
     """The manifest's name-derived columns."""
     return [
-        F.concat(F.lit("sub-"), entity(path, "sub")).alias("subject"),
-        F.concat(F.lit("ses-"), entity(path, "ses")).alias("session"),
-        entity(path, "task").alias("task"),
-        entity(path, "run").alias("run"),
+        F.concat(F.lit("sub-"), entity(parts, "sub")).alias("subject"),
+        F.concat(F.lit("ses-"), entity(parts, "ses")).alias("session"),
+        entity(parts, "task").alias("task"),
+        entity(parts, "run").alias("run"),
     ]
 
 
@@ -62,9 +65,8 @@ def entities(path: Column) -> Column:
     The last of repeated keys wins, so earlier ones are removed before the map
     is built.
     """
-    parts = F.split(stem(path), "_")
     pairs = F.transform(
-        parts,
+        name_parts(path),
         lambda p: F.when(
             p.contains("-"),
             F.struct(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,13 +17,20 @@ NA_TOKENS = (
 )
 
 # White space as Unicode defines it, plus the four ASCII separators.
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_SPACE = r"[\s\x1c-\x1f]"
+_EDGE_SPACE = rf"(?U)^{_SPACE}+|{_SPACE}+$"
+_DIGITS = r"[0-9]+(?:_[0-9]+)*"
 _NUMBER = (
-    r"^[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?"
-    r"|(?i:inf|infinity|nan))$"
+    rf"(?U)^{_SPACE}*([+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+    rf"|(?i:inf|infinity|nan))){_SPACE}*$"
 )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, _EDGE_SPACE, "")
 
@@ -46,20 +55,23 @@ def coerce_non_negative(value: Column, field: str, missing: str = "open") -> Col
     A missing value becomes null, which later reads as an open bound;
     ``missing='error'`` rejects it instead. NaN also counts as missing.
     """
-    text = null_if_na(value.cast("string"))
-    trimmed = strip(text)
-    number = F.expr("CAST(NULL AS DOUBLE)")
-    cast = F.replace(trimmed, F.lit("_"), F.lit("")).try_cast("double")
-    absent = (
-        fail(EventsFileError, f"Missing value for '{field}'") if missing == "error" else number
-    )
-    return (
-        F.when(text.isNull(), absent)
-        .when(
-            ~trimmed.rlike(_NUMBER),
-            fail(EventsFileError, f"Non-numeric value for '{field}': ", text),
+    none = F.lit(None).cast("double")
+    absent = fail(EventsFileError, f"Missing value for '{field}'") if missing == "error" else none
+
+    def parsed(text: Column) -> Column:
+        return _let(
+            F.regexp_extract(text, _NUMBER, 1),
+            lambda number: F.when(
+                number == "", fail(EventsFileError, f"Non-numeric value for '{field}': ", text)
+            ).otherwise(F.replace(number, F.lit("_"), F.lit("")).try_cast("double")),
         )
-        .when(F.isnan(cast), absent)
-        .when(cast < 0, fail(EventsFileError, f"Negative value for '{field}': ", cast))
-        .otherwise(cast)
-    )
+
+    def checked(number: Column) -> Column:
+        return (
+            F.when(F.isnan(number), absent)
+            .when(number < 0, fail(EventsFileError, f"Negative value for '{field}': ", number))
+            .otherwise(number)
+        )
+
+    text = null_if_na(value.cast("string"))
+    return F.when(text.isNull(), absent).otherwise(_let(parsed(text), checked))

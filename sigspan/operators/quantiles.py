@@ -32,21 +32,30 @@ def melt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def exact_quantiles(long: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """Linearly interpolated quantiles of a ``melt`` result: (column, p, q)."""
-    edges = sorted(
-        {min(1.0, max(0.0, p + d)) for p in probabilities for d in (-MARGIN, MARGIN)}
-    )
-    # One row per column: as many rows as the caller named.
-    sketch = long.groupBy("column").agg(
+def _edges(probabilities: Sequence[float]) -> list[float]:
+    return sorted({min(1.0, max(0.0, p + d)) for p in probabilities for d in (-MARGIN, MARGIN)})
+
+
+def sketch_of(long: DataFrame, probabilities: Sequence[float], *extra: Column) -> DataFrame:
+    """One row per column: its count, the proposed edges and further aggregates."""
+    return long.groupBy("column").agg(
         F.count("*").alias("n"),
-        F.percentile_approx("v", edges, ACCURACY).alias("edges"),
+        F.percentile_approx("v", _edges(probabilities), ACCURACY).alias("edges"),
+        *extra,
     )
+
+
+def exact_quantiles(
+    long: DataFrame, probabilities: Sequence[float], sketch: DataFrame | None = None
+) -> DataFrame:
+    """Linearly interpolated quantiles of a ``melt`` result: (column, p, q)."""
+    if sketch is None:
+        sketch = sketch_of(long, probabilities)
     bucketed = long.join(F.broadcast(sketch.select("column", "edges")), "column").select(
         "column", "v", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("bucket")
     )
     sizes = bucketed.groupBy("column", "bucket").agg(F.count("*").alias("size"))
-    # At most len(edges) + 1 buckets per column.
+    # A column has one bucket more than edges.
     upto = Window.partitionBy("column").orderBy("bucket")
     ranks = sketch.select(
         "column", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p"), "n"
@@ -95,18 +104,19 @@ def describe(
     """
     long = melt(df, columns)
     std = F.stddev_samp("v") if sample_std else F.stddev_pop("v")
-    basic = long.groupBy("column").agg(
-        F.count("*").alias("count"),
+    sketch = sketch_of(
+        long,
+        list(names),
         F.avg("v").alias("mean"),
         std.alias("std"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
     )
     wide = (
-        exact_quantiles(long, list(names))
+        exact_quantiles(long, list(names), sketch)
         .groupBy("column")
         .agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for p, n in names.items()])
     )
-    return basic.join(F.broadcast(wide), "column").select(
-        "column", "count", "mean", "std", "min", *names.values(), "max"
+    return sketch.join(F.broadcast(wide), "column").select(
+        "column", F.col("n").alias("count"), "mean", "std", "min", *names.values(), "max"
     )

@@ -10,6 +10,8 @@ local explode.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,20 +35,32 @@ BLOCK = 256
 DURATION = "recording_duration_sec"
 
 
-def _blocks(recordings: DataFrame, spec: WindowSpec, key: str) -> DataFrame:
-    """One row per block of windows, spread evenly over the cluster."""
+def _blocks(recordings: DataFrame, spec: WindowSpec) -> DataFrame:
+    """One row per block of windows."""
     last = F.floor((F.col("_n") - 1) / BLOCK)
     return (
         recordings.withColumn(DURATION, checked_duration(F.col(DURATION)))
         .select("*", window_count(F.col(DURATION), spec).alias("_n"))
         # No windows give a null array, and explode drops those rows.
         .select("*", F.explode(F.when(F.col("_n") > 0, F.sequence(F.lit(0), last))).alias("_block"))
-        # A fixed count: adaptive coalescing judges by bytes and would put the
-        # tiny descriptors, and all windows they expand to, into one task.
-        .repartition(shuffle_partitions(recordings.sparkSession), key, "_block")
     )
 
 
+def _spread(blocks: DataFrame, key: str) -> DataFrame:
+    """Even hash spread of the blocks.
+
+    The count is fixed because adaptive coalescing judges by bytes: it would put
+    the tiny block rows, and all windows they expand to, into one task.
+    """
+    return blocks.repartition(shuffle_partitions(blocks.sparkSession), key, "_block")
+
+
+def _spread_in_order(blocks: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Even range spread of the blocks along the output order."""
+    keys = [F.col(c).asc_nulls_last() for c in (*order, "_block")]
+    return blocks.repartitionByRange(shuffle_partitions(blocks.sparkSession), *keys)
+
+
 def _block_windows() -> Column:
     first = F.col("_block") * BLOCK
     return F.sequence(first, F.least(first + (BLOCK - 1), F.col("_n") - 1))
@@ -62,7 +76,7 @@ def generate_time_windows(
 ) -> DataFrame:
     """All complete windows of each recording, with their bounds."""
     return (
-        _blocks(recordings, spec, key)
+        _spread(_blocks(recordings, spec), key)
         .select(*recordings.columns, F.explode(_block_windows()).alias("_k"))
         .select(*recordings.columns, *_bounds(spec))
         .where(F.col("end_sec") <= F.col(DURATION))
@@ -123,9 +137,16 @@ def total_overlaps(pairs: DataFrame, key: str = "path") -> DataFrame:
 
 
 def windows_with_overlap(
-    recordings: DataFrame, intervals: DataFrame, spec: WindowSpec, key: str = "path"
+    recordings: DataFrame,
+    intervals: DataFrame,
+    spec: WindowSpec,
+    key: str = "path",
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    """Every complete window with its total overlap in seconds (0 if untouched)."""
+    """Every complete window with its total overlap in seconds (0 if untouched).
+
+    With ``order``, partitions follow those columns; only blocks move for it.
+    """
     block = F.floor(F.col("_k") / BLOCK).alias("_block")
     touched = (
         total_overlaps(window_overlaps(intervals, recordings, spec, key), key)
@@ -140,10 +161,13 @@ def windows_with_overlap(
         F.array_except(_block_windows(), hits["_k"]), lambda k: F.struct(k.alias("_k"), zero)
     )
     keep = recordings.columns
+    blocks = _blocks(recordings, spec)
+    if order:
+        joined = _spread_in_order(blocks.join(touched, [key, "_block"], "left"), order)
+    else:
+        joined = _spread(blocks, key).join(touched, [key, "_block"], "left")
     return (
-        _blocks(recordings, spec, key)
-        .join(touched, [key, "_block"], "left")
-        .select(*keep, F.explode(F.concat(hits, untouched)).alias("_window"))
+        joined.select(*keep, F.explode(F.concat(hits, untouched)).alias("_window"))
         .select(*keep, F.col("_window._k"), F.col("_window.overlap_sec"))
         .select(*keep, "overlap_sec", *_bounds(spec))
         .where(F.col("end_sec") <= F.col(DURATION))
@@ -151,10 +175,14 @@ def windows_with_overlap(
 
 
 def windows_with_ratio(
-    recordings: DataFrame, intervals: DataFrame, spec: WindowSpec, key: str = "path"
+    recordings: DataFrame,
+    intervals: DataFrame,
+    spec: WindowSpec,
+    key: str = "path",
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Every complete window with the fraction that intervals cover."""
-    return windows_with_overlap(recordings, intervals, spec, key).withColumn(
+    return windows_with_overlap(recordings, intervals, spec, key, order).withColumn(
         "overlap_ratio",
         overlap_ratio(F.col("overlap_sec"), F.col("end_sec") - F.col("start_sec")),
     )
@@ -179,9 +207,16 @@ def optional_string(df: DataFrame, column: str) -> Column:
 
 
 def segments(
-    recordings: DataFrame, intervals: DataFrame, spec: WindowSpec, key: str = "path"
+    recordings: DataFrame,
+    intervals: DataFrame,
+    spec: WindowSpec,
+    key: str = "path",
+    ordered: bool = False,
 ) -> DataFrame:
-    """Kept windows in the segments schema, unsorted.
+    """Kept windows in the segments schema.
+
+    ``ordered`` gives the order of ``sort_segments`` without a sort of all
+    windows: their blocks are range-partitioned and each partition is sorted.
 
     The same policy as ``assign_label``, without its reason text and without a
     second range check: the ratio was checked when it was formed.
@@ -193,11 +228,12 @@ def segments(
         F.col(key).cast("string").alias(key),
         F.col(DURATION).cast("double").alias(DURATION),
     )
-    windows = windows_with_ratio(inputs, intervals, spec, key)
+    order = ("subject", key) if ordered else ()
+    windows = windows_with_ratio(inputs, intervals, spec, key, order)
     positive = F.col("overlap_ratio") >= spec.positive_overlap_threshold
     if spec.drop_partial_overlap:
         windows = windows.where(positive | (F.col("overlap_ratio") == 0))
-    return (
+    out = (
         windows.withColumns(
             {
                 "window_size_sec": F.lit(float(spec.window_size_sec)),
@@ -206,8 +242,13 @@ def segments(
             }
         ).select(*[c if c != "path" else key for c in SEGMENTS.fieldNames()])
     )
+    if not ordered:
+        return out
+    return out.sortWithinPartitions(
+        *[F.col(c).asc_nulls_last() for c in ("subject", key, "start_sec")]
+    )
 
 
 def sort_segments(df: DataFrame) -> DataFrame:
-    """Deterministic output order; nulls last."""
+    """The output order of any segments or features table; nulls last."""
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in SORT_KEYS])

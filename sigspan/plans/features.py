@@ -1,8 +1,9 @@
 """Segments table and recordings to the features table.
 
-Signals are never shuffled. Segments are grouped by recording and time block;
-a task reads just the byte ranges its segments cover. A long recording is
-therefore shared by many tasks, and neighbouring segments share one read.
+Neither signals nor feature rows are shuffled. The segments, which are small,
+are range-partitioned in output order; a task then holds neighbouring segments
+and reads just the byte ranges they cover. A long recording is shared by many
+tasks, and the features come out sorted.
 """
 
 from __future__ import annotations
@@ -17,14 +18,12 @@ from pyspark.sql import functions as F
 from sigspan.errors import FeatureDatasetBuilderError, fail, stage_errors
 from sigspan.operators.features import default_channel_names, feature_block, feature_names
 from sigspan.operators.segmentation import optional_string, sort_segments
-from sigspan.schemas import SEGMENT_KEYS, require_columns
+from sigspan.schemas import SEGMENT_KEYS, SORT_KEYS, require_columns
 from sigspan.session import shuffle_partitions
 from sigspan.sources.edf import EdfHeader, read_header, read_records, recording_headers
 from sigspan.sources.remote import open_file
 from sigspan.sources.tables import load_segments
 
-# Seconds of one recording that go to the same task.
-TIME_BLOCK_SEC = 900.0
 # Samples (all channels) decoded and transformed at a time.
 READ_SAMPLES = 1 << 21
 
@@ -131,7 +130,7 @@ def limit_segments(segments: DataFrame, max_segments: int | None) -> DataFrame:
 def segment_features(
     segments: DataFrame, relative_bandpower: bool = False, max_channels: int | None = None
 ) -> DataFrame:
-    """Wide features of every segment, unsorted.
+    """Wide features of every segment, in output order.
 
     Channels are numbered, so recordings with fewer channels leave nulls.
     ``max_channels`` saves the header scan when the width is known.
@@ -154,10 +153,10 @@ def segment_features(
         + ["start_sec double", "end_sec double", "label bigint"]
         + [f"{n} double" for n in feature_names(names)]
     )
-    block = F.floor(F.col("start_sec") / TIME_BLOCK_SEC)
+    order = [F.col(c).asc_nulls_last() for c in SORT_KEYS]
     return (
-        keys.repartition(shuffle_partitions(keys.sparkSession), F.col("path"), block)
-        .sortWithinPartitions("path", "start_sec")
+        keys.repartitionByRange(shuffle_partitions(keys.sparkSession), *order)
+        .sortWithinPartitions(*order)
         .mapInArrow(_segment_features(names, relative_bandpower), schema)
     )
 
@@ -169,9 +168,9 @@ def build_features_dataset(
     max_segments: int | None = None,
     max_channels: int | None = None,
 ) -> DataFrame:
-    """Features of a segments table, in its sort order."""
+    """Features of a segments table, sorted."""
     if isinstance(segments, str):
         segments = load_segments(spark, segments)
     limited = limit_segments(segments, max_segments)
-    return sort_segments(segment_features(limited, relative_bandpower, max_channels))
+    return segment_features(limited, relative_bandpower, max_channels)
 

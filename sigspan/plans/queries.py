@@ -97,12 +97,27 @@ def reason_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _labelled(spark, sf).groupBy("decision.reason").agg(F.count("*").alias("n"))
 
 
-def event_segments(spark: SparkSession, sf: str, spec: WindowSpec = HOURLY) -> DataFrame:
-    return seg.segments(tb.recordings(spark, sf), tb.intervals(spark, sf), spec)
+def segments_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    recordings, intervals = tb.recordings(spark, sf), tb.intervals(spark, sf)
+    return rounded(seg.segments(recordings, intervals, HOURLY, ordered=True))
 
 
-def segments_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    return seg.sort_segments(rounded(event_segments(spark, sf)))
+_stored: dict[tuple[str, str], str] = {}
+
+
+def event_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The segments as a stored table, which is what the checks read.
+
+    Written once per session; a check then scans only the columns it needs.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stored:
+        path = shared_dir(spark, "segments")
+        sinks.save_segments_dataset(
+            seg.segments(tb.recordings(spark, sf), tb.intervals(spark, sf), HOURLY), path
+        )
+        _stored[key] = path
+    return load_segments(spark, _stored[key])
 
 
 def first_segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,11 +161,12 @@ def _event_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parse_bids(spark: SparkSession, sf: str) -> DataFrame:
-    path = F.col("path")
-    return _event_names(spark, sf).select(
+    path, parts = F.col("path"), F.col("parts")
+    split = _event_names(spark, sf).select("*", bids.name_parts(path).alias("parts"))
+    return split.select(
         "event_id",
-        *bids.filename_fields(path),
-        bids.suffix(path).alias("suffix"),
+        *bids.filename_fields(parts),
+        bids.suffix(parts).alias("suffix"),
         bids.basename(path).alias("filename"),
     )
 
@@ -495,7 +511,7 @@ def feature_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 def stored_segments(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_dir(spark, "segments")
-    sinks.save_segments_dataset(rounded(event_segments(spark, sf)), path)
+    sinks.save_segments_dataset(segments_dataset(spark, sf), path)
     return load_segments(spark, path)
 
 

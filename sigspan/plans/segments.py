@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sigspan.errors import DatasetBuilderError, stage_errors
 from sigspan.functions.bids import EVENTS_SUFFIX, dirname, events_path
 from sigspan.functions.windows import WindowSpec
-from sigspan.operators.segmentation import segments, sort_segments
+from sigspan.operators.segmentation import segments
 from sigspan.schemas import SEGMENTS, require_columns
 from sigspan.sources.edf import recording_headers
 from sigspan.sources.events_tsv import read_seizure_intervals
@@ -77,4 +77,4 @@ def build_segments_dataset(
     # Read by two branches of the plan; one small row per recording.
     recordings = manifest.join(headers, "path").persist()
     intervals = recording_intervals(manifest, root, missing_bounds)
-    return sort_segments(segments(recordings, intervals, spec))
+    return segments(recordings, intervals, spec, ordered=True)

@@ -67,6 +67,12 @@ def read_events(spark: SparkSession, root: str, wanted: DataFrame | None = None)
     layouts = (
         headers.groupBy("header").agg(F.min("path").alias("sample")).orderBy("sample").collect()
     )
+    one_scan = whole and len(layouts) == 1
+    named: dict[str, list[str]] = {}
+    if not one_scan:
+        # A scan takes its file list from the driver in any case.
+        for row in headers.select("header", "path").toLocalIterator():
+            named.setdefault(row["header"], []).append(row["path"])
     parts = []
     for layout in layouts:
         columns = [name.strip().strip('"').strip() for name in layout["header"].split("\t")]
@@ -80,12 +86,7 @@ def read_events(spark: SparkSession, root: str, wanted: DataFrame | None = None)
             .options(sep="\t", header=True, escape='"', recursiveFileLookup=True)
             .option("pathGlobFilter", f"*{EVENTS_SUFFIX}")
         )
-        if whole and len(layouts) == 1:
-            rows = scan.csv(root)
-        else:
-            # A scan takes its file list from the driver in any case.
-            named = headers.where(F.col("header") == layout["header"]).select("path")
-            rows = scan.csv([r["path"] for r in named.toLocalIterator()])
+        rows = scan.csv(root if one_scan else named[layout["header"]])
         parts.append(
             rows.select(
                 plain_path(F.col("_metadata.file_path")).alias("path"),

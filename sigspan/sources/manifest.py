@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspan.errors import DatasetBuilderError
-from sigspan.functions.bids import EEG_SUFFIX, basename, entities, filename_fields, plain_path
+from sigspan.functions.bids import EEG_SUFFIX, basename, entities, filename_fields, name_parts, plain_path
 from sigspan.schemas import MANIFEST, require_columns
 from sigspan.sources.tables import existing
 
@@ -29,9 +29,12 @@ def list_recordings(spark: SparkSession, root: str) -> DataFrame:
 def with_filename_fields(paths: DataFrame) -> DataFrame:
     """Paths to manifest rows."""
     path = F.col("path")
-    return paths.select(
-        *filename_fields(path), basename(path).alias("filename"), path
-    ).select(*MANIFEST.fieldNames())
+    # The parts are used several times, so Spark keeps them as a column.
+    return (
+        paths.select(path, name_parts(path).alias("parts"))
+        .select(*filename_fields(F.col("parts")), basename(path).alias("filename"), path)
+        .select(*MANIFEST.fieldNames())
+    )
 
 
 def build_manifest(spark: SparkSession, root: str) -> DataFrame:

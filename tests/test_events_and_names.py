@@ -78,7 +78,8 @@ NAMES = [
 
 def test_filename_fields(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(NAMES)], "i int, p string")
-    fields = [*bids.filename_fields(F.col("p")), bids.suffix(F.col("p")).alias("suffix")]
+    parts = bids.name_parts(F.col("p"))
+    fields = [*bids.filename_fields(parts), bids.suffix(parts).alias("suffix")]
     got = [tuple(r) for r in df.orderBy("i").select(*fields).collect()]
     assert got == [
         ("sub-01", "ses-02", "szMonitoring", "00", "eeg"),
