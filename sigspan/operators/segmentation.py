@@ -152,14 +152,11 @@ def windows_with_overlap(
         total_overlaps(window_overlaps(intervals, recordings, spec, key), key)
         # At most BLOCK entries: the windows of a block are distinct by now.
         .groupBy(key, block)
-        .agg(F.collect_list(F.struct("_k", "overlap_sec")).alias("_hits"))
-    )
-    none = F.expr("CAST(array() AS ARRAY<STRUCT<_k: BIGINT, overlap_sec: DOUBLE>>)")
-    hits = F.coalesce(F.col("_hits"), none)
-    zero = F.lit(0.0).alias("overlap_sec")
-    untouched = F.transform(
-        F.array_except(_block_windows(), hits["_k"]), lambda k: F.struct(k.alias("_k"), zero)
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("_k", "overlap_sec"))).alias("_hits")
+        )
     )
+    overlap = F.coalesce(F.try_element_at("_hits", F.col("_k")), F.lit(0.0))
     keep = recordings.columns
     blocks = _blocks(recordings, spec)
     if order:
@@ -167,8 +164,8 @@ def windows_with_overlap(
     else:
         joined = _spread(blocks, key).join(touched, [key, "_block"], "left")
     return (
-        joined.select(*keep, F.explode(F.concat(hits, untouched)).alias("_window"))
-        .select(*keep, F.col("_window._k"), F.col("_window.overlap_sec"))
+        joined.select(*keep, "_hits", F.explode(_block_windows()).alias("_k"))
+        .select(*keep, "_k", overlap.alias("overlap_sec"))
         .select(*keep, "overlap_sec", *_bounds(spec))
         .where(F.col("end_sec") <= F.col(DURATION))
     )

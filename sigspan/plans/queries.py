@@ -99,7 +99,8 @@ def reason_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def segments_dataset(spark: SparkSession, sf: str) -> DataFrame:
     recordings, intervals = tb.recordings(spark, sf), tb.intervals(spark, sf)
-    return rounded(seg.segments(recordings, intervals, HOURLY, ordered=True))
+    out = seg.segments(recordings, intervals, HOURLY, ordered=True)
+    return out.withColumn("overlap_ratio", r("overlap_ratio"))
 
 
 _stored: dict[tuple[str, str], str] = {}

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspan.plans.testbed import SFREQ, table
 from sigspan.session import shared_dir
+from sigspan.sources.remote import create_file
 
 CHANNELS = 4
 SECONDS = 10
@@ -64,15 +64,11 @@ def _writer(root: str):
         labels = vectors.loc[vectors["channel"] == 0, "label"].to_numpy()
         subject = f"sub-{number % 5:02d}"
         name = f"{root}/{subject}/ses-01/eeg/{subject}_ses-01_task-monitor_run-{number:04d}"
-        system, inner = (
-            pafs.FileSystem.from_uri(name) if "://" in name else (pafs.LocalFileSystem(), name)
-        )
-        system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
         for ending, data in (
             ("_eeg.edf", _edf(signal)),
             ("_events.tsv", _tsv(labels < SEIZURE_LABELS, number % 2 == 1).encode()),
         ):
-            with system.open_output_stream(inner + ending) as out:
+            with create_file(name + ending) as out:
                 out.write(data)
         return pd.DataFrame({"name": [name]})
 

@@ -21,6 +21,13 @@ def open_file(path: str):
     return system.open_input_file(inner)
 
 
+def create_file(path: str):
+    """An output stream; missing folders are created."""
+    system, inner, _ = _resolve(path)
+    system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    return system.open_output_stream(inner)
+
+
 def find_files(path: str, ending: str) -> list[tuple[str, int]]:
     """(path, size) of one file, or of every matching file below a folder."""
     system, inner, prefix = _resolve(path)

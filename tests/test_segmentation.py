@@ -191,6 +191,6 @@ def test_window_rows_are_not_shuffled(spark):
     df = sg.segments(recordings(spark, {"p": 1e6}), intervals, WindowSpec())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
-    after_windows = plan.split("Generate explode(concat(")[0]
+    after_windows = plan.split("Generate explode(sequence(")[0]
     assert "Exchange" not in after_windows
     assert df.rdd.getNumPartitions() == 4
