@@ -25,7 +25,7 @@ STANDARD_BANDS: dict[str, tuple[float, float]] = {
 }
 
 # Samples transformed at a time, to bound the memory of a Python worker.
-CHUNK_SAMPLES = 1 << 20
+CHUNK_SAMPLES = 1 << 19
 
 
 def check_bands(sfreq: float, bands: Sequence[tuple[float, float]]) -> float:

@@ -25,7 +25,7 @@ from sigspan.sources.remote import open_file
 from sigspan.sources.tables import load_segments
 
 # Samples (all channels) decoded and transformed at a time.
-READ_SAMPLES = 1 << 21
+READ_SAMPLES = 1 << 19
 
 
 def _sample_bounds(header: EdfHeader, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -422,6 +422,23 @@ FILE_MANIFEST = f"""WITH {FILES_CTE}
 SELECT subject, 'ses-01' AS session, 'monitor' AS task, run, name || '_eeg.edf' AS filename
 FROM recs"""
 
+CHECKSUMS = f"""WITH {FILES_CTE},
+ln AS (
+  SELECT filename, rec, onset,
+         CASE WHEN rec % 2 = 1
+              THEN '1.0' || chr(9) || event_type || chr(9) || 'all' || chr(9)
+                   || CAST(onset AS BIGINT)
+              ELSE CAST(onset AS BIGINT) || chr(9) || '1.0' || chr(9) || event_type END AS line
+  FROM ann)
+SELECT filename,
+       md5(CASE WHEN rec % 2 = 1 THEN concat_ws(chr(9), 'duration', 'eventType', 'channels', 'onset')
+           ELSE concat_ws(chr(9), 'onset', 'duration', 'eventType ') END
+           || chr(10) || string_agg(line, chr(10) ORDER BY onset) || chr(10)) AS md5
+FROM ln GROUP BY filename, rec"""
+
+SEGMENT_AUDIT = f"""{SEGMENTS},
+{_summary_ctes("SELECT subject, run AS rec, label FROM segs")},{GLOBAL_CTE}"""
+
 NULLABLE = (
     "subject", "session", "run", "path", "recording_duration_sec", "start_sec", "end_sec",
     "window_size_sec", "stride_sec", "overlap_ratio", "label",
@@ -554,4 +571,28 @@ SELECT * EXCLUDE (rec) FROM fseg""",
     "sink_segments": f"{SEGMENTS} SELECT * FROM segs",
     "sink_csv": f"""WITH {RARE}
 SELECT subject, n_segments, n_positive, round(positive_ratio, 6) AS positive_ratio FROM summ""",
+    "sink_json": f"""{SEGMENT_AUDIT},{CONCENTRATION_CTE}
+SELECT gl.* REPLACE (round(global_positive_ratio, 6) AS global_positive_ratio,
+                     round(subject_positive_ratio, 6) AS subject_positive_ratio),
+       round(top_1_positive_share, 6) AS top_1_positive_share,
+       round(top_3_positive_share, 6) AS top_3_positive_share,
+       round(top_5_positive_share, 6) AS top_5_positive_share,
+       round(top_1_segment_share, 6) AS top_1_segment_share,
+       round(top_3_segment_share, 6) AS top_3_segment_share,
+       round(top_5_segment_share, 6) AS top_5_segment_share,
+       round((SELECT quantile_cont(CAST(n_segments AS DOUBLE), 0.5) FROM summ), 6)
+         AS median_segments,
+       total_subjects < 15 AS few_total_subjects, 'run' AS recording_column
+FROM gl, conc""",
+    "sink_markdown": f"""{SEGMENT_AUDIT}
+SELECT unnest(['total_segments', 'total_positive', 'total_negative', 'total_subjects',
+               'subjects_with_positive', 'subjects_without_positive']) AS name,
+       unnest([total_segments, total_positive, total_negative, total_subjects,
+               subjects_with_positive, subjects_without_positive]) AS n
+FROM gl""",
+    "src_checksums": CHECKSUMS,
+    "validate_dataset": """
+SELECT CAST(user_id AS VARCHAR) AS subject, CAST(event_type = 'error' AS BIGINT) AS label,
+       count(*) AS n
+FROM events GROUP BY ALL""",
 }

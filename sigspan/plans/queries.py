@@ -21,13 +21,14 @@ from sigspan.functions.windows import WindowSpec
 from sigspan.operators import audit, features, quality
 from sigspan.operators import segmentation as seg
 from sigspan.operators.intervals import extract_seizure_intervals, sort_intervals
+from sigspan.plans import inspection
 from sigspan.plans import testbed as tb
 from sigspan.plans import testbed_files as files
 from sigspan.plans.features import build_features_dataset, limit_segments
 from sigspan.plans.segments import build_segments_dataset
 from sigspan.session import shared_dir
 from sigspan.sinks import tables as sinks
-from sigspan.sources import edf
+from sigspan.sources import dataset_root, edf
 from sigspan.sources.events_tsv import read_events, read_seizure_intervals
 from sigspan.sources.manifest import build_manifest, load_manifest, recording_entities
 from sigspan.sources.tables import load_dataset, load_segments
@@ -113,7 +114,7 @@ def event_segments(spark: SparkSession, sf: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf)
     if key not in _stored:
-        path = shared_dir(spark, "segments")
+        path = shared_dir(spark, "segments") + ".parquet"
         sinks.save_segments_dataset(
             seg.segments(tb.recordings(spark, sf), tb.intervals(spark, sf), HOURLY), path
         )
@@ -289,6 +290,17 @@ def document_flags(spark: SparkSession, sf: str) -> DataFrame:
     return audit.risk_flags(_document_summary(spark, sf))
 
 
+def validated_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Padded subjects and three label values, the third being positive."""
+    label = F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "click", 1)
+    df = tb.table(spark, sf, "events").select(
+        F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit("\t")).alias("subject"),
+        label.otherwise(0).alias("label"),
+    )
+    valid = audit.validate_dataset(df, positive_label=2)
+    return valid.groupBy("subject", "label").agg(F.count("*").alias("n"))
+
+
 # --- quality ---------------------------------------------------------------------
 
 
@@ -516,6 +528,47 @@ def stored_segments(spark: SparkSession, sf: str) -> DataFrame:
     return load_segments(spark, path)
 
 
+def _inspected(spark: SparkSession, sf: str) -> str:
+    """Audit the stored segments into a report folder."""
+    folder = shared_dir(spark, "report")
+    event_segments(spark, sf)
+    config = inspection.InspectionConfig(_stored[spark.sparkContext.applicationId, sf], folder)
+    result = inspection.inspect(load_dataset(spark, config.input_path), config)
+    inspection.save(spark, result, config)
+    result.summary.unpersist()
+    return folder
+
+
+def json_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The JSON summary, read back."""
+    report = spark.read.option("multiLine", True).json(
+        f"{_inspected(spark, sf)}/inspection_summary.json"
+    )
+    flat = report.select(
+        "global_summary.*",
+        "concentration.*",
+        F.col("distribution_stats.n_segments_per_subject.median").alias("median_segments"),
+        "risk_flags.few_total_subjects",
+        F.col("metadata.recording_column_used").alias("recording_column"),
+    )
+    return rounded(flat)
+
+
+def markdown_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts of the Markdown report, read back line by line."""
+    lines = spark.read.text(f"{_inspected(spark, sf)}/inspection_report.md")
+    pattern = r"^- \*\*((?:total|subjects)_[a-z_]+)\*\*: ([0-9]+)$"
+    return lines.where(F.col("value").rlike(pattern)).select(
+        F.regexp_extract("value", pattern, 1).alias("name"),
+        F.regexp_extract("value", pattern, 2).cast("bigint").alias("n"),
+    )
+
+
+def checksums(spark: SparkSession, sf: str) -> DataFrame:
+    found = dataset_root.file_checksums(spark, files.recording_tree(spark, sf), "*_events.tsv")
+    return _named(found)
+
+
 def csv_summary(spark: SparkSession, sf: str) -> DataFrame:
     """The subject summary through its CSV file."""
     path = shared_dir(spark, "summary") + ".csv"
@@ -595,4 +648,8 @@ SPARK_QUERIES: dict[str, Query] = {
     "sink_feature_parts": feature_parts,
     "sink_segments": stored_segments,
     "sink_csv": csv_summary,
+    "sink_json": json_report,
+    "sink_markdown": markdown_counts,
+    "src_checksums": checksums,
+    "validate_dataset": validated_labels,
 }
