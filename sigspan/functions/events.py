@@ -18,7 +18,7 @@ NA_TOKENS = (
 
 # White space as Unicode defines it, plus the four ASCII separators.
 _SPACE = r"[\s\x1c-\x1f]"
-_EDGE_SPACE = rf"(?U)^{_SPACE}+|{_SPACE}+$"
+WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
 _NUMBER = (
     rf"(?U)^{_SPACE}*([+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
@@ -32,7 +32,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def null_if_na(text: Column) -> Column:

@@ -104,8 +104,12 @@ def by_length(column: pa.Array, width: int, kernel) -> np.ndarray:
         step = max(1, CHUNK_SAMPLES // int(length))
         for at in range(0, rows.size, step):
             part = rows[at : at + step]
-            picks = offsets[part][:, None] + np.arange(length)
-            out[part] = kernel(samples[picks].astype(np.float64, copy=False))
+            if part.size == part[-1] - part[0] + 1:
+                # Neighbouring signals of one length are a matrix already.
+                block = samples[offsets[part[0]] : offsets[part[-1] + 1]].reshape(-1, length)
+            else:
+                block = samples[offsets[part][:, None] + np.arange(length)]
+            out[part] = kernel(block.astype(np.float64, copy=False))
     return out
 
 
@@ -120,7 +124,7 @@ def compute_bandpower(
         kernel = lambda x: band_powers(x, sfreq, [(fmin, fmax)], relative)
         return pa.array(by_length(column, 1, kernel)[:, 0])
 
-    return power(signal.cast("array<double>"))
+    return power(signal)
 
 
 def compute_standard_bandpowers(signal: Column, sfreq: float, relative: bool = False) -> Column:
@@ -134,4 +138,4 @@ def compute_standard_bandpowers(signal: Column, sfreq: float, relative: bool = F
         values = by_length(column, len(bands), lambda x: band_powers(x, sfreq, bands, relative))
         return pa.StructArray.from_arrays([pa.array(v) for v in values.T], names)
 
-    return powers(signal.cast("array<double>"))
+    return powers(signal)

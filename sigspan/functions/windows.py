@@ -6,6 +6,7 @@ refer to a window by an integer instead of comparing floating-point bounds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,28 +46,28 @@ class WindowSpec:
 def _accumulated_starts(stride: float, every: int = 4096):
     """Starts obtained by adding the stride again and again.
 
-    Only every ``every``-th start is remembered; a batch recomputes the blocks
-    it needs with a running sum, which adds in the same order.
+    Only every ``every``-th start is remembered, across the batches of a task; a
+    batch recomputes the blocks it needs with a running sum, which adds in the
+    same order.
     """
 
+    def block(start: float, length: int) -> np.ndarray:
+        steps = np.full(length, stride)
+        steps[0] = start
+        return np.cumsum(steps)
+
     @F.pandas_udf("double")
-    def starts(k: pd.Series) -> pd.Series:
-        number = k.to_numpy()
-        if number.size == 0:
-            return pd.Series([], dtype=float)
+    def starts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         marks = [0.0]
-        for _ in range(int(number.max()) // every):
-            steps = np.full(every + 1, stride)
-            steps[0] = marks[-1]
-            marks.append(float(np.cumsum(steps)[-1]))
-        block, offset = number // every, number % every
-        out = np.empty(number.size)
-        for b in np.unique(block):
-            steps = np.full(every, stride)
-            steps[0] = marks[b]
-            here = block == b
-            out[here] = np.cumsum(steps)[offset[here]]
-        return pd.Series(out)
+        for k in batches:
+            number, offset = np.divmod(k.to_numpy(), every)
+            out = np.empty(number.size)
+            for b in np.unique(number):
+                while len(marks) <= b:
+                    marks.append(float(block(marks[-1], every + 1)[-1]))
+                here = number == b
+                out[here] = block(marks[b], every)[offset[here]]
+            yield pd.Series(out)
 
     return starts
 

@@ -129,7 +129,7 @@ def _extract(
         )
 
     rest = [c for c in df.columns if c != signal]
-    values = extract(F.col(signal).cast("array<array<double>>")).alias("_features")
+    values = extract(F.col(signal)).alias("_features")
     return df.select(*rest, values).select(
         *rest, *[F.col("_features")[i].alias(name) for i, name in enumerate(columns)]
     )

@@ -353,7 +353,7 @@ def negative_power(spark: SparkSession, sf: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return tb.table(spark, sf, "embeddings").select(
-        "vec_id", F.col("embedding").cast("array<double>").alias("x"), "label"
+        "vec_id", F.col("embedding").alias("x"), "label"
     )
 
 
@@ -420,7 +420,7 @@ def crop(spark: SparkSession, sf: str) -> DataFrame:
     return _vectors(spark, sf).select("vec_id", part.alias("part")).select(
         "vec_id",
         F.size("part").alias("n_samples"),
-        r(F.col("part")[0], 9).alias("first"),
+        r(F.col("part")[0].cast("double"), 9).alias("first"),
         r(F.aggregate("part", F.lit(0.0), lambda t, v: t + v), 9).alias("total"),
     )
 

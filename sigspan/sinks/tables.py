@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sigspan.errors import stage_errors
 from sigspan.functions.bids import stem
-from sigspan.session import shuffle_partitions
 
 
 def save_parquet(df: DataFrame, path: str) -> None:
@@ -19,23 +18,16 @@ save_segments_dataset = save_parquet
 save_features_dataset = save_parquet
 
 
-def save_feature_parts(features: DataFrame, folder: str, spread: int = 1) -> None:
+def save_feature_parts(features: DataFrame, folder: str) -> None:
     """One subfolder per recording, so that readers prune by recording.
 
     The subfolder carries the recording's file name; the path stays a column.
-    ``spread`` > 1 shares a recording among that many writers.
+    Built features arrive ordered by recording, so they are written where they
+    are: a task meets few recordings, and a long recording has several writers.
     """
-    salt = F.pmod(F.xxhash64("start_sec"), F.lit(spread))
     parts = features.withColumn("recording", stem(F.col("path")))
     with stage_errors():
-        (
-            parts.repartition(
-                shuffle_partitions(features.sparkSession), F.col("recording"), salt
-            )
-            .write.mode("overwrite")
-            .partitionBy("recording")
-            .parquet(folder)
-        )
+        parts.write.mode("overwrite").partitionBy("recording").parquet(folder)
 
 
 def save_csv(df: DataFrame, path: str) -> None:

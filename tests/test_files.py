@@ -174,7 +174,7 @@ def test_features_from_files(spark, tree, tmp_path):
     for bad in (0, -1):
         with pytest.raises(FeatureDatasetBuilderError):
             build_features_dataset(spark, segments, max_segments=bad)
-    save_feature_parts(features, str(tmp_path / "parts"), spread=2)
+    save_feature_parts(features, str(tmp_path / "parts"))
     back = spark.read.parquet(str(tmp_path / "parts"))
     assert back.count() == len(rows) and back.select("recording").distinct().count() == 3
 
