@@ -63,7 +63,8 @@ def read_events(spark: SparkSession, root: str, wanted: DataFrame | None = None)
     whole = wanted is None or files.join(wanted, "path", "left_anti").isEmpty()
     if not whole:
         files = files.join(wanted, "path", "left_semi")
-    headers = scan_headers(files).where("has_rows")
+    # Asked twice; one short row per file.
+    headers = scan_headers(files).where("has_rows").persist()
     layouts = (
         headers.groupBy("header").agg(F.min("path").alias("sample")).orderBy("sample").collect()
     )
@@ -71,8 +72,9 @@ def read_events(spark: SparkSession, root: str, wanted: DataFrame | None = None)
     named: dict[str, list[str]] = {}
     if not one_scan:
         # A scan takes its file list from the driver in any case.
-        for row in headers.select("header", "path").toLocalIterator():
+        for row in headers.select("header", "path").collect():
             named.setdefault(row["header"], []).append(row["path"])
+    headers.unpersist()
     parts = []
     for layout in layouts:
         columns = [name.strip().strip('"').strip() for name in layout["header"].split("\t")]
