@@ -9,6 +9,7 @@ sketch makes the bracket wider, never the answer wrong.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,8 +52,11 @@ def exact_quantiles(
     """Linearly interpolated quantiles of a ``melt`` result: (column, p, q)."""
     if sketch is None:
         sketch = sketch_of(long, probabilities)
+    above_edge = [
+        (F.col("edges")[i] < F.col("v")).cast("int") for i in range(len(_edges(probabilities)))
+    ]
     bucketed = long.join(F.broadcast(sketch.select("column", "edges")), "column").select(
-        "column", "v", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("bucket")
+        "column", "v", reduce(Column.__add__, above_edge).alias("bucket")
     )
     sizes = bucketed.groupBy("column", "bucket").agg(F.count("*").alias("size"))
     # A column has one bucket more than edges.
