@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException, PySparkException, PythonException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,7 +86,9 @@ def stage_errors() -> Iterator[None]:
         # Its text quotes the plan, messages of unreached checks included.
         raise
     except PySparkException as exc:
-        tagged = _TAGGED.search(str(exc))
-        if tagged is None:
+        tagged = _TAGGED.findall(str(exc))
+        if not tagged:
             raise
-        raise STAGE_ERRORS[tagged.group(1)](tagged.group(2)) from exc
+        # A worker's traceback names the cause first and the raised error last.
+        name, message = tagged[-1 if isinstance(exc, PythonException) else 0]
+        raise STAGE_ERRORS[name](message) from exc

@@ -26,7 +26,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def markdown_table(columns: list[str], rows: list[tuple]) -> str:
-    """Pipe table; floats to four digits, numbers flush right."""
+    """Pipe table; floats to four digits, numbers aligned at the decimal point."""
     if not rows:
         return "_No data_\n"
 
@@ -42,7 +42,12 @@ def markdown_table(columns: list[str], rows: list[tuple]) -> str:
         all(isinstance(row[i], (int, float)) and not isinstance(row[i], bool) for row in rows)
         for i in range(len(columns))
     ]
-    width = [max(len(r[i]) for r in [columns, *body]) for i in range(len(columns))]
+    for i in (i for i, is_number in enumerate(numeric) if is_number):
+        tails = [len(r[i]) - len(r[i].split(".")[0]) for r in body]
+        for r, tail in zip(body, tails):
+            r[i] += " " * (max(tails) - tail)
+    # Headers get two spaces more than their text.
+    width = [max(len(c) + 2, *(len(r[i]) for r in body)) for i, c in enumerate(columns)]
 
     def line(cells: list[str]) -> str:
         padded = [

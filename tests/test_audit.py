@@ -209,3 +209,16 @@ def test_load_dataset_dispatch(spark, tmp_path):
     ):
         with pytest.raises(DatasetInspectionError, match=message):
             load_dataset(spark, str(tmp_path / name))
+
+
+def test_markdown_table_layout():
+    from sigspan.sinks.report import markdown_table
+
+    rows = [("sub-15", 28792, 0.013858016115587663, True), ("sub-05", 280, 0.003988888097442838, False)]
+    assert markdown_table(["subject", "n_segments", "positive_ratio", "has_positive"], rows) == (
+        "| subject   |   n_segments |   positive_ratio | has_positive   |\n"
+        "|:----------|-------------:|-----------------:|:---------------|\n"
+        "| sub-15    |        28792 |           0.0139 | True           |\n"
+        "| sub-05    |          280 |           0.004  | False          |\n"
+    )
+    assert markdown_table(["a"], []) == "_No data_\n"

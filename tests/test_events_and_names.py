@@ -100,10 +100,10 @@ def test_entities(spark):
 
 
 def test_events_path(spark):
-    paths = ["/a_eeg.edf/sub-1_eeg.edf", "x_eeg.edf_eeg.edf", "sub-01_ses-01_task-chb01_01_eeg.edf"]
+    paths = ["/a_eeg.edf/sub-1_eeg.edf", "x_eeg.edf_eeg.edf", "sub-01_ses-01_task-rec01_01_eeg.edf"]
     assert column(spark, paths, bids.events_path) == [
         "/a_eeg.edf/sub-1_events.tsv", "x_events.tsv_events.tsv",
-        "sub-01_ses-01_task-chb01_01_events.tsv",
+        "sub-01_ses-01_task-rec01_01_events.tsv",
     ]
     for bad in ("sub-1.edf", None):
         with pytest.raises(DatasetBuilderError):

@@ -194,3 +194,18 @@ def test_window_rows_are_not_shuffled(spark):
     after_windows = plan.split("Generate explode(sequence(")[0]
     assert "Exchange" not in after_windows
     assert df.rdd.getNumPartitions() == 4
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_a_dominant_recording_is_spread(spark, ordered):
+    """One recording with almost all windows and intervals fills every partition."""
+    rec = recordings(spark, {"hot": 400_000.0, "cold": 60.0})
+    rows = spark.range(0, 40_000).selectExpr(
+        "'hot' AS path", "CAST(id * 10 AS DOUBLE) AS onset_sec", "CAST(id * 10 + 4 AS DOUBLE) AS end_sec"
+    )
+    df = sg.segments(rec, rows, WindowSpec(), ordered=ordered)
+    sizes = [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 80_012 and len(sizes) == 4 and max(sizes) < 0.4 * sum(sizes)
+    if ordered:
+        got = [(r.path, r.start_sec) for r in df.select("path", "start_sec").collect()]
+        assert got == sorted(got)
