@@ -25,12 +25,15 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), r"^(.+)\.[^.]+$", "$1")
 
 
-def plain_path(uri: Column) -> Column:
-    """Undo the URI form Spark reports for local files (``file:/a%20b``)."""
-    local = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
-    return F.when(
-        uri.startswith("file:"), F.regexp_replace(local, r"^file:/+", "/")
-    ).otherwise(uri)
+def plain_path(uri: Column, encoded: bool = True) -> Column:
+    """A local path without its scheme; other URIs stay as they are.
+
+    ``_metadata.file_path`` is percent-encoded, listed paths are not.
+    """
+    text = uri
+    if encoded:
+        text = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return F.when(uri.startswith("file:"), F.regexp_replace(text, r"^file:/+", "/")).otherwise(uri)
 
 
 def name_parts(path: Column) -> Column:

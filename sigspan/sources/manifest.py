@@ -18,7 +18,7 @@ def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .load(root)
-        .select(plain_path(F.col("path")).alias("path"))
+        .select(plain_path(F.col("path"), encoded=False).alias("path"))
     )
 
 

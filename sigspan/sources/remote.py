@@ -10,7 +10,8 @@ import pyarrow.fs as pafs
 def _resolve(path: str) -> tuple[pafs.FileSystem, str, str]:
     """File system, path inside it, and the prefix that makes it a URI again."""
     if re.match(r"^[a-z][a-z0-9+.-]*://", path):
-        system, inner = pafs.FileSystem.from_uri(path)
+        # Spark and Arrow name the same object store differently.
+        system, inner = pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
         return system, inner, path[: path.index(inner)]
     return pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", path), ""
 

@@ -36,7 +36,8 @@ EVENTS = {
 
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
-    root = tmp_path_factory.mktemp("bids tree")
+    # A folder name that looks like an encoded URI.
+    root = tmp_path_factory.mktemp("bids tree+50%25")
     paths = make_tree(root, {k: (SIGNALS[k], SFREQ, EVENTS[k]) for k in SIGNALS})
     return root, paths
 
