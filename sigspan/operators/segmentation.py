@@ -88,36 +88,56 @@ def _cut(first: Column, last: Column) -> Column:
     return F.when(first <= last, F.sequence(first, last, F.lit(BLOCK).cast("bigint")))
 
 
+def _capped(
+    intervals: DataFrame, recordings: DataFrame, spec: WindowSpec, key: str
+) -> DataFrame:
+    """Intervals with ``_cap``, the last window number worth looking at.
+
+    An interval of at most BLOCK strides needs no cap: windows past the end of
+    the recording find no block later. Longer and open-ended ones are cut at
+    their own recording; valid data holds few of them per recording, because
+    they may not overlap.
+    """
+    onset, end = F.col("onset_sec"), F.col("end_sec")
+    brief = F.coalesce(end - onset <= BLOCK * float(spec.stride_sec), F.lit(False))
+    # Brief intervals get a key that matches nothing and spreads evenly.
+    nowhere = F.concat(F.lit("\t"), F.xxhash64(key, onset, end).cast("string"))
+    own = F.when(brief, nowhere).otherwise(F.col(key).cast("string")).alias("_own")
+    lengths = recordings.groupBy(F.col(key).cast("string").alias("_own")).agg(
+        F.max(window_count(F.col(DURATION), spec)).alias("_cap")
+    )
+    return (
+        intervals.select(key, onset, ordered_end(onset, end).alias("end_sec"))
+        .select("*", brief.alias("_brief"), own)
+        .join(lengths, "_own", "left")
+        .where(F.col("_brief") | F.col("_cap").isNotNull())
+        .select(key, onset, end, F.coalesce("_cap", F.lit(2**53).cast("bigint")).alias("_cap"))
+    )
+
+
 def window_overlaps(
     intervals: DataFrame, recordings: DataFrame, spec: WindowSpec, key: str = "path"
 ) -> DataFrame:
     """One row per (window, interval) pair that shares time.
 
-    The pairs are found by arithmetic on the interval's own row: no join. The
-    longest recording caps the expansion of open-ended intervals; that cap is a
-    one-row scalar.
+    The pairs are found by arithmetic on the interval's own row, not by a join
+    with the windows. Pairs past the end of the recording may be among them.
     """
     size, stride = float(spec.window_size_sec), float(spec.stride_sec)
     zero, huge = F.lit(0).cast("bigint"), F.lit(2.0**53)
-    cap = recordings.agg(F.max(window_count(F.col(DURATION), spec)).alias("n")).scalar()
     onset, end = F.col("onset_sec"), F.col("end_sec")
+    window_end, interval_end = F.col("window_end_sec"), F.col("interval_end_sec")
     # One window of slack on both sides absorbs rounding; the overlap decides.
     first = F.when(onset.isNull(), zero).otherwise(
         F.greatest(F.floor(F.least((onset - size) / stride, huge)), zero)
     )
     last = F.least(F.floor(F.least(end / stride, huge)) + 1, F.col("_cap"))
-    shared = shared_seconds(F.col("start_sec"), F.col("window_end_sec"), onset, F.col("interval_end_sec"))
+    shared = shared_seconds(F.col("start_sec"), window_end, onset, interval_end)
+    to = F.least(F.col("_from") + (BLOCK - 1), F.col("_last_k"))
     return (
-        intervals.select(key, onset, ordered_end(onset, end).alias("end_sec"), cap.alias("_cap"))
+        _capped(intervals, recordings, spec, key)
         .select("*", last.alias("_last_k"), F.explode(_cut(first, last)).alias("_from"))
-        .select(
-            key,
-            onset,
-            end,
-            F.explode(
-                F.sequence(F.col("_from"), F.least(F.col("_from") + (BLOCK - 1), F.col("_last_k")))
-            ).alias("_k"),
-        )
+        .select(key, onset, end, F.explode(F.sequence(F.col("_from"), to)).alias("_k"))
         .select(
             key,
             "_k",
@@ -158,11 +178,10 @@ def windows_with_overlap(
     )
     overlap = F.coalesce(F.try_element_at("_hits", F.col("_k")), F.lit(0.0))
     keep = recordings.columns
-    blocks = _blocks(recordings, spec)
-    if order:
-        joined = _spread_in_order(blocks.join(touched, [key, "_block"], "left"), order)
-    else:
-        joined = _spread(blocks, key).join(touched, [key, "_block"], "left")
+    joined = _blocks(recordings, spec).join(touched, [key, "_block"], "left")
+    # Spread after the join: whatever way the join runs, the explode below then
+    # starts from evenly filled partitions.
+    joined = _spread_in_order(joined, order) if order else _spread(joined, key)
     return (
         joined.select(*keep, "_hits", F.explode(_block_windows()).alias("_k"))
         .select(*keep, "_k", overlap.alias("overlap_sec"))
