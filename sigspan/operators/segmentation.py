@@ -50,9 +50,12 @@ def _spread(blocks: DataFrame, key: str) -> DataFrame:
     """Even hash spread of the blocks.
 
     The count is fixed because adaptive coalescing judges by bytes: it would put
-    the tiny block rows, and all windows they expand to, into one task.
+    the tiny block rows, and all windows they expand to, into one task. The key
+    is a hash of its own, since Spark drops a repartition that repeats the
+    partitioning of the join below it.
     """
-    return blocks.repartition(shuffle_partitions(blocks.sparkSession), key, "_block")
+    slot = F.xxhash64(key, "_block")
+    return blocks.repartition(shuffle_partitions(blocks.sparkSession), slot)
 
 
 def _spread_in_order(blocks: DataFrame, order: Sequence[str]) -> DataFrame:
