@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigspan.session import shared_dir
 
@@ -65,3 +66,11 @@ def batches(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
 def id_order(name: str = "doc_id"):
     """A fixed pseudo-random 31-bit number of an id; null has one too."""
     return F.xxhash64(F.col(name)).bitwiseAND(F.lit((1 << 31) - 1))
+
+
+def schema_of(df: DataFrame, **more: str | T.DataType) -> T.StructType:
+    """df's schema with more fields; adding to df.schema would change df itself."""
+    found = T.StructType(list(df.schema.fields))
+    for name, kind in more.items():
+        found.add(name, kind)
+    return found

@@ -26,9 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sigspan.llm.common import id_order, slices
+from sigspan.llm.common import batches, id_order, schema_of
 
 TRAIN_CHARS = 32_768
 TRAIN_TOTAL = 1 << 20
@@ -100,10 +99,14 @@ class Parser:
         self.code[ord(" ")] = _GAP
         for i, letter in enumerate(letters):
             self.code[ord(letter)] = i + 1
+        self.made_of = letters, automata
         automata = sorted(automata, key=lambda a: a[0])
         self.languages = [name for name, _, _ in automata]
         self.bits = np.array([np.log2(max(size, 2)) for _, _, size in automata])
-        self.tables = [step_table(*e, int(e[2].max(initial=0)) + 1) for _, e, _ in automata]
+        self.tables = [step_table(*e.astype(np.int64), int(e[2].max(initial=0)) + 1) for _, e, _ in automata]
+
+    def __reduce__(self):
+        return Parser, self.made_of  # transitions are sent, tables are made where they are used
 
     def codes(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(folded(text).encode("utf-32-le", "replace"), np.uint32)]
@@ -210,14 +213,12 @@ def train(labelled: DataFrame, train_chars: int = TRAIN_CHARS) -> Parser:
 
 
 def _from_rows(letters: str, rows) -> Parser:
-    automata = [(r["lang"], np.frombuffer(r["edges"], np.int32).reshape(3, -1).astype(np.int64), r["size"]) for r in rows]
+    automata = [(r["lang"], np.frombuffer(r["edges"], np.int32).reshape(3, -1), r["size"]) for r in rows]
     return Parser(letters, automata)
 
 
 Parser.from_rows = staticmethod(_from_rows)
 
-PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-
 
 def identify(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFrame:
     """docs with columns lang_pred and score; both replace columns of these names."""
@@ -225,20 +226,16 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFr
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(parser)
 
-    @F.pandas_udf(PREDICTED)
-    def predicted(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def predicted(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = shared.value
-        for column in columns:
-            texts = [t if isinstance(t, str) else None for t in column]
-            names, scores = [], []
-            for first, end in slices(np.array([len(t or "") for t in texts], np.int64)):
-                some = ready.predict(texts[first:end])
-                names += some[0]
-                scores.append(some[1])
-            yield pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores) if scores else []})
-
-    found = docs.drop("lang_pred", "score").withColumn("_p", predicted(F.col(text)))
-    return found.select("*", "_p.lang_pred", "_p.score").drop("_p")
+        for batch in arrow:
+            for part in batches(batch, text):
+                names, scores = ready.predict(part.column(text).to_pylist())
+                part = part.append_column("lang_pred", pa.array(names, pa.string()))
+                yield part.append_column("score", pa.array(scores))
+
+    docs = docs.drop("lang_pred", "score")
+    return docs.mapInArrow(predicted, schema_of(docs, lang_pred="string", score="double"))
 
 
 def held_out(doc_id: str = "doc_id"):

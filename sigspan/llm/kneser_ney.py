@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspan.llm.common import slices, stored, text_bytes
+from sigspan.llm.common import schema_of, slices, stored, text_bytes
 from sigspan.session import shuffle_partitions
 
 ORDER = 5
@@ -177,7 +177,7 @@ def perplexities(model: Model, docs: DataFrame) -> DataFrame:
     asked = stored(asked, "kn-asked")
     found = model.probabilities(asked.select("gram").distinct())
     answers = asked.join(found, "gram")
-    schema = docs.drop("text").schema.add("perplexity", "double")
+    schema = schema_of(docs.drop("text"), perplexity="double")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_add_up, schema)
 
 

@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigspan.llm.common import slices
+from sigspan.llm.common import schema_of, slices, text_bytes
 
-CACHED_PIECES = 300_000  #: pieces whose tokens a worker remembers; then it forgets them
-SLICE_CHARS = 8 << 20  #: characters whose words share one pair index
+CACHED_PIECES = 100_000  #: pieces whose tokens a worker remembers; then it forgets them
+SLICE_BYTES = 4 << 20  #: text whose words share one pair index
 _CONTROL = regex.compile(r"[\x1c-\x1f]")
 _SPACE = "[\\t-\\r\\x85 \\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
@@ -252,7 +252,6 @@ ENCODED = T.StructType(
         T.StructField("decoded", T.StringType()),
     ]
 )
-DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _shipped(df: DataFrame, vocabulary: str) -> str:
@@ -261,12 +260,15 @@ def _shipped(df: DataFrame, vocabulary: str) -> str:
     return vocabulary.rstrip("/").rsplit("/", 1)[-1]
 
 
-def _encode_column(column: pd.Series, encoder: Encoder) -> Iterator[tuple[str, int, str]]:
-    texts = [t if isinstance(t, str) else "" for t in column]
+def _encoded(column: pa.Array, name: str) -> Iterator[tuple[pa.Array, list[tuple[str, int, str]]]]:
+    """Pieces of a text column with what the encoder gives for them."""
+    encoder = _encoder(name)
     gc.disable()  # many small tuples and no cycles: scanning them costs a third of the time
     try:
-        for first, end in slices(np.array([len(t) for t in texts], np.int64), SLICE_CHARS):
-            yield from encoder.encode(texts[first:end])
+        _, offsets = text_bytes(column)
+        for first, end in slices(np.diff(offsets), SLICE_BYTES):
+            part = column.slice(first, end - first)
+            yield part, list(encoder.encode([t or "" for t in part.to_pylist()]))
     finally:
         gc.enable()
 
@@ -278,7 +280,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     @F.pandas_udf(ENCODED)
     def encoded(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in columns:
-            yield pd.DataFrame(list(_encode_column(column, _encoder(name))), columns=ENCODED.names)
+            parts = [pd.DataFrame(rows, columns=ENCODED.names) for _, rows in _encoded(pa.array(column, pa.string()), name)]
+            yield pd.concat(parts) if parts else pd.DataFrame(columns=ENCODED.names)
 
     names = ENCODED.names
     found = docs.drop(*names).withColumn("_e", encoded(F.col(text)))
@@ -301,14 +304,18 @@ def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and of the decoded text, of every document."""
     name = _shipped(docs, vocabulary)
 
-    @F.pandas_udf(DIGESTS)
-    def digests(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        def sha(text: str) -> str:
-            return hashlib.sha256(text.encode("utf-8")).hexdigest()
-
-        for column in columns:
-            rows = [(n, sha(ids), sha(text)) for ids, n, text in _encode_column(column, _encoder(name))]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    found = docs.select("doc_id", digests(F.col("text")).alias("_d"))
-    return found.select("doc_id", "_d.*")
+    def sha(text: str) -> str:
+        return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+    def digests(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            at = 0
+            for part, rows in _encoded(batch.column("text"), name):
+                columns = [pa.array([n for _, n, _ in rows], pa.int64()), *(pa.array([sha(r[i]) for r in rows]) for i in (0, 2))]
+                ids = batch.column("doc_id").slice(at, len(part))
+                yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                at += len(part)
+        _encoder(name).known.clear()  # the worker process is kept for other tasks
+
+    schema = schema_of(docs.select("doc_id"), n_tokens="long", ids_sha256="string", decoded_sha256="string")
+    return docs.select("doc_id", "text").mapInArrow(digests, schema)

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigspan.llm import budget_mix, cross_parse, kneser_ney, pair_index, star_dedup
+from sigspan.llm import (
+    block_neighbours,
+    budget_mix,
+    cross_parse,
+    histogram_shards,
+    kneser_ney,
+    pair_index,
+    rotation_codes,
+    star_dedup,
+    warc_chunks,
+    wrapper_extract,
+)
 from sigspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +29,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +45,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_chunks.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_mix.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -38,14 +61,27 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_index.token_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation_codes.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_html_extraction,
+        op2_sharding,
         op3_quality_classifier,
         op4_minhash_near_dedup,
+        op5_warc,
         op6_mix_sources,
         op7_language_id,
         op8_bpe,
+        op9_nearest_neighbours,
+        op10_embedding_near_dedup,
     )
 }
 #: none of these can be written in SQL as a whole; they are tested against brute force

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigspan.llm.common import batches, stored, text_bytes
+from sigspan.llm.common import batches, schema_of, stored, text_bytes
 from sigspan.llm.components import components
 from sigspan.llm.shingles import mixed, shingle_sets
 from sigspan.session import shuffle_partitions
@@ -128,7 +128,7 @@ def _sets_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 )
 
     return docs.select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(
-        sets, docs.select("doc_id").schema.add("set_id", "binary").add("shingles", "binary")
+        sets, schema_of(docs.select("doc_id"), set_id="binary", shingles="binary")
     )
 
 
@@ -213,7 +213,7 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = docs.select("doc_id", "text")
-    kinds = docs.select("doc_id").schema.add("n_shingles", "long").add("set_id", "binary").add("bands", T.ArrayType(T.LongType()))
+    kinds = schema_of(docs.select("doc_id"), n_shingles="long", set_id="binary", bands=T.ArrayType(T.LongType()))
     features = stored(docs.mapInArrow(_features, kinds), "near-features")
     classes = features.where("set_id is not null").groupBy("set_id")
     classes = stored(classes.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
