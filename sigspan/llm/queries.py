@@ -19,6 +19,7 @@ from sigspan.llm import (
     wrapper_extract,
 )
 from sigspan.llm.common import table
+from sigspan.llm.oracles import ORACLES  # noqa: F401  the others are tested against brute force
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,5 +85,3 @@ QUERIES: dict[str, Query] = {
         op10_embedding_near_dedup,
     )
 }
-#: none of these can be written in SQL as a whole; they are tested against brute force
-ORACLES: dict[str, str] = {}

@@ -8,14 +8,15 @@
   first filled bin in a random order of its own.
 * `BANDS` bands of `ROWS` bins give bucket keys. Two sets with similarity 0.85
   share no bucket with a chance of about 3e-7.
-* Candidates are stars: the members of a bucket are paired with a hub of it, not
-  with each other, so a bucket never gives more pairs than members. First every
-  class is tried with the smallest hub of all its buckets. Then, until each bucket
-  lies within one component, members of different components are tried with
-  further hubs, a doubling number each round, those of small components first. So
-  every pair of a bucket ends up compared, or connected already.
+* Candidates are stars: every class is tried with one hub, the best of its buckets,
+  so there are never more pairs than classes. The best hub is the class whose
+  buckets hold the most members, as the origin of a group of edited copies does.
+* Most buckets then lie within one component. In the others every two members of
+  different components are compared in place, in cells of two groups of `GROUP`
+  members. A cell emits no pairs but links that join components, fewer than it has
+  members; so no pair of a bucket is left out and none is a row.
 * A link is confirmed on the full sets: members' sets are sent to their hub, large
-  stars in parts, and streamed past it.
+  stars in parts, and streamed past it; cells hold the full sets of their members.
 
 `components.py` joins links. Nothing but a bitmap of fixed size (which classes are
 to be compared) passes the driver.
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,7 +47,7 @@ BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
 SIMILARITY = 85  #: per cent of the union that two linked sets share
 STAR = 128  #: members of a hub whose sets are compared in one run
-HUBS = 8  #: hubs of a bucket in the first round after the stars; doubles each round
+GROUP = 1024  #: members of a bucket on one side of a cell
 FILTER_BITS = 1 << 24  #: size of the bitmap of wanted documents (2 MB)
 
 _rng = np.random.Generator(np.random.PCG64(44))
@@ -153,6 +154,16 @@ def _compare(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _with_sets(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (stored, with set_id) with the full set of each row's class in `shingles`."""
+    wanted = asked.select("set_id").distinct().join(classes.select("set_id", "rep"), "set_id")
+    sets = _sets_of(docs, _wanted_bits(wanted)).withColumnRenamed("set_id", "of")
+    reps = wanted.withColumnRenamed("set_id", "of")
+    # a class is read from one of its documents; others come along by chance, or as repeated rows
+    sets = sets.join(reps, "of").where(F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
+    return asked.join(sets, F.col("set_id") == F.col("of")).drop("of")
+
+
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (a, b) of pairs whose full sets are similar enough; a is the hub."""
     stars = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
@@ -161,53 +172,122 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     hubs = stars.select(
         F.col("a").alias("set_id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
-    asked = members.unionByName(hubs).join(classes.select("set_id", "rep"), "set_id")
-    asked = stored(asked, "near-asked")
-    sets = _sets_of(docs, _wanted_bits(asked.select("rep").distinct()))
-    rows = sets.join(
-        asked.withColumnRenamed("set_id", "of"),
-        (F.col("set_id") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep")),
-    ).select("hub", "part", "set_id", "shingles")
+    rows = _with_sets(docs, classes, stored(members.unionByName(hubs), "near-asked"))
     rows = rows.repartition(shuffle_partitions(docs.sparkSession), "hub", "part")
     rows = rows.sortWithinPartitions("hub", "part", F.col("hub") != F.col("set_id"))
     return rows.select("hub", "set_id", "shingles").mapInArrow(_compare, "a binary, b binary")
 
 
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of some sets with others, as a matrix."""
+    if len(sets) == 2:
+        at = np.minimum(np.searchsorted(sets[0], sets[1]), len(sets[0]) - 1)
+        return np.full((len(left), len(right)), int((sets[0][at] == sets[1]).sum()))
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1  # what only one set holds is in no intersection
+    owner, column = owner[shared], (np.cumsum(counts > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    found = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, GROUP):
+        begin, end = np.searchsorted(column, [first, first + GROUP])
+        held = np.zeros((len(sets), GROUP), np.float32)
+        held[owner[begin:end], column[begin:end] - first] = 1
+        found += held[left] @ held[right].T
+    return found
+
+
+def _joining(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """Links between the members of a cell that join different components.
+
+    rows: (set_id, root, side, shingles); side 0 is compared with its own group.
+    """
+    side = np.array([r[2] for r in rows])
+    left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
+    _, root = np.unique(np.array([r[1] for r in rows], dtype=object), return_inverse=True)
+    if not len(left) or not len(right) or root.max() == 0:
+        return []
+    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    sizes = np.array([len(s) for s in sets])
+    common = _common(sets, left, right)
+    union = sizes[left][:, None] + sizes[right] - common
+    near = (100 * common >= SIMILARITY * union) & (root[left][:, None] != root[right])
+    a, b = (x[i] for x, i in zip((left, right), np.nonzero(near)))
+    _, first = np.unique(np.minimum(root[a], root[b]) * len(rows) + np.maximum(root[a], root[b]), return_index=True)
+    parent, found = {}, []
+
+    def top(r: int) -> int:
+        while r in parent:
+            r = parent[r]
+        return r
+
+    for i in first.tolist():
+        x, y = top(int(root[a[i]])), top(int(root[b[i]]))
+        if x != y:
+            parent[x] = y
+            found.append((rows[a[i]][0], rows[b[i]][0]))
+    return found
+
+
+def _cells(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells lie one after the other, over the borders of batches."""
+    name, rows = None, []
+
+    def links() -> pa.RecordBatch:
+        pairs = _joining(rows) if len(rows) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    for batch in arrow:
+        columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "set_id", "root", "side", "shingles")]
+        for key, i, j, *row in zip(*columns):
+            if (key, i, j) != name:
+                found = links()
+                if found.num_rows:
+                    yield found
+                name, rows = (key, i, j), []
+            rows.append(tuple(row))
+    yield links()
+
+
+def compared(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b) links that join the components in each bucket; members: key, set_id, root."""
+    # buckets of the same members are one
+    same = members.groupBy("key").agg(F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n"))
+    once = same.groupBy("sum", "n").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / GROUP).cast("int").alias("groups"))
+    dealt = members.join(once, "key").withColumn("g", F.pmod(F.xxhash64("set_id"), F.col("groups")).cast("int"))
+    dealt = dealt.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    side = F.signum(F.col("g") - F.col("h")).cast("int").alias("side")
+    dealt = dealt.select("key", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), side, "set_id", "root")
+    rows = _with_sets(docs, classes, stored(dealt, "near-cells"))
+    rows = rows.repartition(shuffle_partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.select("key", "i", "j", "set_id", "root", "side", "shingles").mapInArrow(_cells, "a binary, b binary")
+
+
 def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
     """members with `root`, the component of their class."""
-    return members.drop("root").join(found, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    return members.join(found, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
 
 
 def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(set_id, root) of every class that is linked with another, as the module says."""
     buckets = classes.select("set_id", F.explode("bands").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("set_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(buckets.join(hubs.select("key", "hub"), "key"), "near-members")
-    first = members.where("set_id <> hub").groupBy("set_id").agg(F.min("hub").alias("a"))
-    links = confirmed(docs, classes, first.select("a", F.col("set_id").alias("b")))
-
-    rest, begin, hubs = None, 0, HUBS
-    while True:
-        # components of all links so far: stars around the roots, and the new links
-        found = components(links, name="near-components").withColumnRenamed("vertex", "set_id")
-        labelled = _rooted(members if rest is None else rest, found)
-        open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        labelled = labelled.join(open_keys.select("key"), "key", "left_semi")
-        if rest is None:  # a fixed order of the members, small components first
-            sizes = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-            order = Window.partitionBy("key").orderBy("n", "set_id")
-            labelled = labelled.join(sizes, ["key", "root"]).withColumn("rank", F.row_number().over(order) - 1)
-            labelled = labelled.select("key", "set_id", "root", "rank")
-        rest = stored(labelled, "near-open")
-        if rest.where(F.col("rank") > begin).isEmpty():
-            return found
-        hub = rest.where((F.col("rank") >= begin) & (F.col("rank") < begin + hubs))
-        hub = hub.select("key", F.col("set_id").alias("a"), F.col("root").alias("a_root"), F.col("rank").alias("a_rank"))
-        pairs = rest.join(hub, "key").where("rank > a_rank and root <> a_root")
-        pairs = stored(pairs.select("a", F.col("set_id").alias("b")).distinct(), "near-pairs")
-        stars = found.where("set_id <> root").select(F.col("root").alias("a"), F.col("set_id").alias("b"))
-        links = stars.unionByName(confirmed(docs, classes, pairs))
-        begin, hubs = begin + hubs, 2 * hubs
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(buckets.join(sizes, "key"), "near-members")
+    weights = members.groupBy("set_id").agg(F.struct(F.sum("n").alias("weight"), "set_id").alias("who"))
+    weighed = members.select("key", "set_id").join(weights, "set_id")
+    hubs = weighed.groupBy("key").agg(F.max("who").alias("hub"))
+    best = weighed.select("key", "set_id").join(hubs, "key").groupBy("set_id").agg(F.max("hub").alias("hub"))
+    pairs = best.select(F.col("hub.set_id").alias("a"), F.col("set_id").alias("b")).where("a <> b")
+    links = confirmed(docs, classes, pairs)
+    found = components(links, name="near-components").withColumnRenamed("vertex", "set_id")
+
+    labelled = _rooted(members.drop("n"), found)
+    open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    labelled = stored(labelled.join(open_keys.select("key"), "key", "left_semi"), "near-open")
+    stars = found.where("set_id <> root").select(F.col("root").alias("a"), F.col("set_id").alias("b"))
+    links = stars.unionByName(compared(docs, classes, labelled))
+    return components(links, name="near-components").withColumnRenamed("vertex", "set_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -148,8 +148,8 @@ def test_near_duplicates_of_a_chain(spark):
 
 
 def test_buckets_of_unlike_sets_end(spark, monkeypatch):
-    """One bucket for everything: the rounds after the stars find every link."""
-    monkeypatch.setattr(star_dedup, "HUBS", 2)
+    """One bucket for everything: what the stars leave open, cells find."""
+    monkeypatch.setattr(star_dedup, "GROUP", 5)
     rng = np.random.default_rng(5)
     docs = []
     for i in range(24):
