@@ -1,8 +1,8 @@
 """Windows, overlaps and labels for all recordings in one plan.
 
 The window rows are the bulk of the output, so they are never shuffled. What
-moves is (1) one row per *block* of windows and (2) one pre-aggregated row per
-window that an interval touches. Both are hashed on (recording, block): a
+moves is (1) one row per *block* of windows and (2) one row per interval and
+block that it touches. Both are hashed on (recording, block): a
 recording of any length spreads over the cluster, and so does one that holds a
 large share of all annotations. The windows come out of the joined blocks by a
 local explode.
@@ -86,36 +86,8 @@ def generate_time_windows(
     )
 
 
-def _cut(first: Column, last: Column) -> Column:
-    """Every BLOCK-th number of a range: keeps the arrays of long intervals short."""
-    return F.when(first <= last, F.sequence(first, last, F.lit(BLOCK).cast("bigint")))
-
-
-def _capped(
-    intervals: DataFrame, recordings: DataFrame, spec: WindowSpec, key: str
-) -> DataFrame:
-    """Intervals with ``_cap``, the last window number worth looking at.
-
-    An interval of at most BLOCK strides needs no cap: windows past the end of
-    the recording find no block later. Longer and open-ended ones are cut at
-    their own recording; valid data holds few of them per recording, because
-    they may not overlap.
-    """
-    onset, end = F.col("onset_sec"), F.col("end_sec")
-    brief = F.coalesce(end - onset <= BLOCK * float(spec.stride_sec), F.lit(False))
-    # Brief intervals get a key that matches nothing and spreads evenly.
-    nowhere = F.concat(F.lit("\t"), F.xxhash64(key, onset, end).cast("string"))
-    own = F.when(brief, nowhere).otherwise(F.col(key).cast("string")).alias("_own")
-    lengths = recordings.groupBy(F.col(key).cast("string").alias("_own")).agg(
-        F.max(window_count(F.col(DURATION), spec)).alias("_cap")
-    )
-    return (
-        intervals.select(key, onset, ordered_end(onset, end).alias("end_sec"))
-        .select("*", brief.alias("_brief"), own)
-        .join(lengths, "_own", "left")
-        .where(F.col("_brief") | F.col("_cap").isNotNull())
-        .select(key, onset, end, F.coalesce("_cap", F.lit(2**53).cast("bigint")).alias("_cap"))
-    )
+def _block_of(k: Column) -> Column:
+    return F.floor(k / BLOCK)
 
 
 def window_overlaps(
@@ -123,40 +95,58 @@ def window_overlaps(
 ) -> DataFrame:
     """One row per (window, interval) pair that shares time.
 
-    The pairs are found by arithmetic on the interval's own row, not by a join
-    with the windows. Pairs past the end of the recording may be among them.
+    The pairs are found by arithmetic on the interval's own row, bounded by the
+    length of its recording; an interval of any length, or with an open bound,
+    follows the same rule, and one of a recording that isn't there has no pairs.
+    An interval is first cut into blocks of windows, and the blocks are spread
+    before they become windows, so a long one is shared by many tasks. The
+    result stays partitioned by (recording, block).
     """
     size, stride = float(spec.window_size_sec), float(spec.stride_sec)
     zero, huge = F.lit(0).cast("bigint"), F.lit(2.0**53)
     onset, end = F.col("onset_sec"), F.col("end_sec")
     window_end, interval_end = F.col("window_end_sec"), F.col("interval_end_sec")
+    lengths = recordings.groupBy(key).agg(F.max(checked_duration(F.col(DURATION))).alias("_length"))
     # One window of slack on both sides absorbs rounding; the overlap decides.
     first = F.when(onset.isNull(), zero).otherwise(
         F.greatest(F.floor(F.least((onset - size) / stride, huge)), zero)
     )
-    last = F.least(F.floor(F.least(end / stride, huge)) + 1, F.col("_cap"))
+    last = F.least(
+        F.floor(F.least(end / stride, huge)) + 1, window_count(F.col("_length"), spec) - 1
+    )
+    blocks = F.when(
+        F.col("_first") <= F.col("_last"),
+        F.sequence(_block_of(F.col("_first")), _block_of(F.col("_last"))),
+    )
+    begin = F.greatest("_first", F.col("_block") * BLOCK)
+    finish = F.least(F.col("_last"), F.col("_block") * BLOCK + (BLOCK - 1))
     shared = shared_seconds(F.col("start_sec"), window_end, onset, interval_end)
-    to = F.least(F.col("_from") + (BLOCK - 1), F.col("_last_k"))
     return (
-        _capped(intervals, recordings, spec, key)
-        .select("*", last.alias("_last_k"), F.explode(_cut(first, last)).alias("_from"))
-        .select(key, onset, end, F.explode(F.sequence(F.col("_from"), to)).alias("_k"))
+        intervals.select(key, onset, ordered_end(onset, end).alias("end_sec"))
+        .join(lengths, key)
+        .select("*", first.alias("_first"), last.alias("_last"))
+        .select("*", F.explode(blocks).alias("_block"))
+        .repartition(key, "_block")
+        .select(key, "_block", "_length", onset, end, F.explode(F.sequence(begin, finish)).alias("_k"))
         .select(
             key,
+            "_block",
             "_k",
+            "_length",
             window_start(F.col("_k"), spec).alias("start_sec"),
             onset,
             end.alias("interval_end_sec"),
         )
         .select("*", (F.col("start_sec") + size).alias("window_end_sec"))
         .select("*", shared.alias("overlap_sec"))
-        .where("overlap_sec > 0")
+        .where("overlap_sec > 0 AND window_end_sec <= _length")
+        .drop("_length")
     )
 
 
 def total_overlaps(pairs: DataFrame, key: str = "path") -> DataFrame:
-    """Summed overlap per touched window; combined map-side before the shuffle."""
-    return pairs.groupBy(key, "_k").agg(F.sum("overlap_sec").alias("overlap_sec"))
+    """Summed overlap per touched window, where the pairs already are."""
+    return pairs.groupBy(key, "_block", "_k").agg(F.sum("overlap_sec").alias("overlap_sec"))
 
 
 def windows_with_overlap(
@@ -170,11 +160,10 @@ def windows_with_overlap(
 
     With ``order``, partitions follow those columns; only blocks move for it.
     """
-    block = F.floor(F.col("_k") / BLOCK).alias("_block")
     touched = (
         total_overlaps(window_overlaps(intervals, recordings, spec, key), key)
         # At most BLOCK entries: the windows of a block are distinct by now.
-        .groupBy(key, block)
+        .groupBy(key, "_block")
         .agg(
             F.map_from_entries(F.collect_list(F.struct("_k", "overlap_sec"))).alias("_hits")
         )

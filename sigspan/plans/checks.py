@@ -14,6 +14,15 @@ from sigspan.sources.manifest import list_recordings
 
 # How much of each listing is shown.
 STATISTICS_COLUMNS, SAMPLE_COLUMNS, DURATIONS, ANNOTATIONS, NAMES = 10, 20, 5, 10, 10
+# Lists of distinct values are shown whole; more than this is no listing, and an error says so.
+DISTINCT = 10_000
+
+
+def _whole(df: DataFrame) -> str:
+    rows = df.limit(DISTINCT + 1).count()
+    if rows > DISTINCT:
+        raise ValueError(f"More than {DISTINCT} distinct values to list")
+    return preview(df, max(rows, 1))
 
 
 def _section(title: str, body: object) -> str:
@@ -35,11 +44,11 @@ def _missing(df: DataFrame, only_present: bool) -> str:
 
 
 def _labels(df: DataFrame) -> str:
-    return preview(quality.value_counts(df, "label", "label"), NAMES)
+    return _whole(quality.value_counts(df, "label", "label"))
 
 
 def _distinct(df: DataFrame, column: str) -> str:
-    return preview(quality.unique_values(df, column), SAMPLE_COLUMNS)
+    return _whole(quality.unique_values(df, column).orderBy(column))
 
 
 def _subjects(df: DataFrame) -> int:

@@ -12,12 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigspan.errors import FeatureDatasetBuilderError, fail, stage_errors
 from sigspan.operators.features import default_channel_names, feature_block, feature_names
-from sigspan.operators.segmentation import optional_string, sort_segments
+from sigspan.operators.segmentation import optional_string
 from sigspan.schemas import SEGMENT_KEYS, SORT_KEYS, require_columns
 from sigspan.session import shuffle_partitions
 from sigspan.sources.edf import EdfHeader, read_header, read_records, recording_headers
@@ -35,7 +35,7 @@ def _sample_bounds(header: EdfHeader, start: np.ndarray, end: np.ndarray) -> np.
     if bad.any():
         at = int(np.flatnonzero(bad)[0])
         raise FeatureDatasetBuilderError(
-            f"Invalid segment boundaries: start_sec={start[at]}, end_sec={end[at]} in {header.path}"
+            f"No samples from start_sec={start[at]} to end_sec={end[at]} in {header.path}"
         )
     return np.minimum(bounds, header.n_samples)
 
@@ -61,10 +61,13 @@ def _recording_features(
         origin = first * header.samples_per_record
         lengths = part[:, 1] - part[:, 0]
         for length in np.unique(lengths):
-            rows = np.flatnonzero(lengths == length)
-            picks = (part[rows, 0] - origin)[:, None] + np.arange(length)
-            stacked = np.moveaxis(signal[:, picks], 0, 1)
-            out[at + rows] = feature_block(stacked, header.sfreq, relative)
+            same = np.flatnonzero(lengths == length)
+            # Overlapping segments copy shared samples: the copies are bounded, too.
+            step = max(1, READ_SAMPLES // (n_channels * int(length)))
+            for rows in (same[i : i + step] for i in range(0, len(same), step)):
+                picks = (part[rows, 0] - origin)[:, None] + np.arange(length)
+                stacked = np.moveaxis(signal[:, picks], 0, 1)
+                out[at + rows] = feature_block(stacked, header.sfreq, relative)
         at = upto
     return out
 
@@ -117,14 +120,39 @@ def max_channel_count(segments: DataFrame) -> int:
 
 
 def limit_segments(segments: DataFrame, max_segments: int | None) -> DataFrame:
-    """The first segments in output order, for quick runs."""
+    """The first segments in output order, for quick runs; in no order themselves.
+
+    Counts by recording place the cut: recordings before it are kept whole, and
+    only the one that it falls into is ranked. No task gathers the kept segments;
+    the running counts are one row per recording within a subject, and one per
+    subject.
+    """
     if max_segments is None:
         return segments
     if max_segments <= 0:
         raise FeatureDatasetBuilderError(
-            f"'max_segments' must be > 0. Received value: {max_segments}"
+            f"'max_segments' is not positive: {max_segments}"
         )
-    return sort_segments(segments).limit(max_segments)
+    subject, path, start = (F.col(c).asc_nulls_last() for c in SORT_KEYS)
+    counts = segments.groupBy("subject", "path").agg(F.count("*").alias("_n"))
+    subjects = counts.groupBy("subject").agg(F.sum("_n").alias("_all"))
+    before = F.sum("_all").over(Window.orderBy(subject)) - F.col("_all")
+    subjects = subjects.select(F.col("subject").alias("_s"), before.alias("_before")).where(
+        F.col("_before") < max_segments
+    )
+    within = F.sum("_n").over(Window.partitionBy("subject").orderBy(path)) - F.col("_n")
+    room = (max_segments - F.col("_before") - within).alias("_room")
+    recordings = (
+        counts.join(subjects, F.col("subject").eqNullSafe(F.col("_s")))
+        .select(F.col("subject").alias("_s"), F.col("path").alias("_p"), "_n", room)
+        .where("_room > 0")
+    )
+    same = F.col("subject").eqNullSafe(F.col("_s")) & F.col("path").eqNullSafe(F.col("_p"))
+    placed = segments.join(recordings, same)
+    whole = placed.where("_n <= _room")
+    rank = F.row_number().over(Window.partitionBy("_s", "_p").orderBy(start))
+    partial = placed.where("_n > _room").withColumn("_rank", rank).where("_rank <= _room")
+    return whole.select(*segments.columns).unionByName(partial.select(*segments.columns))
 
 
 def segment_features(

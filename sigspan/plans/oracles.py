@@ -454,6 +454,16 @@ SELECT path, ws AS start_sec, round(onset, 6) AS onset_sec, round(fin, 6) AS int
        round(least(we, fin) - greatest(ws, onset), 6) AS overlap_sec
 FROM win w JOIN iv i ON w.user_id = i.user_id AND i.onset < w.we AND i.fin > w.ws
 WHERE least(we, fin) - greatest(ws, onset) > 0""",
+    "seg_overlap_long": f"""WITH {EVENTS_CTE},{_grid(900, 900)},
+firsts AS (SELECT user_id, user_id % 5 AS kind, min(onset) AS onset FROM iv GROUP BY ALL),
+long AS (
+  SELECT user_id, CASE WHEN kind <> 1 THEN onset END AS onset,
+         CASE WHEN kind <> 2 THEN onset + 900.0 * CASE WHEN kind = 0 THEN 400 ELSE 100 END END AS fin
+  FROM firsts WHERE user_id % 7 <> 0)
+SELECT path, ws AS start_sec, round(onset, 6) AS onset_sec, round(fin, 6) AS interval_end_sec,
+       round(least(we, coalesce(fin, we)) - greatest(ws, coalesce(onset, ws)), 6) AS overlap_sec
+FROM win w JOIN long i ON w.user_id = i.user_id
+WHERE least(we, coalesce(fin, we)) - greatest(ws, coalesce(onset, ws)) > 0""",
     "seg_total_overlap": f"""WITH {_ratio_ctes(3600, 3600)}
 SELECT path, ws AS start_sec, we AS end_sec, round(overlap_sec, 6) AS overlap_sec FROM cov""",
     "seg_ratio": f"""WITH {_ratio_ctes(3600, 3600)}
@@ -562,7 +572,8 @@ FROM smp JOIN recs USING (rec) GROUP BY name, c, sec""",
 SELECT filename, onset AS onset_sec, duration AS duration_sec, onset + duration AS end_sec,
        event_type FROM ann WHERE event_type <> 'bckg'""",
     "src_annotations": f"""WITH {FILES_CTE}
-SELECT * EXCLUDE (rec) FROM ann ORDER BY filename, onset LIMIT 10""",
+SELECT * EXCLUDE (rec) FROM ann WHERE filename = (SELECT min(filename) FROM ann)
+ORDER BY onset LIMIT 10""",
     "segments_from_files": f"""WITH {FILES_CTE},{FILE_SEGMENTS_CTE}
 SELECT * EXCLUDE (rec) FROM fseg""",
     "features_from_files": _file_features(False),

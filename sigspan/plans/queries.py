@@ -29,8 +29,8 @@ from sigspan.plans.segments import build_segments_dataset
 from sigspan.session import shared_dir
 from sigspan.sinks import tables as sinks
 from sigspan.sources import dataset_root, edf
-from sigspan.sources.events_tsv import read_events, read_seizure_intervals
-from sigspan.sources.manifest import build_manifest, load_manifest, recording_entities
+from sigspan.sources.events_tsv import read_events, read_paths, read_seizure_intervals
+from sigspan.sources.manifest import build_manifest, list_recordings, load_manifest, recording_entities
 from sigspan.sources.tables import load_dataset, load_segments
 
 HOURLY = WindowSpec(3600.0, 3600.0)
@@ -65,11 +65,28 @@ def windows(spec: WindowSpec) -> Query:
     return run
 
 
+def _pairs(intervals: DataFrame, recordings: DataFrame, spec: WindowSpec) -> DataFrame:
+    pairs = seg.window_overlaps(intervals, recordings, spec)
+    return rounded(pairs.select("path", "start_sec", "onset_sec", "interval_end_sec", "overlap_sec"))
+
+
 def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = seg.window_overlaps(tb.intervals(spark, sf), tb.recordings(spark, sf), HOURLY)
-    # Intervals may run past the recording; windows do not.
-    inside = pairs.where(F.col("window_end_sec") <= tb.RECORDING_SEC)
-    return rounded(inside.select("path", "start_sec", "onset_sec", "interval_end_sec", "overlap_sec"))
+    return _pairs(tb.intervals(spark, sf), tb.recordings(spark, sf), HOURLY)
+
+
+def long_overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals of hundreds of strides, with open bounds, and of unknown recordings."""
+    quarter = WindowSpec(900.0, 900.0)
+    onset, number = F.col("onset_sec"), F.col("n")
+    length = F.when(number % 5 == 0, F.lit(400 * 900.0)).otherwise(F.lit(100 * 900.0))
+    firsts = tb.intervals(spark, sf).groupBy("path").agg(F.min("onset_sec").alias("onset_sec"))
+    firsts = firsts.withColumn("n", F.regexp_extract("path", r"sub-(\d+)", 1).cast("int"))
+    long = firsts.select(
+        F.when(number % 7 == 0, F.concat(F.lit("/gone"), "path")).otherwise(F.col("path")).alias("path"),
+        F.when(number % 5 != 1, onset).alias("onset_sec"),
+        F.when(number % 5 != 2, onset + length).alias("end_sec"),
+    )
+    return _pairs(long, tb.recordings(spark, sf), quarter)
 
 
 def total_overlap(spark: SparkSession, sf: str) -> DataFrame:
@@ -472,7 +489,10 @@ def edf_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def events_tsv(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read_events(spark, files.recording_tree(spark, sf))
+    return _annotations(read_events(spark, files.recording_tree(spark, sf)))
+
+
+def _annotations(rows: DataFrame) -> DataFrame:
     return _named(rows).select(
         "filename",
         F.col("onset").cast("double").alias("onset"),
@@ -487,7 +507,9 @@ def tsv_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 def annotations_head(spark: SparkSession, sf: str) -> DataFrame:
     """The first ten annotations of the first recording."""
-    return events_tsv(spark, sf).orderBy("filename", "onset").limit(10)
+    root = files.recording_tree(spark, sf)
+    first = list_recordings(spark, root).agg(bids.events_path(F.min("path")).alias("path"))
+    return _annotations(read_paths(first)).orderBy("onset").limit(10)
 
 
 def _file_segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -514,12 +536,13 @@ def feature_parts(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_dir(spark, "parts")
     found = build_features_dataset(spark, _file_segments(spark, sf), False, None, files.CHANNELS)
     sinks.save_feature_parts(found, folder)
-    back = spark.read.parquet(folder)
-    return back.groupBy("recording").agg(
+    back = sinks.load_feature_parts(spark, folder)
+    found = back.groupBy("path").agg(
         F.count("*").alias("n_segments"),
         F.sum("label").alias("n_positive"),
         r(F.sum("rms_ch_01"), 9).alias("total_rms"),
     )
+    return found.select(bids.stem(F.col("path")).alias("recording"), "n_segments", "n_positive", "total_rms")
 
 
 def stored_segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -587,6 +610,7 @@ SPARK_QUERIES: dict[str, Query] = {
     "seg_windows_gapped": windows(WindowSpec(3600.0, 10800.0)),
     "seg_windows_drifting": windows(WindowSpec(1800.3, 4321.1)),
     "seg_overlap_pairs": overlap_pairs,
+    "seg_overlap_long": long_overlap_pairs,
     "seg_total_overlap": total_overlap,
     "seg_ratio": ratio(HOURLY),
     "seg_ratio_sliding": ratio(WindowSpec(7200.0, 1800.0)),

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspan.errors import stage_errors
-from sigspan.functions.bids import stem
 
 
 def save_parquet(df: DataFrame, path: str) -> None:
@@ -18,16 +17,31 @@ save_segments_dataset = save_parquet
 save_features_dataset = save_parquet
 
 
+PARTS = 256  #: folders, however many recordings there are
+
+
+def feature_part(path: Column) -> Column:
+    """The part of a recording, from its whole path: equal file names stay apart."""
+    return F.pmod(F.xxhash64(path), F.lit(PARTS)).cast("int")
+
+
 def save_feature_parts(features: DataFrame, folder: str) -> None:
-    """One subfolder per recording, so that readers prune by recording.
+    """Subfolders by ``feature_part``, so that readers of a recording prune.
 
-    The subfolder carries the recording's file name; the path stays a column.
     Built features arrive ordered by recording, so they are written where they
-    are: a task meets few recordings, and a long recording has several writers.
+    are: a task meets few parts, and a long recording has several writers.
     """
-    parts = features.withColumn("recording", stem(F.col("path")))
+    parts = features.withColumn("part", feature_part(F.col("path")))
     with stage_errors():
-        parts.write.mode("overwrite").partitionBy("recording").parquet(folder)
+        parts.write.mode("overwrite").partitionBy("part").parquet(folder)
+
+
+def load_feature_parts(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
+    """All features, or those of one recording from the one folder it is in."""
+    parts = spark.read.parquet(folder)
+    if path is not None:
+        parts = parts.where((F.col("part") == feature_part(F.lit(path))) & (F.col("path") == path))
+    return parts.drop("part")
 
 
 def save_csv(df: DataFrame, path: str) -> None:

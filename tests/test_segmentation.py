@@ -149,6 +149,15 @@ def test_ratios_match_brute_force(spark, size, stride):
         assert got[key] == pytest.approx(value, abs=1e-9), key
 
 
+def test_pairs_do_not_depend_on_the_length(spark):
+    """Four windows exist, whatever the interval runs on to; an unknown recording has none."""
+    for end in (100.0, 1281.0, 1e12, float("inf"), None):
+        for start in (0.0, None):
+            intervals = spark.createDataFrame([("p", start, end), ("gone", start, end)], INTERVAL)
+            pairs = sg.window_overlaps(intervals, recordings(spark, {"p": 20.0}), WindowSpec()).collect()
+            assert sorted((r.path, r.start_sec) for r in pairs) == [("p", 5.0 * k) for k in range(4)]
+
+
 def test_double_counted_overlap_fails(spark):
     intervals = spark.createDataFrame([("p", 0.0, 5.0), ("p", 1.0, 4.0)], INTERVAL)
     with pytest.raises(SegmentationError, match="exceeds"), stage_errors():
