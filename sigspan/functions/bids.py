@@ -26,14 +26,13 @@ def stem(path: Column) -> Column:
 
 
 def plain_path(uri: Column, encoded: bool = True) -> Column:
-    """A local path without its scheme; other URIs stay as they are.
+    """The one form of a path: as stored, and without the scheme if it is local.
 
-    ``_metadata.file_path`` is percent-encoded, listed paths are not.
+    ``_metadata.file_path`` is percent-encoded on every file system, listed
+    paths are not.
     """
-    text = uri
-    if encoded:
-        text = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
-    return F.when(uri.startswith("file:"), F.regexp_replace(text, r"^file:/+", "/")).otherwise(uri)
+    text = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))) if encoded else uri
+    return F.regexp_replace(text, r"^file:/+", "/")
 
 
 def name_parts(path: Column) -> Column:
@@ -93,5 +92,5 @@ def events_path(path: Column) -> Column:
     renamed = F.replace(name, F.lit(EEG_SUFFIX), F.lit(EVENTS_SUFFIX))
     folder = F.substr(path, F.lit(1), F.length(path) - F.length(name))
     return F.when(name.endswith(EEG_SUFFIX), F.concat(folder, renamed)).otherwise(
-        fail(DatasetBuilderError, "Could not derive events.tsv from EEG path: ", path)
+        fail(DatasetBuilderError, "Not the name of a recording: ", path)
     )

@@ -5,52 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspan.errors import DatasetBuilderError, stage_errors
-from sigspan.functions.bids import EVENTS_SUFFIX, dirname, events_path
+from sigspan.errors import DatasetBuilderError
+from sigspan.functions.bids import EEG_SUFFIX, EVENTS_SUFFIX, dirname, events_path, plain_path
 from sigspan.functions.windows import WindowSpec
+from sigspan.operators.intervals import extract_seizure_intervals
 from sigspan.operators.segmentation import segments
 from sigspan.schemas import SEGMENTS, require_columns
 from sigspan.sources.edf import recording_headers
-from sigspan.sources.events_tsv import read_seizure_intervals
-from sigspan.sources.manifest import list_files, load_manifest
+from sigspan.sources.events_tsv import read_paths
+from sigspan.sources.manifest import load_manifest
 
 
-def annotation_root(manifest: DataFrame) -> str:
-    """The deepest folder above every recording, from two extreme paths."""
-    with stage_errors():
-        ends = manifest.agg(
-            F.min(events_path(F.col("path"))), F.max(events_path(F.col("path")))
-        ).first()
-    if ends[0] is None:
-        return ""
-    shared = []
-    for a, b in zip(ends[0].split("/")[:-1], ends[1].split("/")[:-1]):
-        if a != b:
-            break
-        shared.append(a)
-    return "/".join(shared) or "/"
-
-
-def check_annotations_exist(manifest: DataFrame, root: str) -> None:
-    """Every recording needs its annotation file."""
-    present = list_files(manifest.sparkSession, root, f"*{EVENTS_SUFFIX}")
-    wanted = manifest.select(events_path(F.col("path")).alias("path"))
-    with stage_errors():
-        missing = wanted.join(present, "path", "left_anti").first()
-    if missing is not None:
-        raise FileNotFoundError(f"events.tsv not found: {missing['path']}")
-
-
-def recording_intervals(manifest: DataFrame, root: str, missing_bounds: str = "open") -> DataFrame:
+def recording_intervals(manifest: DataFrame, missing_bounds: str = "open") -> DataFrame:
     """Seizure intervals keyed by the recording's path.
 
-    An annotation file belongs to one recording by its name, so the key is
-    renamed in place instead of joined.
+    Works from the wanted annotation paths, wherever they lie; one that doesn't
+    exist fails the job. A file belongs to one recording by its name, so the key
+    is renamed in place instead of joined, and always names a recording.
     """
-    wanted = manifest.select(events_path(F.col("path")).alias("path")).distinct()
-    intervals = read_seizure_intervals(manifest.sparkSession, root, missing_bounds, wanted)
+    wanted = manifest.select(events_path(F.col("path")).alias("path"))
+    intervals = extract_seizure_intervals(read_paths(wanted), ["path"], missing_bounds)
     folder, name = dirname(F.col("path")), F.substring_index("path", "/", -1)
-    eeg_name = F.replace(name, F.lit(EVENTS_SUFFIX), F.lit("_eeg.edf"))
+    eeg_name = F.replace(name, F.lit(EVENTS_SUFFIX), F.lit(EEG_SUFFIX))
     return intervals.withColumn("path", F.concat(folder, F.lit("/"), eeg_name))
 
 
@@ -67,14 +43,11 @@ def build_segments_dataset(
     if isinstance(manifest, str):
         manifest = load_manifest(spark, manifest)
     require_columns(manifest, ("subject", "path"), DatasetBuilderError, "manifest")
-    root = annotation_root(manifest)
-    if not root:
+    if manifest.isEmpty():
         return spark.createDataFrame([], SEGMENTS)
-    check_annotations_exist(manifest, root)
+    manifest = manifest.withColumn("path", plain_path(F.col("path"), encoded=False))
     headers = recording_headers(manifest.select("path").distinct(), DatasetBuilderError).select(
         "path", F.col("duration_sec").alias("recording_duration_sec")
     )
-    # Read by two branches of the plan; one small row per recording.
-    recordings = manifest.join(headers, "path").persist()
-    intervals = recording_intervals(manifest, root, missing_bounds)
-    return segments(recordings, intervals, spec, ordered=True)
+    recordings = manifest.join(headers, "path")
+    return segments(recordings, recording_intervals(manifest, missing_bounds), spec, ordered=True)

@@ -16,10 +16,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder every executor can reach.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only where
-    that is unset (a local test session) is a machine-local folder used.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Where that
+    is unset, a local session uses a folder of the machine; on a cluster each
+    executor would have one of its own, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sigspan-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

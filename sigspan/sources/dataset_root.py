@@ -47,7 +47,7 @@ def verify_checksum(spark: SparkSession, path: str, expected: str) -> None:
     if found is None:
         raise FileNotFoundError(path)
     if found["md5"] != expected:
-        raise RuntimeError(f"MD5 mismatch. Expected {expected}, got {found['md5']}")
+        raise RuntimeError(f"Checksum mismatch: {found['md5']} instead of {expected}")
 
 
 def _targets(names: list[str]) -> dict[str, str]:
@@ -55,7 +55,7 @@ def _targets(names: list[str]) -> dict[str, str]:
     for name in names:
         parts = name.replace("\\", "/").split("/")
         if name.startswith("/") or ".." in parts or ":" in parts[0]:
-            raise RuntimeError(f"Unsafe path detected in ZIP: {name}")
+            raise RuntimeError(f"Unsafe member name: {name}")
     tops = {name.split("/", 1)[0] for name in names}
     nested = DESCRIPTION not in names and len(tops) == 1 and f"{min(tops)}/{DESCRIPTION}" in names
     files = [n for n in names if not n.endswith("/")]

@@ -47,6 +47,7 @@ class EdfHeader:
     samples_per_record: int
     names: tuple[str, ...]
     columns: tuple[int, ...]
+    counts: tuple[int, ...]
     gain: tuple[float, ...]
     offset: tuple[float, ...]
 
@@ -72,8 +73,9 @@ class EdfHeader:
 def parse_header(source, path: str) -> EdfHeader:
     """Read the fixed and per-signal header fields.
 
-    Recordings with gaps (EDF+D) or with channels of different rates have no
-    single sample grid and are refused.
+    Recordings with gaps (EDF+D) have no single sample grid and are refused.
+    Where channels differ in rate, the highest one is the recording's rate, and
+    slower channels hold each sample until their next one.
     """
     fixed = source.read(FIXED_BYTES)
     n_signals = int(fixed[252:256])
@@ -97,9 +99,8 @@ def parse_header(source, path: str) -> EdfHeader:
     digital = np.array([field(120, 8), field(128, 8)], dtype=float)
     counts = [int(v) for v in field(216, 8)]
     kept = [i for i, label in enumerate(labels) if label not in ANNOTATION_LABELS]
-    rates = {counts[i] for i in kept}
-    if len(rates) != 1:
-        raise ValueError("channels have different sampling rates")
+    if not kept or min(counts[i] for i in kept) < 1:
+        raise ValueError("no channel with samples, or one without")
     scale = np.array([UNIT_SCALE.get(u, 1.0) for u in units])
     gain = (physical[1] - physical[0]) / (digital[1] - digital[0])
     offset = (physical[0] - gain * digital[0]) * scale
@@ -113,9 +114,10 @@ def parse_header(source, path: str) -> EdfHeader:
         # The stored count is -1 while recording, so the file size decides.
         n_records=(source.size() - header_bytes) // record_bytes,
         record_sec=record_sec,
-        samples_per_record=rates.pop(),
+        samples_per_record=max(counts[i] for i in kept),
         names=tuple(labels[i] for i in kept),
         columns=tuple(int(starts[i]) for i in kept),
+        counts=tuple(counts[i] for i in kept),
         gain=tuple(gain[kept].tolist()),
         offset=tuple(offset[kept].tolist()),
     )
@@ -129,14 +131,23 @@ def read_header(path: str, error: type[Exception]) -> EdfHeader:
         raise error(f"Could not read EEG file: {path} ({exc})") from exc
 
 
-def read_records(source, header: EdfHeader, first: int, last: int) -> np.ndarray:
+def read_records(
+    source, header: EdfHeader, first: int, last: int, channels: list[int] | None = None
+) -> np.ndarray:
     """Physical samples of data records [first, last), shape (channels, samples)."""
     source.seek(header.header_bytes + first * header.record_bytes)
     raw = source.read((last - first) * header.record_bytes)
     records = np.frombuffer(raw, dtype="<i2").reshape(last - first, -1)
     width = header.samples_per_record
-    picked = np.stack([records[:, c : c + width].reshape(-1) for c in header.columns])
-    return picked * np.array(header.gain)[:, None] + np.array(header.offset)[:, None]
+    wanted = range(len(header.names)) if channels is None else channels
+    picked = np.empty((len(wanted), (last - first) * width))
+    for row, channel in enumerate(wanted):
+        column, count = header.columns[channel], header.counts[channel]
+        samples = records[:, column : column + count]
+        if count != width:
+            samples = samples[:, np.arange(width) * count // width]
+        picked[row] = samples.reshape(-1) * header.gain[channel] + header.offset[channel]
+    return picked
 
 
 def _header_batches(error: type[Exception]):
@@ -231,6 +242,7 @@ class EdfHeaderSource(DataSource):
 class _SampleReader(DataSourceReader):
     def __init__(self, options) -> None:
         self.options = options
+        self.channels = [int(c) for c in options.get("channels", "").split(",") if c.strip()]
         self.rows_sec = float(options.get("secondsPerRow", 60))
 
     def partitions(self):
@@ -247,21 +259,25 @@ class _SampleReader(DataSourceReader):
                 for at in (begin, end)
             )
             step = max(1, int(self.rows_sec / header.record_sec))
+            channels = [c for c in range(len(header.names)) if not self.channels or c in self.channels]
             with open_file(path) as source:
                 for at in range(first, last, step):
                     upto = min(at + step, last)
-                    yield _sample_batch(header, at, read_records(source, header, at, upto))
+                    signal = read_records(source, header, at, upto, channels)
+                    yield _sample_batch(header, at, channels, signal)
 
 
-def _sample_batch(header: EdfHeader, record: int, signal: np.ndarray) -> pa.RecordBatch:
+def _sample_batch(
+    header: EdfHeader, record: int, channels: list[int], signal: np.ndarray
+) -> pa.RecordBatch:
     n, width = signal.shape
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([header.path] * n),
-            pa.array(range(n), pa.int32()),
-            pa.array(header.names),
-            pa.array([header.sfreq] * n),
-            pa.array([record * header.record_sec] * n),
+            pa.array([header.path] * n, pa.string()),
+            pa.array(channels, pa.int32()),
+            pa.array([header.names[c] for c in channels], pa.string()),
+            pa.array([header.sfreq] * n, pa.float64()),
+            pa.array([record * header.record_sec] * n, pa.float64()),
             pa.ListArray.from_arrays(
                 pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(signal.ravel())
             ),
@@ -271,7 +287,11 @@ def _sample_batch(header: EdfHeader, record: int, signal: np.ndarray) -> pa.Reco
 
 
 class EdfSource(DataSource):
-    """``spark.read.format("edf").load(folder)``."""
+    """``spark.read.format("edf").load(folder)``; option ``channels``: numbers to decode, "0,3".
+
+    Filters are not pushed: Spark keeps one reader per loaded table, so a filter of
+    one query would hold for the next one.
+    """
 
     @classmethod
     def name(cls) -> str:

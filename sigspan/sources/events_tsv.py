@@ -1,22 +1,22 @@
-"""Tab-separated annotation files, all at once.
+"""Tab-separated annotation files, all at once, read on the executors.
 
-Files may order their columns differently, and Spark applies one schema by
-position. So the header line of each file is read first, files are grouped by
-header, and each group is one splittable CSV scan. There is one scan per
-distinct header, not per file.
+Files may order their columns differently. One pass over the wanted paths reads
+each header and finds the required columns; then every file is cut into byte
+ranges and the ranges are read in parallel. Paths, headers and rows stay on the
+executors, whatever the number of files, folders or layouts.
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspan.errors import EventsFileError
-from sigspan.functions.bids import EVENTS_SUFFIX, plain_path
+from sigspan.errors import EventsFileError, fail
+from sigspan.functions.bids import EVENTS_SUFFIX
 from sigspan.operators.intervals import REQUIRED, extract_seizure_intervals
 from sigspan.session import shuffle_partitions
 from sigspan.sources.manifest import list_files
@@ -24,89 +24,110 @@ from sigspan.sources.remote import open_file
 from sigspan.sources.tables import existing
 
 HEADER_BYTES = 4096
+RANGE_BYTES = 16 << 20
+_HEADS = "path string, begin long, size long, columns array<int>, absent boolean, missing string"
+_EVENTS = "path string, onset string, duration string, eventType string"
 
 
-def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, header, has_rows) of every listed file, from one small read."""
+def _cells(line: str) -> list[str]:
+    return next(csv.reader([line], delimiter="\t"), [])
+
+
+def _head(path: str) -> tuple:
+    """Where the rows begin, the size, and the places of the required columns."""
+    try:
+        source = open_file(path)
+    except FileNotFoundError:
+        return path, 0, 0, None, True, None
+    with source:
+        size = source.size()
+        text = source.read(min(size, HEADER_BYTES))
+        while b"\n" not in text and len(text) < size:
+            text += source.read(HEADER_BYTES)
+    line, _, rest = text.partition(b"\n")
+    begin = min(len(line) + 1, size)
+    if len(text) == size and not rest.strip():
+        return path, size, size, None, False, None  # no rows: nothing to check
+    names = [c.strip() for c in _cells(line.decode("utf-8-sig").rstrip("\r"))]
+    missing = sorted(set(REQUIRED) - set(names))
+    if missing:
+        return path, begin, size, None, False, f"{missing} ({path})"
+    return path, begin, size, [names.index(c) for c in REQUIRED], False, None
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_(), pa.string())
+    names = ["path", "begin", "size", "columns", "absent", "missing"]
     for batch in batches:
-        paths = batch.column("path").to_pylist()
-        headers, filled = [], []
-        for path in paths:
-            with open_file(path) as source:
-                size = source.size()
-                text = source.read(min(size, HEADER_BYTES))
-                while b"\n" not in text and len(text) < size:
-                    text += source.read(HEADER_BYTES)
-            line, _, rest = text.decode("utf-8-sig").partition("\n")
-            headers.append(line.rstrip("\r"))
-            filled.append(bool(rest.strip()) or len(text) < size)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(paths, pa.string()), pa.array(headers, pa.string()), pa.array(filled)],
-            names=["path", "header", "has_rows"],
-        )
+        rows = [_head(path) for path in batch.column("path").to_pylist()]
+        columns = zip(*rows) if rows else ((),) * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def scan_headers(files: DataFrame) -> DataFrame:
-    return files.repartition(shuffle_partitions(files.sparkSession), "path").mapInArrow(
-        _first_lines, "path string, header string, has_rows boolean"
-    )
+def _lines(path: str, begin: int, end: int, first: int) -> Iterator[str]:
+    """The lines that start in [begin, end); first is where the rows of the file begin."""
+    with open_file(path) as source:
+        size = source.size()
+        # A range owns the lines that start in it, so it looks one byte back.
+        at = begin if begin == first else begin - 1
+        source.seek(at)
+        data = source.read(end - at)
+        if begin > first:
+            cut = data.find(b"\n")
+            if cut < 0:
+                return
+            data = data[cut + 1 :]
+        while data and not data.endswith(b"\n") and source.tell() < size:
+            more = source.read(HEADER_BYTES)
+            cut = more.find(b"\n")
+            data += more if cut < 0 else more[: cut + 1]
+    for line in data.decode("utf-8").split("\n"):
+        line = line.rstrip("\r")
+        if line:
+            yield line
 
 
-def read_events(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
-    """Rows of the annotation files below ``root``, or of the ``wanted`` paths among them.
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for ask in batch.to_pylist():
+            lines = _lines(ask["path"], ask["start"], ask["stop"], ask["begin"])
+            cells = [_cells(line) for line in lines]
+            picked = [
+                pa.array([(c[i] if i < len(c) else None) or None for c in cells], pa.string()) for i in ask["columns"]
+            ]
+            paths = pa.array([ask["path"]] * len(cells), pa.string())
+            yield pa.RecordBatch.from_arrays([paths, *picked], ["path", *REQUIRED])
+
+
+def read_paths(paths: DataFrame) -> DataFrame:
+    """Rows of the annotation files in column ``path``.
 
     Columns: path, onset, duration, eventType, as text. Header names are
-    trimmed; other columns are ignored. Files without rows are not checked.
+    trimmed; other columns are ignored. A file that is absent fails the job;
+    files without rows are not checked.
     """
-    existing(spark, root, FileNotFoundError, "events.tsv not found")
-    files = list_files(spark, root, f"*{EVENTS_SUFFIX}")
-    whole = wanted is None or files.join(wanted, "path", "left_anti").isEmpty()
-    if not whole:
-        files = files.join(wanted, "path", "left_semi")
-    # Asked twice; one short row per file.
-    headers = scan_headers(files).where("has_rows").persist()
-    layouts = (
-        headers.groupBy("header").agg(F.min("path").alias("sample")).orderBy("sample").collect()
-    )
-    one_scan = whole and len(layouts) == 1
-    named: dict[str, list[str]] = {}
-    if not one_scan:
-        # A scan takes its file list from the driver in any case.
-        for row in headers.select("header", "path").collect():
-            named.setdefault(row["header"], []).append(row["path"])
-    headers.unpersist()
-    parts = []
-    for layout in layouts:
-        columns = [name.strip().strip('"').strip() for name in layout["header"].split("\t")]
-        missing = sorted(set(REQUIRED) - set(columns))
-        if missing:
-            raise EventsFileError(
-                f"Missing required columns in events.tsv: {missing} ({layout['sample']})"
-            )
-        scan = (
-            spark.read.schema(", ".join(f"_c{i} string" for i in range(len(columns))))
-            .options(sep="\t", header=True, escape='"', recursiveFileLookup=True)
-            .option("pathGlobFilter", f"*{EVENTS_SUFFIX}")
-        )
-        rows = scan.csv(root if one_scan else named[layout["header"]])
-        parts.append(
-            rows.select(
-                plain_path(F.col("_metadata.file_path")).alias("path"),
-                *[F.col(f"_c{columns.index(name)}").alias(name) for name in REQUIRED],
-            )
-        )
-    if not parts:
-        return spark.createDataFrame(
-            [], "path string, onset string, duration string, eventType string"
+    n = shuffle_partitions(paths.sparkSession)
+    heads = paths.select("path").distinct().repartition(n, "path").mapInArrow(_heads, _HEADS)
+    known = (
+        F.when(F.col("absent"), fail(FileNotFoundError, "no annotation file ", F.col("path")))
+        .when(
+            F.col("missing").isNotNull(),
+            fail(EventsFileError, "annotation columns are missing: ", F.col("missing")),
         )
-    return reduce(DataFrame.unionAll, parts)
+        .otherwise(F.col("begin") < F.col("size"))
+    )
+    starts = F.sequence("begin", F.col("size") - 1, F.lit(RANGE_BYTES).cast("bigint"))
+    ranges = heads.where(known).select("path", "begin", "size", "columns", F.explode(starts).alias("start"))
+    ranges = ranges.withColumn("stop", F.least(F.col("start") + RANGE_BYTES, "size"))
+    return ranges.repartition(n, "path", "start").mapInArrow(_rows, _EVENTS)
+
+
+def read_events(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of all annotation files below ``root``, or of the one file it names."""
+    existing(spark, root, FileNotFoundError, "no annotation files at")
+    return read_paths(list_files(spark, root, f"*{EVENTS_SUFFIX}"))
 
 
-def read_seizure_intervals(
-    spark: SparkSession,
-    root: str,
-    missing_bounds: str = "open",
-    wanted: DataFrame | None = None,
-) -> DataFrame:
+def read_seizure_intervals(spark: SparkSession, root: str, missing_bounds: str = "open") -> DataFrame:
     """Seizure intervals of every annotation file, keyed by its path."""
-    return extract_seizure_intervals(read_events(spark, root, wanted), ["path"], missing_bounds)
+    return extract_seizure_intervals(read_events(spark, root), ["path"], missing_bounds)

@@ -22,14 +22,14 @@ def existing(spark: SparkSession, path: str, error: type[Exception], message: st
 
 def load_segments(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(
-        existing(spark, path, FileNotFoundError, "Segments dataset not found")
+        existing(spark, path, FileNotFoundError, "No segments table at")
     )
     return require_columns(df, SEGMENT_KEYS, FeatureDatasetBuilderError, "segments.parquet")
 
 
 def load_dataset(spark: SparkSession, path: str) -> DataFrame:
     """Parquet or CSV by suffix; an empty table is an error."""
-    existing(spark, path, DatasetInspectionError, "Input file does not exist")
+    existing(spark, path, DatasetInspectionError, "No table at")
     name = path.rstrip("/").rsplit("/", 1)[-1]
     kind = name[name.rfind(".") :].lower() if "." in name else ""
     if kind == ".parquet":
@@ -37,7 +37,7 @@ def load_dataset(spark: SparkSession, path: str) -> DataFrame:
     elif kind == ".csv":
         df = spark.read.csv(path, header=True, inferSchema=True)
     else:
-        raise DatasetInspectionError(f"Unsupported file format: {kind}. Use .parquet or .csv.")
+        raise DatasetInspectionError(f"Neither Parquet nor CSV: {kind}")
     if df.isEmpty():
-        raise DatasetInspectionError("The input dataset is empty.")
+        raise DatasetInspectionError("The table has no rows.")
     return df

@@ -112,5 +112,9 @@ def test_events_path(spark):
 
 def test_plain_path(spark):
     assert column(spark, ["file:///a%20b/c+d", "file:/x", "hdfs://h/a%20b"], bids.plain_path) == [
-        "/a b/c+d", "/x", "hdfs://h/a%20b",
+        "/a b/c+d", "/x", "hdfs://h/a b",
     ]
+    # Encoded metadata and listed paths give one form on every file system.
+    for root in ("file:///", "hdfs://h:1/", "s3a://bucket/"):
+        encoded, listed = root + "a%20b/c+d%25%23.tsv", root + "a b/c+d%#.tsv"
+        assert column(spark, [encoded], bids.plain_path) == column(spark, [listed], lambda c: bids.plain_path(c, False))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from recordings import edf_bytes, make_tree, quantised
 
 from sigspan.errors import (
@@ -11,8 +12,9 @@ from sigspan.errors import (
 from sigspan.functions.windows import WindowSpec
 from sigspan.plans.features import build_features_dataset, segment_features
 from sigspan.plans.segments import build_segments_dataset
-from sigspan.sinks.tables import save_feature_parts, save_segments_dataset
-from sigspan.sources import edf
+from sigspan.plans import features as feature_plans
+from sigspan.sinks.tables import load_feature_parts, save_feature_parts, save_segments_dataset
+from sigspan.sources import edf, events_tsv, remote
 from sigspan.sources.events_tsv import read_events, read_seizure_intervals
 from sigspan.sources.manifest import build_manifest, load_manifest, recording_entities
 from sigspan.sources.tables import load_segments
@@ -74,12 +76,84 @@ def test_events_with_different_layouts(spark, tree):
 
 def test_events_without_required_columns(spark, tmp_path):
     (tmp_path / "a_events.tsv").write_text("onset\tduration\n1\t2\n")
-    with pytest.raises(EventsFileError, match="eventType"):
-        read_events(spark, str(tmp_path))
+    with pytest.raises(EventsFileError, match="eventType"), stage_errors():
+        read_events(spark, str(tmp_path)).collect()
     with pytest.raises(FileNotFoundError):
         read_events(spark, str(tmp_path / "none"))
 
 
+def test_events_in_byte_ranges(spark, tmp_path, monkeypatch):
+    """Two roots, 200 layouts, and ranges far smaller than a file."""
+    monkeypatch.setattr(events_tsv, "RANGE_BYTES", 40)
+    want, paths = set(), []
+    for i in range(200):
+        folder = tmp_path / ("one a" if i % 2 else "two%b+#") / f"d{i}"
+        folder.mkdir(parents=True)
+        names = ["onset", "duration", f"extra{i}"]
+        names.insert(i % 4, '"eventType"' if i % 3 else " eventType ")
+        lines = ["\t".join(names)]
+        for k in range(i % 12):
+            cells = {"onset": str(k), "duration": "" if k == 3 else "1.5", "eventType": f'"sz é{k}"'}
+            lines.append("\t".join(cells.get(n.strip(' "'), "x" * k) for n in names))
+            want.add((str(folder), str(k), cells["duration"] or None, f"sz é{k}"))
+        path = folder / "a_events.tsv"
+        path.write_bytes(("\r\n" if i % 5 == 0 else "\n").join(lines).encode() + b"\n" * (i % 2))
+        paths.append((str(path),))
+    rows = events_tsv.read_paths(spark.createDataFrame(paths, "path string")).collect()
+    assert len(rows) == len(want)
+    assert {(r.path.rsplit("/", 1)[0], r.onset, r.duration, r.eventType) for r in rows} == want
+
+
+def test_labels_of_recordings_under_unrelated_roots(spark, tmp_path):
+    text = "onset\tduration\teventType\n2\t6\tsz_x\n"
+    for root in ("a b", "c%20d+#"):
+        make_tree(tmp_path / root, {("1", "1", "1"): (noise(20, 1), SFREQ, text)})
+    manifests = [build_manifest(spark, str(tmp_path / root)) for root in ("a b", "c%20d+#")]
+    rows = build_segments_dataset(spark, manifests[0].unionByName(manifests[1])).collect()
+    assert [r.label for r in rows] == [1, 1, 0, 0] * 2
+
+
+def test_paths_with_blanks(tmp_path):
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "x_eeg.edf").write_bytes(b"12345")
+    for root in (f"{tmp_path}/a b", f"file://{tmp_path}/a b", f"file://{tmp_path}/a%20b"):
+        (path, size), = remote.find_files(root, ".edf")
+        assert size == 5 and remote.open_file(path).read() == b"12345"
+
+
+def test_edf_channels_of_different_rates(tmp_path):
+    """The slower channel holds its samples; 64 and 16 samples in a record."""
+    fast, slow = noise(3, 1)[0], noise(3, 1)[0][: 3 * 16]
+    even = bytearray(edf_bytes([fast, np.zeros_like(fast)], SFREQ))
+    table = 256 + 2 * 216  # samples per record, 8 bytes a channel
+    even[table + 8 : table + 16] = b"16".ljust(8)
+    step = 2000 / 65535
+    raw = [np.clip(np.rint((x + 1000) / step - 32768), -32768, 32767).astype("<i2") for x in (fast, slow)]
+    data = b"".join(raw[0][k * 64 : k * 64 + 64].tobytes() + raw[1][k * 16 : k * 16 + 16].tobytes() for k in range(3))
+    path = tmp_path / "x.edf"
+    path.write_bytes(bytes(even[: 256 * 3]) + data)
+    header = edf.read_header(str(path), ValueError)
+    assert (header.sfreq, header.duration_sec, header.n_samples) == (64.0, 3.0, 192)
+    with open(path, "rb") as source:
+        both = edf.read_records(source, header, 0, 3)
+        assert both[0] == pytest.approx(quantised(fast)) and both[1] == pytest.approx(np.repeat(quantised(slow), 4))
+        assert edf.read_records(source, header, 1, 2, [1])[0] == pytest.approx(both[1][64:128])
+
+
+def test_edf_channel_selection(spark, tree):
+    root, paths = tree
+    edf.register(spark)
+    path = paths["01", "02", "00"]
+    df = spark.read.format("edf").option("channels", "1,5").load(path)
+    found = df.orderBy("start_sec").collect()
+    assert {(r.path, r.channel, r.channel_name) for r in found} == {(path, 1, "EEG 1")}
+    assert np.concatenate([r.samples for r in found]) == pytest.approx(quantised(SIGNALS["01", "02", "00"][1]), abs=1e-15)
+    # A filter of one query does not change the next one.
+    all_rows = spark.read.format("edf").load(str(root))
+    n = all_rows.count()
+    assert 0 < all_rows.where(all_rows.path == path).count() < n == all_rows.count()
+
+
 def test_edf_header_and_samples(spark, tree):
     root, paths = tree
     edf.register(spark)
@@ -144,10 +218,10 @@ def test_segments_from_files(spark, tree, tmp_path):
 def test_missing_or_bad_annotations(spark, tmp_path):
     make_tree(tmp_path, {("1", "1", "1"): (noise(6, 1), SFREQ, None)})
     manifest = build_manifest(spark, str(tmp_path))
-    with pytest.raises(FileNotFoundError, match="events.tsv"):
-        build_segments_dataset(spark, manifest)
+    with pytest.raises(FileNotFoundError, match="events.tsv"), stage_errors():
+        build_segments_dataset(spark, manifest).collect()
     make_tree(tmp_path, {("1", "1", "1"): (noise(6, 1), SFREQ, "onset\tduration\teventType\n-1\t2\tsz\n")})
-    with pytest.raises(EventsFileError, match="Negative"):
+    with pytest.raises(EventsFileError, match="Negative"), stage_errors():
         save_segments_dataset(build_segments_dataset(spark, manifest), str(tmp_path / "out"))
 
 
@@ -175,9 +249,29 @@ def test_features_from_files(spark, tree, tmp_path):
     for bad in (0, -1):
         with pytest.raises(FeatureDatasetBuilderError):
             build_features_dataset(spark, segments, max_segments=bad)
-    save_feature_parts(features, str(tmp_path / "parts"))
-    back = spark.read.parquet(str(tmp_path / "parts"))
-    assert back.count() == len(rows) and back.select("recording").distinct().count() == 3
+    # Two recordings with the same file name stay apart.
+    twice = features.unionByName(features.withColumn("path", F.concat(F.lit("/other"), "path")))
+    save_feature_parts(twice, str(tmp_path / "parts"))
+    back = load_feature_parts(spark, str(tmp_path / "parts"))
+    assert back.exceptAll(twice).isEmpty() and back.count() == 2 * len(rows)
+    for path in paths.values():
+        one = load_feature_parts(spark, str(tmp_path / "parts"), path)
+        assert one.exceptAll(features.where(features.path == path)).isEmpty() and not one.isEmpty()
+
+
+def test_gathered_samples_are_bounded(monkeypatch, tmp_path):
+    """A stride far below the window size does not grow what is held at once."""
+    seen = []
+    block = feature_plans.feature_block
+    monkeypatch.setattr(feature_plans, "feature_block", lambda x, *a: seen.append(x.size) or block(x, *a))
+    monkeypatch.setattr(feature_plans, "READ_SAMPLES", 4096)
+    path = tmp_path / "x.edf"
+    path.write_bytes(edf_bytes(noise(60, 3), SFREQ))
+    header = edf.read_header(str(path), ValueError)
+    start = np.arange(0, 55, 0.1)
+    with open(path, "rb") as source:
+        found = feature_plans._recording_features(source, header, start, start + 5.0, False)
+    assert len(found) == len(start) and max(seen) <= 4096 and not np.isnan(found).any()
 
 
 def test_feature_errors(spark, tree, tmp_path):
