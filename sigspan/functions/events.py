@@ -26,7 +26,7 @@ _NUMBER = (
 )
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once per row."""
     return F.transform(F.array(value), body)[0]
 
@@ -59,19 +59,19 @@ def coerce_non_negative(value: Column, field: str, missing: str = "open") -> Col
     absent = fail(EventsFileError, f"Missing value for '{field}'") if missing == "error" else none
 
     def parsed(text: Column) -> Column:
-        return _let(
+        return let(
             F.regexp_extract(text, _NUMBER, 1),
             lambda number: F.when(
-                number == "", fail(EventsFileError, f"Non-numeric value for '{field}': ", text)
+                number == "", fail(EventsFileError, f"Not a number in '{field}': ", text)
             ).otherwise(F.replace(number, F.lit("_"), F.lit("")).try_cast("double")),
         )
 
     def checked(number: Column) -> Column:
         return (
             F.when(F.isnan(number), absent)
-            .when(number < 0, fail(EventsFileError, f"Negative value for '{field}': ", number))
+            .when(number < 0, fail(EventsFileError, f"Negative '{field}': ", number))
             .otherwise(number)
         )
 
     text = null_if_na(value.cast("string"))
-    return F.when(text.isNull(), absent).otherwise(_let(parsed(text), checked))
+    return F.when(text.isNull(), absent).otherwise(let(parsed(text), checked))

@@ -30,12 +30,12 @@ CHUNK_SAMPLES = 1 << 19
 
 def check_bands(sfreq: float, bands: Sequence[tuple[float, float]]) -> float:
     if not sfreq > 0:
-        raise FrequencyFeatureError(f"'sfreq' must be > 0. Received value: {sfreq}")
+        raise FrequencyFeatureError(f"The sampling rate is not positive: {sfreq}")
     for fmin, fmax in bands:
         if fmin < 0 or fmax <= fmin:
-            raise FrequencyFeatureError(f"Invalid frequency band: fmin={fmin}, fmax={fmax}")
+            raise FrequencyFeatureError(f"Not a frequency band: {fmin} to {fmax}")
         if fmax > sfreq / 2:
-            raise FrequencyFeatureError(f"fmax={fmax} exceeds Nyquist frequency={sfreq / 2}")
+            raise FrequencyFeatureError(f"The band edge {fmax} lies above half the sampling rate, {sfreq / 2}")
     return float(sfreq)
 
 
@@ -47,7 +47,7 @@ def welch_psd(signals: np.ndarray, sfreq: float) -> tuple[np.ndarray, np.ndarray
     """
     length = min(signals.shape[-1], int(sfreq * 2))
     if length < 2:
-        raise FrequencyFeatureError("Signal is too short to compute Welch PSD reliably.")
+        raise FrequencyFeatureError("Too few samples for a Welch estimate.")
     taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length)
     pieces = sliding_window_view(signals, length, axis=-1)[..., :: length - length // 2, :]
     spectrum = np.fft.rfft((pieces - pieces.mean(axis=-1, keepdims=True)) * taper)
@@ -92,14 +92,16 @@ def by_length(column: pa.Array, width: int, kernel) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        raise FrequencyFeatureError("Signal cannot be empty.")
+        raise FrequencyFeatureError("A signal has no samples.")
     offsets = column.offsets.to_numpy()
+    if column.flatten().null_count:
+        raise FrequencyFeatureError("A signal has a missing sample.")
     samples = column.values.to_numpy(zero_copy_only=False)
     lengths = np.diff(offsets)
     out = np.empty((len(column), width))
     for length in np.unique(lengths):
         if length == 0:
-            raise FrequencyFeatureError("Signal cannot be empty.")
+            raise FrequencyFeatureError("A signal has no samples.")
         rows = np.flatnonzero(lengths == length)
         step = max(1, CHUNK_SAMPLES // int(length))
         for at in range(0, rows.size, step):

@@ -1,8 +1,9 @@
 """Subject-level audit of a labelled table.
 
-Only the subject summary reads the table; everything else derives from it. The
-number of subjects may be large as well, so nothing here gathers the summary in
-one task: totals are scalars, rankings are top-k, quantiles are bracketed.
+Only the subject summary reads the table; everything else derives from it, in one
+pass (two for quantiles). The shares of single subjects also need the totals, a
+scan of the labels. The number of subjects may be large as well, so nothing here
+gathers the summary in one task.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from sigspan.errors import DatasetInspectionError, fail
 from sigspan.functions.events import strip
 from sigspan.operators.quantiles import describe
 from sigspan.schemas import require_columns
+from sigspan.session import shuffle_partitions
 
 # Columns that may identify a recording, in order of preference.
 RECORDING_COLUMNS = (
@@ -37,6 +39,7 @@ LOW_POSITIVE_SUBJECT_RATIO = 0.5
 TOP1_POSITIVE_SHARE, TOP3_POSITIVE_SHARE = 0.40, 0.75
 TOP1_SEGMENT_SHARE, TOP3_SEGMENT_SHARE = 0.25, 0.50
 SMALL_SUBJECT_SEGMENTS, SMALL_SUBJECT_FRACTION = 50, 0.20
+TOP = 5
 
 # Recommendation texts.
 STRATEGY_FEW_SUBJECTS = (
@@ -72,22 +75,22 @@ def validate_dataset(df: DataFrame, positive_label: int = 1) -> DataFrame:
     checked_subject = (
         F.when(
             subject.isNull(),
-            fail(DatasetInspectionError, "Column 'subject' contains null values."),
+            fail(DatasetInspectionError, "A row has no subject."),
         )
         .when(
             subject == "",
-            fail(DatasetInspectionError, "Column 'subject' contains empty identifiers."),
+            fail(DatasetInspectionError, "A subject is blank."),
         )
         .otherwise(subject)
     )
     checked_label = (
         F.when(
-            label.isNull(), fail(DatasetInspectionError, "Column 'label' contains null values.")
+            label.isNull(), fail(DatasetInspectionError, "A row has no label.")
         )
         .when(
             ~label.isin(0, 1, positive_label),
             fail(
-                DatasetInspectionError, "Column 'label' contains unexpected values. Found: ", label
+                DatasetInspectionError, "Not one of the labels: ", label
             ),
         )
         .otherwise((label == positive_label).cast("bigint"))
@@ -99,14 +102,9 @@ def infer_recording_column(df: DataFrame) -> str | None:
     return next((c for c in RECORDING_COLUMNS if c in df.columns), None)
 
 
-def _shares(summary: DataFrame) -> DataFrame:
-    """Contribution of each subject to the totals; the totals are one scalar row."""
-    totals = summary.agg(
-        F.struct(
-            F.greatest(F.sum("n_positive"), F.lit(1)).alias("positive"),
-            F.sum("n_segments").alias("segments"),
-        ).alias("t")
-    ).scalar()
+def _shares(summary: DataFrame, totals: DataFrame) -> DataFrame:
+    """Contribution of each subject to the one row of totals."""
+    totals = totals.select(F.struct(F.greatest("positive", F.lit(1)).alias("positive"), "segments")).scalar()
     return summary.withColumns(
         {
             "has_positive": F.col("n_positive") > 0,
@@ -140,7 +138,8 @@ def subject_summary(df: DataFrame, recording_column: str | None) -> DataFrame:
         (F.col("n_positive") / F.col("n_segments")).alias("positive_ratio"),
         (F.col("n_recordings") if recording_column else recordings).alias("n_recordings"),
     )
-    return _shares(summary)
+    # counted in the table itself, which needs no shuffle by subject
+    return _shares(summary, df.agg(F.sum("label").alias("positive"), F.count("*").alias("segments")))
 
 
 def by_positive() -> list[Column]:
@@ -198,40 +197,59 @@ def distribution_stats(summary: DataFrame) -> DataFrame:
     )
 
 
-def _top_shares(summary: DataFrame, order: str, share: str, kind: str) -> DataFrame:
-    """Cumulative share of the top 1, 3 and 5 subjects, from five rows."""
-    top = summary.select(order, share).orderBy(F.desc(order)).limit(5)
-    rank = F.row_number().over(Window.orderBy(F.desc(order)))
-    ranked = top.select(F.col(share).alias("share"), rank.alias("rank"))
-    return ranked.agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("share"))), F.lit(0.0)).alias(
-                f"top_{k}_{kind}_share"
-            )
-            for k in (1, 3, 5)
-        ]
+def _facts(summary: DataFrame) -> DataFrame:
+    """One row: totals, and the five largest counts of positives and of segments.
+
+    One pass over the summary. Subjects are dealt into parts; each part keeps its
+    sums and its five largest counts, so that what meets in the end is small.
+    """
+    part = F.pmod(F.xxhash64("subject"), F.lit(shuffle_partitions(summary.sparkSession)))
+    counts = summary.select("n_segments", "n_positive", part.alias("part"))
+
+    def rank(column: str) -> Column:
+        return F.row_number().over(Window.partitionBy("part").orderBy(F.desc(column)))
+
+    def largest(column: str, rank: str) -> Column:
+        return F.collect_list(F.when(F.col(rank) <= TOP, F.col(column))).alias(f"top_{column}")
+
+    def five(column: str) -> Column:
+        joined = F.flatten(F.collect_list(f"top_{column}"))
+        return F.slice(F.sort_array(joined, asc=False), 1, TOP).alias(f"top_{column}")
+
+    parts = (
+        counts.select("*", rank("n_positive").alias("_p"), rank("n_segments").alias("_s"))
+        .groupBy("part")
+        .agg(
+            F.sum("n_segments").alias("segments"),
+            F.sum("n_positive").alias("positive"),
+            F.count("*").alias("subjects"),
+            F.count_if(F.col("n_positive") > 0).alias("with_positive"),
+            F.count_if(F.col("n_segments") < SMALL_SUBJECT_SEGMENTS).alias("small"),
+            largest("n_positive", "_p"),
+            largest("n_segments", "_s"),
+        )
     )
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in parts.columns[1:6]]
+    return parts.agg(*sums, five("n_positive"), five("n_segments"))
 
 
-def _one_row(parts: list[DataFrame]) -> DataFrame:
-    """Put one-row tables side by side, each as a scalar of the first."""
-    first, *others = parts
-    columns = [
-        other.select(F.struct("*").alias("row")).scalar()[name].alias(name)
-        for other in others
-        for name in other.columns
+def _shares_of_largest() -> list[Column]:
+    """Cumulative share of the top 1, 3 and 5 subjects, over the columns of ``_facts``."""
+
+    def share(counts: str, whole: Column, k: int) -> Column:
+        shares = F.transform(F.slice(counts, 1, k), lambda n: n / whole)
+        return F.aggregate(shares, F.lit(0.0), lambda a, b: a + b)
+
+    positive, segments = F.greatest("positive", F.lit(1)), F.greatest("segments", F.lit(1))
+    return [
+        *[share("top_n_positive", positive, k).alias(f"top_{k}_positive_share") for k in (1, 3, 5)],
+        *[share("top_n_segments", segments, k).alias(f"top_{k}_segment_share") for k in (1, 3, 5)],
     ]
-    return first.select("*", *columns)
 
 
 def concentration(summary: DataFrame) -> DataFrame:
     """One row: how much of all positives and segments the top subjects hold."""
-    return _one_row(
-        [
-            _top_shares(summary, "n_positive", "positive_share_overall", "positive"),
-            _top_shares(summary, "n_segments", "segment_share_overall", "segment"),
-        ]
-    )
+    return _facts(summary).select(*_shares_of_largest())
 
 
 def recommend_strategy() -> Column:
@@ -249,11 +267,15 @@ def recommend_strategy() -> Column:
 
 def risk_flags(summary: DataFrame) -> DataFrame:
     """One row of warning flags and the recommended strategy."""
-    small = summary.agg(
-        F.avg((F.col("n_segments") < SMALL_SUBJECT_SEGMENTS).cast("double")).alias("small"),
-        F.count_if(F.col("n_positive") == 0).alias("zero_positive"),
+    subjects, hits = F.col("subjects"), F.col("with_positive")
+    facts = _facts(summary).select(
+        subjects.alias("total_subjects"),
+        hits.alias("subjects_with_positive"),
+        F.when(subjects > 0, hits / subjects).otherwise(0.0).alias("subject_positive_ratio"),
+        F.when(subjects > 0, F.col("small") / subjects).alias("small"),
+        (subjects - hits).alias("zero_positive"),
+        *_shares_of_largest(),
     )
-    facts = _one_row([global_summary(summary), small, concentration(summary)])
     col = F.col
     flags = {
         "few_total_subjects": col("total_subjects") < FEW_SUBJECTS,

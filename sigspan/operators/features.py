@@ -37,7 +37,7 @@ def channel_name(number: Column) -> Column:
 
 def check_channel_names(names: Sequence[str]) -> list[str]:
     if not names:
-        raise FeatureExtractionError("Signal must contain at least one channel.")
+        raise FeatureExtractionError("A signal needs at least one channel.")
     if len(set(names)) != len(names):
         raise FeatureExtractionError("Channel names must be distinct.")
     return list(names)
@@ -79,7 +79,7 @@ def _extract(
     kind = df.schema[signal].dataType
     if not (isinstance(kind, ArrayType) and isinstance(kind.elementType, ArrayType)):
         raise FeatureExtractionError(
-            f"Multichannel signal must be 2D (n_channels, n_samples). Received: {kind.simpleString()}"
+            f"A multichannel signal is a 2D array of channels and samples, not {kind.simpleString()}"
         )
     if channel_names is None:
         if max_channels is None:
@@ -103,15 +103,15 @@ def _extract(
             column = column.combine_chunks()
         counts = np.diff(column.offsets.to_numpy())
         if column.null_count or (counts == 0).any():
-            raise FeatureExtractionError("Signal must contain at least one channel.")
+            raise FeatureExtractionError("A signal needs at least one channel.")
         if (counts > len(names)).any() or (not ragged and (counts != len(names)).any()):
-            raise FeatureExtractionError(
-                "Number of channel names does not match number of channels."
-            )
+            raise FeatureExtractionError("A signal has as many channels as there are names.")
         channels = column.flatten()
+        if channels.flatten().null_count:
+            raise FeatureExtractionError("A signal has a missing sample.")
         sizes = np.diff(channels.offsets.to_numpy())
         if (sizes == 0).any():
-            raise FeatureExtractionError("Signal must contain at least one sample per channel.")
+            raise FeatureExtractionError("Every channel needs at least one sample.")
         row = np.repeat(np.arange(len(column)), counts)
         if (sizes != np.repeat(sizes[np.cumsum(counts) - counts], counts)).any():
             raise FeatureExtractionError("Channels of a signal must be equally long.")
@@ -177,9 +177,9 @@ def crop_samples(samples: Column, start_sec: Column, end_sec: Column, sfreq: Col
     """
     first = F.rint(start_sec * sfreq).cast("int")
     last = F.rint(end_sec * sfreq).cast("int")
-    bad = (end_sec <= start_sec) | (last <= first)
+    bad = (end_sec <= start_sec) | (last <= first) | (first >= F.size(samples))
     length = F.when(
         bad,
-        fail(FeatureDatasetBuilderError, "Invalid segment boundaries: ", start_sec, " to ", end_sec),
+        fail(FeatureDatasetBuilderError, "No samples between the bounds ", start_sec, " to ", end_sec),
     ).otherwise(last - first)
     return F.slice(samples, first + 1, length)

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sigspan.errors import DatasetInspectionError, stage_errors
 from sigspan.operators import audit
@@ -53,7 +54,8 @@ def summary(spark):
         "n_positive / n_segments AS positive_ratio",
         "CAST(1 AS BIGINT) AS n_recordings",
     )
-    return audit._shares(base).persist()
+    totals = base.agg(F.sum("n_positive").alias("positive"), F.sum("n_segments").alias("segments"))
+    return audit._shares(base, totals).persist()
 
 
 def test_published_totals(summary):
@@ -162,10 +164,10 @@ def test_positive_label_selects_the_class(spark):
 @pytest.mark.parametrize(
     "rows, message",
     [
-        ([("a", None)], "null values"),
-        ([(None, 1)], "null values"),
-        ([("  ", 1)], "empty identifiers"),
-        ([("a", 2)], "unexpected values"),
+        ([("a", None)], "no label"),
+        ([(None, 1)], "no subject"),
+        ([("  ", 1)], "blank"),
+        ([("a", 2)], "one of the labels"),
     ],
 )
 def test_bad_rows_are_rejected(spark, rows, message):
@@ -205,7 +207,7 @@ def test_load_dataset_dispatch(spark, tmp_path):
     df.where("false").write.parquet(str(tmp_path / "empty.parquet"))
     df.write.json(str(tmp_path / "t.json"))
     for name, message in (
-        ("empty.parquet", "empty"), ("t.json", "Unsupported"), ("no.parquet", "does not exist"),
+        ("empty.parquet", "no rows"), ("t.json", "Neither"), ("no.parquet", "No table"),
     ):
         with pytest.raises(DatasetInspectionError, match=message):
             load_dataset(spark, str(tmp_path / name))
