@@ -46,10 +46,10 @@ def open_file(path: str):
 
 
 def create_file(path: str):
-    """An output stream; missing folders are created."""
+    """An output stream for bytes as they are; missing folders are created."""
     system, inner, _, _ = _resolve(path)
     system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(inner)
+    return system.open_output_stream(inner, compression=None)
 
 
 def find_files(path: str, ending: str) -> list[tuple[str, int]]:
