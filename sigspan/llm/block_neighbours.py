@@ -70,11 +70,11 @@ def quantised(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of each row of a with the same row of b, in double precision."""
-    dot = np.einsum("ij,ij->i", a, b)
-    norms = np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))
     with np.errstate(all="ignore"):
+        dot = np.einsum("ij,ij->i", a, b)
+        norms = np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b))
         found = dot / norms
-    odd = ~np.isfinite(found) | (norms == 0)  # squares that overflow or vanish
+    odd = ~np.isfinite(found) | ~np.isfinite(norms) | ~(norms > 1e-140)  # squares overflow or vanish
     if odd.any():
         found[odd] = np.einsum("ij,ij->i", unit(a[odd]), unit(b[odd]))
     return found

@@ -69,13 +69,16 @@ def header(page_id, url, size: int, digest: str, refers_to) -> bytes:
 
 def cut(head: bytes, payload: memoryview, size: int) -> Iterator[tuple[int, bool, bytes]]:
     """(number, last, bytes) of a record's chunks, made one at a time."""
-    first = max(0, size - len(head))
-    piece, at, number = head + bytes(payload[:first]), first, 0
-    while at < len(payload):
-        yield number, False, piece
-        piece, number = bytes(payload[at : at + size]), number + 1
+    at, number, total = 0, 0, len(head) + len(payload)
+    while True:
+        body = payload[max(0, at - len(head)) : max(0, at + size - len(head))]
+        piece = head[at : at + size] + bytes(body)
         at += size
-    yield number, True, piece + b"\r\n\r\n"
+        if at >= total:
+            yield number, True, piece + b"\r\n\r\n"
+            return
+        yield number, False, piece
+        number += 1
 
 
 class Reader:

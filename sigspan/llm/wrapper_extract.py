@@ -32,9 +32,11 @@ from __future__ import annotations
 import html as references
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -207,34 +209,37 @@ def merge(a: tuple, b: tuple) -> tuple:
 
 def align(wrapper: tuple, page: tuple) -> tuple:
     """The wrapper generalised so that it also accepts the page."""
+    ours: list = []  # (node, the optional group it stands in)
+    for i, node in enumerate(wrapper):
+        ours += [(n, i) for n in node[1]] if node[0] == "opt" else [(node, None)]
+    sizes = Counter(group for _, group in ours)
     found: list = []
-    bare = [n[1][0] if n[0] == "opt" and len(n[1]) == 1 else n for n in wrapper]  # an optional node may match, too
-    matcher = SequenceMatcher(None, [sign(n) for n in bare], [sign(n) for n in page], autojunk=False)
+    matcher = SequenceMatcher(None, [sign(n) for n, _ in ours], [sign(n) for n in page], autojunk=False)
     for kind, a, b, c, d in matcher.get_opcodes():
         if kind == "equal":
-            for whole, x, y in zip(wrapper[a:b], bare[a:b], page[c:d]):
-                node = merge((x,), (y,))[0]
-                found.append(("opt", (node,)) if whole[0] == "opt" else node)
+            found += [(merge((x,), (y,))[0], group) for (x, group), y in zip(ours[a:b], page[c:d])]
             continue
-        ours, theirs = list(wrapper[a:b]), list(page[c:d])
+        left, more = ours[a:b], tuple(page[c:d])
+        # what the page lacks is optional; a group that it lacks as a whole is so already
+        absent = Counter(group for _, group in left)
+        left = [(n, g if g is not None and absent[g] == sizes[g] else ("absent", a)) for n, g in left]
         # repeated on one side and single on the other: the group stays repeated
-        single = [i for i, n in enumerate(ours) if n[0] == "plus" and matches(n[1], tuple(theirs))]
-        if single:
-            i = single[0]
-            ours[i], theirs = ("plus", merge(ours[i][1], tuple(theirs))), []
-            found += [n if j == i or n[0] == "opt" else ("opt", (n,)) for j, n in enumerate(ours)]
+        at = next((i for i, (n, _) in enumerate(left) if n[0] == "plus" and matches(n[1], more)), None)
+        if at is not None:
+            left[at] = (("plus", merge(left[at][0][1], more)), ours[a + at][1])
+            found += left
             continue
-        again = [n for n in theirs if n[0] == "plus" and ours and matches(n[1], tuple(ours))]
-        if again:
-            found.append(("plus", merge(again[0][1], tuple(ours))))
+        single = tuple(n for n, _ in left)
+        again = next((n for n in more if n[0] == "plus" and single and matches(n[1], single)), None)
+        if again is not None:
+            found.append((("plus", merge(again[1], single)), ours[a][1]))
             continue
-        if ours and all(n[0] == "opt" for n in ours):
-            found += ours
-        elif ours:
-            found.append(("opt", tuple(ours)))
-        if theirs:
-            found.append(("opt", tuple(theirs)))
-    return tuple(found)
+        found += left + [(n, ("more", c)) for n in more]
+    joined: list = []
+    for group, nodes in groupby(found, key=lambda x: x[1]):
+        body = tuple(n for n, _ in nodes)
+        joined += body if group is None else [("opt", body)]
+    return tuple(joined)
 
 
 def infer(pages: list[str]) -> tuple:
