@@ -184,7 +184,7 @@ def test_signatures_estimate_similarity():
     b = np.unique(np.r_[a[:800], rng.integers(0, 1 << 63, 200, np.uint64) * np.uint64(2)])
     same = np.mean(star_dedup.signature(a) == star_dedup.signature(b))
     assert abs(same - 800 / 1200) < 0.12
-    small = a[:3]
+    small = a[::333][:3]  # in bins of their own
     assert set(star_dedup.signature(small)) == set(small)
 
 
