@@ -10,13 +10,14 @@ token stream after the other with the wrapper so far:
   (a group that stands beside a copy of itself);
 * what is still unmatched on either side becomes an optional group.
 
-The wrapper is then read as rules: for each path of block elements whether its text
-is kept, and the constant texts outside the article. A path is dropped if it runs
+The wrapper is then read as rules: for the path of each of its texts whether it is
+kept, and the constant texts outside the article. A path is dropped if it runs
 through an element made for menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles or comments, by its name or its class, id or role; where the
 wrapper has an article, everything outside it is dropped; constants that all
 sampled pages share are template text unless they stand in the article. Paths that
-the sample did not show are judged by the same marks.
+the sample did not show are judged by the same marks. Where classes would leave
+nothing of a page without an article, only element names and roles count.
 
 A page is read whole with its host's rules in one pass. The sample is the only
 bounded part; wrappers are joined to pages by host, from a stored table whose size
@@ -57,10 +58,11 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 DROPPED = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "note"}
 MARKS = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist "
-    "consent cookie cookies disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation "
-    "newsletter notice notices notification pager pagination popup promo promoted recommended related replies respond "
-    "search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split()
+    "ad ads advert adverts advertisement advertising alert announcement banner breadcrumb breadcrumbs comment comments "
+    "commentlist consent cookie cookies copyright disclaimer discussion disqus footer form gdpr header login masthead "
+    "menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup "
+    "promo promoted recommended related replies respond responses search share sharing sidebar signup skip social "
+    "sponsor sponsored subscribe subscription toc toolbar topbar widget".split()
 )
 MAIN = {"article", "main"}
 _NOT_THE_ARTICLE = {"ad", "ads", "advert", "comment", "comments", "promo", "related", "reply", "sponsored"}
@@ -76,14 +78,14 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 def marked(name: str, rest: str) -> str:
-    """An element's part of a path: its name, and `!` if it is made for something other than the article."""
+    """An element's part of a path; `!!` if it is made for something other than the article, `!` if its class says so."""
     attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
     words = set(re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
     marks = {"html": set(), "body": set(), "main": set(), "article": _NOT_THE_ARTICLE}.get(name, MARKS)
-    drop = name in DROPPED or words & marks or attributes.get("role", "").lower() in ROLES
+    drop = "!!" if name in DROPPED or attributes.get("role", "").lower() in ROLES else "!" if words & marks else ""
     kind = ".".join(sorted(w for w in words if w and not w.isdigit()))
     main = attributes.get("role", "").lower() == "main" and name not in MAIN
-    return f"{'main:' if main else ''}{name}{'.' + kind if kind else ''}{'!' if drop else ''}"
+    return f"{'main:' if main else ''}{name}{'.' + kind if kind else ''}{drop}"
 
 
 def blocks(page: str) -> Iterator[tuple[str, str | tuple[str, ...]]]:
@@ -261,42 +263,57 @@ def texts_of(wrapper: tuple, optional: bool = False) -> Iterator[tuple[tuple, st
 
 
 def in_article(path: tuple) -> bool:
-    return any(p.split(".")[0].removesuffix("!") in MAIN or p.startswith("main:") for p in path)
+    return any(p.split(".")[0].rstrip("!") in MAIN or p.startswith("main:") for p in path)
 
 
-def dropped(path: tuple) -> bool:
+def dropped(path: tuple, mark: str = "!") -> bool:
     """Whether an element of the path is marked; a header within an article keeps its headings."""
     for i, part in enumerate(path):
-        if part.endswith("!"):
-            heading = part.split(".")[0].removesuffix("!") == "header" and re.match(r"h[1-6]\b", path[-1])
+        if part.endswith(mark):
+            heading = "header" in part.rstrip("!").split(".") and re.match(r"h[1-6]\b", path[-1])
             if not (heading and in_article(path[:i])):
                 return True
     return False
 
 
 def rules_of(pages: list[str]) -> dict:
-    """The wrapper of the pages, read as rules: has it an article, and which constants are template."""
-    wrapper = infer(pages)
-    slots = [(p, c, o) for p, c, o in texts_of(wrapper) if not dropped(p)]
-    article = any(in_article(p) for p, _, _ in slots)
+    """The wrapper of the pages, read as rules: paths to keep and to drop, and template texts."""
+    slots = list(texts_of(infer(pages)))
+    drop = {"/".join(p) for p, _, _ in slots if dropped(p)}
+    keep = {"/".join(p) for p, _, _ in slots} - drop
     several = len(set(pages)) > 2  # copies of one page tell nothing
-    constants = {c for p, c, o in slots if c is not None and not o and not in_article(p)} if several else set()
-    return {"article": article, "constants": sorted(constants), "slots": len(slots)}
+    fixed = {c for p, c, o in slots if several and c is not None and not o and not dropped(p) and not in_article(p)}
+    return {"keep": sorted(keep), "drop": sorted(drop), "constants": sorted(fixed)}
 
 
-def main_text(page: str, rules: dict) -> str:
+class Rules:
+    """The rules of a host, ready to read its pages; of an unknown host, none."""
+
+    def __init__(self, rules: dict):
+        self.keep, self.drop, self.constants = (frozenset(rules.get(k, ())) for k in ("keep", "drop", "constants"))
+
+    def keeps(self, path: tuple) -> bool:
+        """What the wrapper says of a path; where it has none, what the marks say."""
+        name = "/".join(path)
+        return name in self.keep or name not in self.drop and not dropped(path)
+
+
+def main_text(page: str, rules: Rules) -> str:
     """The text of the article, blocks joined by one space."""
-    kept = [v for k, v in blocks(page) if k == "text" and not dropped(v[0])]
+    events = list(blocks(page))
+    texts = [v for k, v in events if k == "text"]
+    kept = [v for v in texts if rules.keeps(v[0])]
     inside = [text for path, text in kept if in_article(path)]
-    if inside or rules.get("article") and not kept:
+    if inside or any(k == "start" and in_article(v) and not dropped(v) for k, v in events):
         return " ".join(inside)
-    constants = set(rules.get("constants", ()))
-    return " ".join(text for _, text in kept if text not in constants)
+    # a frame around the whole page may be named after what stands in it
+    kept = kept or [v for v in texts if not dropped(v[0], "!!")]
+    return " ".join(text for _, text in kept if text not in rules.constants)
 
 
 @lru_cache(maxsize=4096)
-def _parsed(rules: str | None) -> dict:
-    return json.loads(rules) if rules else {}
+def _parsed(rules: str | None) -> Rules:
+    return Rules(json.loads(rules) if rules else {})
 
 
 def _host(url: str = "url"):

@@ -66,10 +66,19 @@ def test_wrapper_inference():
 
 def test_template_text_outside_articles_is_dropped():
     pages = [f"<div><p>Welcome to us</p><div><p>story {i}</p></div></div>" for i in range(4)]
-    rules = wrapper_extract.rules_of(pages)
+    rules = wrapper_extract.Rules(wrapper_extract.rules_of(pages))
     assert wrapper_extract.main_text(pages[0], rules) == "story 0"
 
 
+def test_marks_of_regions():
+    text = lambda page: wrapper_extract.main_text(page, wrapper_extract.Rules({}))
+    assert text('<div class="page with-sidebar"><p>all of it</p><nav>menu</nav></div>') == "all of it"
+    assert text('<article><div class="entry-header"><h1>Title</h1><p>by me</p></div><p>body</p></article>') == "Title body"
+    assert text('<div class="ad">buy</div><article></article>') == ""
+    assert text('<div id="main-menu">a</div><div class="post"><p>b</p></div><ol class="comment-list"><li>c</ol>') == "b"
+    assert text('<div role="main"><p>in</p></div><p>out</p>') == "in"
+
+
 def brute_text(page):
     """For the given pages only: the blocks of their article."""
     found = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)
