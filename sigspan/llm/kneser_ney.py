@@ -12,7 +12,7 @@ way. Documents are dealt into blocks of `BLOCK_BYTES`; each block asks for its
 distinct n-grams only; what all blocks ask for is resolved order by order by joins
 with the counts and their contexts; the answers return to the blocks, which add
 them up to one perplexity (per byte) for each document. So what is shuffled is the
-text once, and the distinct n-grams of blocks.
+text once, compressed, and the distinct n-grams of blocks.
 
 A document stays if its perplexity is at most `MARGIN` times the `QUANTILE` of the
 perplexities of its language's trusted documents, with an allowance of
@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigspan.llm import id_filter
 from sigspan.llm.common import schema_of, slices, stored, text_bytes
 from sigspan.session import shuffle_partitions
 
@@ -144,39 +145,112 @@ def discounts(few: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), i + 0.95) for i, d in enumerate(found))
 
 
-def _ask(table: pa.Table) -> pa.Table:
-    """The distinct n-grams of one block."""
-    grams = _counts(table.column("text"))[0]
-    return pa.table({"block": pa.array(np.full(len(grams), table.column("block")[0].as_py()), pa.int32()), "gram": grams})
+def _packed_rows(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one block put together and compressed: a fraction of the text is shuffled."""
+    for batch in arrow:
+        block = batch.column("block").to_numpy()
+        batch = batch.take(pa.array(np.argsort(block, kind="stable")))
+        blocks, first = np.unique(batch.column("block").to_numpy(), return_index=True)
+        for number, begin, end in zip(blocks, first, [*first[1:], len(batch)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch.slice(begin, end - begin))
+            pack = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pack], ["block", "pack"])
+
+
+def _unpacked(packs: pa.Table) -> Iterator[pa.Table]:
+    for pack in packs.column("pack"):
+        yield pa.ipc.open_stream(pack.as_buffer()).read_all()
+
+
+def _shard(grams, shards: int):
+    """The shard of an n-gram; the same arithmetic on arrays and on columns."""
+    return grams % 1_000_003 % shards
+
+
+def _squeezed(grams: np.ndarray) -> bytes:
+    """Sorted n-grams as compressed differences."""
+    return pa.compress(np.diff(grams, prepend=0).tobytes(), "zstd", asbytes=True)
+
+
+def _grams(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.int64))
+
+
+def _ask(packs: pa.Table, shards: int) -> pa.Table:
+    """The distinct n-grams of one block, one row per shard that has some."""
+    parts = [_counts(rows.column("text"))[0] for rows in _unpacked(packs)]
+    grams = np.unique(np.concatenate(parts))
+    shard = _shard(grams, shards)
+    order = np.argsort(shard, kind="stable")
+    held, first = np.unique(shard[order], return_index=True)
+    pieces = np.split(grams[order], first[1:]) if len(grams) else []
+    block = np.full(len(pieces), packs.column("block")[0].as_py(), np.int32)
+    return pa.table(
+        {
+            "shard": pa.array(held.astype(np.int32)),
+            "block": block,
+            "n": pa.array([len(x) for x in pieces], pa.int64()),
+            "grams": pa.array([_squeezed(x) for x in pieces], pa.binary()),
+        }
+    )
+
+
+def _answer(asked: pa.Table, found: pa.Table) -> pa.Table:
+    """The join within a shard: what each block asks for, with probabilities."""
+    grams, p = found.column("gram").to_numpy(), found.column("p").to_numpy()
+    order = np.argsort(grams)
+    grams, p = grams[order], p[order]
+    rows = zip(asked.column("grams").to_pylist(), asked.column("n").to_pylist())
+    answers = [p[np.searchsorted(grams, _grams(data, n))].tobytes() for data, n in rows]
+    return asked.drop(["shard"]).append_column("p", pa.array(answers, pa.binary()))
 
 
-def _add_up(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    """Sum of log2 p and bytes of every document of one block."""
-    grams, logs = answers.column("gram").to_numpy(), np.log2(answers.column("p").to_numpy())
+def _add_up(packs: pa.Table, answers: pa.Table) -> pa.Table:
+    """Perplexity per byte of every document of one block."""
+    rows = zip(answers.column("grams").to_pylist(), answers.column("n").to_pylist())
+    grams = np.concatenate([_grams(data, n) for data, n in rows] or [np.zeros(0, np.int64)])
+    logs = np.concatenate([np.frombuffer(p, np.float32) for p in answers.column("p").to_pylist()] or [np.zeros(0)])
     order = np.argsort(grams)
-    grams, logs = grams[order], logs[order]
-    data, offsets = text_bytes(docs.column("text"))
-    sizes = np.diff(offsets)
-    total = np.zeros(len(sizes))
-    for first, end in slices(sizes):
-        part = text_grams(data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first])
-        row = np.repeat(np.arange(end - first), sizes[first:end])
-        total[first:end] = np.bincount(row, logs[np.searchsorted(grams, part)], end - first)
-    keep = [c for c in docs.column_names if c not in ("text", "block")]
-    found = np.where(sizes > 0, np.exp2(-total / np.maximum(sizes, 1)), np.nan)
-    return docs.select(keep).append_column("perplexity", pa.array(found, from_pandas=True))
+    grams, logs = grams[order], np.log2(logs[order].astype(np.float64))
+    found = []
+    for rows in _unpacked(packs):
+        data, offsets = text_bytes(rows.column("text"))
+        sizes = np.diff(offsets)
+        total = np.zeros(len(sizes))
+        for first, end in slices(sizes):
+            part = text_grams(data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first])
+            row = np.repeat(np.arange(end - first), sizes[first:end])
+            total[first:end] = np.bincount(row, logs[np.searchsorted(grams, part)], end - first)
+        perplexity = np.where(sizes > 0, np.exp2(-total / np.maximum(sizes, 1)), np.nan)
+        found.append(rows.drop(["text", "block"]).append_column("perplexity", pa.array(perplexity, from_pandas=True)))
+    return pa.concat_tables(found)
 
 
 def perplexities(model: Model, docs: DataFrame) -> DataFrame:
-    """docs (any columns beside text) without their text but with `perplexity`."""
+    """docs (any columns beside text) without their text but with `perplexity`.
+
+    Probabilities are resolved once, for the distinct n-grams of all documents.
+    The exchange of packed blocks is used twice, to ask and to add up; Spark
+    reuses it within the plan.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(shuffle_partitions(docs.sparkSession), -(-size // BLOCK_BYTES))
-    salted = docs.withColumn("block", F.pmod(F.xxhash64(*[c for c in docs.columns if c != "text"]), F.lit(blocks)).cast("int"))
-    dealt = salted.repartition(blocks, "block")
-    asked = dealt.select("block", "text").groupBy("block").applyInArrow(_ask, "block int, gram long")
-    asked = stored(asked, "kn-asked")
-    found = model.probabilities(asked.select("gram").distinct())
-    answers = asked.join(found, "gram")
+    few = min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20)
+    blocks = max(1, few, -(-size // BLOCK_BYTES))
+    rest = [c for c in docs.columns if c != "text"]
+    salted = docs.select(*rest, "text", F.pmod(F.xxhash64(*rest), F.lit(blocks)).cast("int").alias("block"))
+    dealt = salted.mapInArrow(_packed_rows, "block int, pack binary").repartition(blocks, "block")
+    grams = docs.select("text").where("text is not null").mapInArrow(_count_batches, "gram long, n long")
+    grams = stored(grams.select("gram").distinct(), "kn-grams")
+    found = stored(model.probabilities(grams).select("gram", F.col("p").cast("float").alias("p")), "kn-found")
+    shards = shuffle_partitions(docs.sparkSession)
+    asked = dealt.groupBy("block").applyInArrow(
+        lambda packs: _ask(packs, shards), "shard int, block int, n long, grams binary"
+    )
+    sharded = found.withColumn("shard", _shard(F.col("gram"), shards).cast("int"))
+    answers = asked.groupBy("shard").cogroup(sharded.groupBy("shard"))
+    answers = answers.applyInArrow(_answer, "block int, n long, grams binary, p binary")
     schema = schema_of(docs.drop("text"), perplexity="double")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_add_up, schema)
 
@@ -188,7 +262,9 @@ def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("_t")).distinct()
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)) == 0
-    model = Model(docs.select("doc_id", "text").where(~fold).join(trusted, F.col("doc_id") == F.col("_t"), "left_semi"))
+    # the labels say which texts to move for training; the bitmap keeps most others in place
+    texts = id_filter.thinned(docs.select("doc_id", "text").where(~fold), id_filter.bitmap(trusted, "_t"), "doc_id")
+    model = Model(texts.join(trusted, F.col("doc_id") == F.col("_t"), "left_semi"))
     scored = perplexities(model, docs.select("doc_id", "lang", F.octet_length("text").alias("n_bytes"), "text"))
     scored = stored(scored, "kn-scored")
     held = scored.where(fold & F.col("perplexity").isNotNull()).join(trusted, F.col("doc_id") == F.col("_t"), "left_semi")
