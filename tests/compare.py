@@ -55,7 +55,7 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{sys.argv[1] if len(sys.argv) > 1 else '0.01'}"
     con, sqls = oracle(sf_dir), driver.oracle_sql()
-    wanted = sys.argv[2:] or list(driver.queries())
+    wanted = sys.argv[2:] or list(sqls)
     bad = 0
     for key in wanted:
         t = time.time()
