@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 
 from sigspan.session import shared_dir
 
+BATCH_ROWS = 1000
 SLICE_BYTES = 2 << 20  #: text that is expanded into arrays at once; a longer row is taken alone
 
 
@@ -30,6 +33,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session set to send at most BATCH_ROWS rows to Python at a time.
+
+    The default of 10,000 texts is tens of megabytes, held several times over on
+    both sides of the socket, for each core of an executor.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def release() -> None:
+    """Give memory that Arrow and the allocator keep back to the machine.
+
+    Python workers outlive their tasks; what one operator needed would stay with
+    them while the next one runs.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, row offsets) of a text or binary column without copying; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspan.llm.common import batches, id_order, schema_of
+from sigspan.llm.common import batches, id_order, release, schema_of, small_batches
 
 TRAIN_CHARS = 32_768
 TRAIN_TOTAL = 1 << 20
@@ -233,8 +233,9 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFr
                 names, scores = ready.predict(part.column(text).to_pylist())
                 part = part.append_column("lang_pred", pa.array(names, pa.string()))
                 yield part.append_column("score", pa.array(scores))
+        release()
 
-    docs = docs.drop("lang_pred", "score")
+    docs = small_batches(docs).drop("lang_pred", "score")
     return docs.mapInArrow(predicted, schema_of(docs, lang_pred="string", score="double"))
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspan.llm import id_filter
-from sigspan.llm.common import schema_of, slices, stored, text_bytes
+from sigspan.llm.common import release, schema_of, slices, small_batches, stored, text_bytes
 from sigspan.session import shuffle_partitions
 
 ORDER = 5
@@ -157,6 +157,7 @@ def _packed_rows(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.write_batch(batch.slice(begin, end - begin))
             pack = pa.array([sink.getvalue().to_pybytes()], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pack], ["block", "pack"])
+    release()
 
 
 def _unpacked(packs: pa.Table) -> Iterator[pa.Table]:
@@ -225,6 +226,7 @@ def _add_up(packs: pa.Table, answers: pa.Table) -> pa.Table:
             total[first:end] = np.bincount(row, logs[np.searchsorted(grams, part)], end - first)
         perplexity = np.where(sizes > 0, np.exp2(-total / np.maximum(sizes, 1)), np.nan)
         found.append(rows.drop(["text", "block"]).append_column("perplexity", pa.array(perplexity, from_pandas=True)))
+    release()
     return pa.concat_tables(found)
 
 
@@ -260,6 +262,7 @@ def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     labels: (doc_id, quality, toxic); trusted text has quality 1 and isn't toxic.
     """
+    docs = small_batches(docs)
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("_t")).distinct()
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)) == 0
     # the labels say which texts to move for training; the bitmap keeps most others in place

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigspan.llm.common import schema_of, slices, text_bytes
+from sigspan.llm.common import release, schema_of, slices, small_batches, text_bytes
 
 CACHED_PIECES = 100_000  #: pieces whose tokens a worker remembers; then it forgets them
 SLICE_BYTES = 4 << 20  #: text whose words share one pair index
@@ -316,6 +316,7 @@ def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 at += len(part)
         _encoder(name).known.clear()  # the worker process is kept for other tasks
+        release()
 
     schema = schema_of(docs.select("doc_id"), n_tokens="long", ids_sha256="string", decoded_sha256="string")
-    return docs.select("doc_id", "text").mapInArrow(digests, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(digests, schema)

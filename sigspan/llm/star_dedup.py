@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigspan.llm.common import batches, schema_of, stored, text_bytes
+from sigspan.llm.common import batches, release, schema_of, small_batches, stored, text_bytes
 from sigspan.llm.components import components
 from sigspan.llm.shingles import mixed, shingle_sets
 from sigspan.session import shuffle_partitions
@@ -93,6 +93,7 @@ def _features(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["doc_id", "n_shingles", "set_id", "bands"],
             )
+    release()
 
 
 def _slot(column: str):
@@ -292,7 +293,7 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     kinds = schema_of(docs.select("doc_id"), n_shingles="long", set_id="binary", bands=T.ArrayType(T.LongType()))
     features = stored(docs.mapInArrow(_features, kinds), "near-features")
     classes = features.where("set_id is not null").groupBy("set_id")
