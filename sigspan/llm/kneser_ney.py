@@ -40,7 +40,7 @@ from sigspan.llm.common import release, schema_of, slices, small_batches, stored
 from sigspan.session import shuffle_partitions
 
 ORDER = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 QUANTILE = 0.99
 MARGIN = 1.1
 FOLDS = 5

@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 
 from sigspan.llm.common import release, schema_of, slices, small_batches, text_bytes
 
-CACHED_PIECES = 100_000  #: pieces whose tokens a worker remembers; then it forgets them
-SLICE_BYTES = 4 << 20  #: text whose words share one pair index
+CACHED_PIECES = 60_000  #: pieces whose tokens a worker remembers; then it forgets them
+SLICE_BYTES = 3 << 20  #: text whose words share one pair index
 _CONTROL = regex.compile(r"[\x1c-\x1f]")
 _SPACE = "[\\t-\\r\\x85 \\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
