@@ -13,8 +13,8 @@ token stream after the other with the wrapper so far:
 The wrapper is then read as rules: for the path of each of its texts whether it is
 kept, and the constant texts outside the article. A path is dropped if it runs
 through an element made for menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles or comments, by its name or its class, id or role; where the
-wrapper has an article, everything outside it is dropped; constants that all
+forms, scripts, styles or comments, by its name or its class, id or role (within an
+article by name, role and unambiguous words only); where the wrapper has an article, everything outside it is dropped; constants that all
 sampled pages share are template text unless they stand in the article. Paths that
 the sample did not show are judged by the same marks. Where classes would leave
 nothing of a page without an article, only element names and roles count.
@@ -64,6 +64,10 @@ MARKS = set(
     "promo promoted recommended related replies respond responses search share sharing sidebar signup skip social "
     "sponsor sponsored subscribe subscription toc toolbar topbar widget".split()
 )
+#: Of these, the words and pairs of words that mean the same within an article. The others are also sections, lists
+#: and boxes of articles (a paper's discussion, a restaurant's menu), where they decide nothing.
+CERTAIN = set("ad ads advert adverts advertisement sponsored promo promoted comment comments commentlist disqus respond replies newsletter signup subscribe gdpr paywall".split())
+CERTAIN_PAIRS = [({"cookie", "cookies"}, {"banner", "bar", "consent", "notice", "popup"}), ({"header"}, {"article", "entry", "page", "post", "site"})]
 MAIN = {"article", "main"}
 _NOT_THE_ARTICLE = {"ad", "ads", "advert", "comment", "comments", "promo", "related", "reply", "sponsored"}
 CLOSES_P = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}  #: a start tag of the name ends an open element of it
@@ -78,11 +82,14 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 def marked(name: str, rest: str) -> str:
-    """An element's part of a path; `!!` if it is made for something other than the article, `!` if its class says so."""
+    """An element's part of a path; `!!` if it is made for something other than the article, `!` if its class
+    or id says so, `?` if they say so outside of articles only."""
     attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
     words = set(re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
     marks = {"html": set(), "body": set(), "main": set(), "article": _NOT_THE_ARTICLE}.get(name, MARKS)
-    drop = "!!" if name in DROPPED or attributes.get("role", "").lower() in ROLES else "!" if words & marks else ""
+    certain = name == "article" or words & CERTAIN or any(words & a and words & b for a, b in CERTAIN_PAIRS)
+    drop = "!" if words & marks and certain else "?" if words & marks else ""
+    drop = "!!" if name in DROPPED or attributes.get("role", "").lower() in ROLES else drop
     kind = ".".join(sorted(w for w in words if w and not w.isdigit()))
     main = attributes.get("role", "").lower() == "main" and name not in MAIN
     return f"{'main:' if main else ''}{name}{'.' + kind if kind else ''}{drop}"
@@ -263,13 +270,13 @@ def texts_of(wrapper: tuple, optional: bool = False) -> Iterator[tuple[tuple, st
 
 
 def in_article(path: tuple) -> bool:
-    return any(p.split(".")[0].rstrip("!") in MAIN or p.startswith("main:") for p in path)
+    return any(p.split(".")[0].rstrip("!?") in MAIN or p.startswith("main:") for p in path)
 
 
-def dropped(path: tuple, mark: str = "!") -> bool:
-    """Whether an element of the path is marked; a header within an article keeps its headings."""
+def dropped(path: tuple, marks: tuple = ("!", "?")) -> bool:
+    """Whether an element of the path is marked, with `?` outside of articles only; a header within one keeps its headings."""
     for i, part in enumerate(path):
-        if part.endswith(mark):
+        if part.endswith(marks) and not (part.endswith("?") and in_article(path[:i])):
             heading = "header" in part.rstrip("!").split(".") and re.match(r"h[1-6]\b", path[-1])
             if not (heading and in_article(path[:i])):
                 return True
@@ -307,7 +314,7 @@ def main_text(page: str, rules: Rules) -> str:
     if inside or any(k == "start" and in_article(v) and not dropped(v) for k, v in events):
         return " ".join(inside)
     # a frame around the whole page may be named after what stands in it
-    kept = kept or [v for v in texts if not dropped(v[0], "!!")]
+    kept = kept or [v for v in texts if not dropped(v[0], ("!!",))]
     return " ".join(text for _, text in kept if text not in rules.constants)
 
 

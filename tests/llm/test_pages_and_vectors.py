@@ -79,6 +79,18 @@ def test_marks_of_regions():
     assert text('<div role="main"><p>in</p></div><p>out</p>') == "in"
 
 
+def test_sections_of_articles_stay():
+    """Words that also name parts of an article drop nothing there."""
+    text = lambda page: wrapper_extract.main_text(page, wrapper_extract.Rules({}))
+    names = ["id=discussion", 'class="alert"', 'class="menu"', 'class="toc"', 'class="search"', 'class="share"']
+    names += ['class="related work"', 'class="header"', 'class="widget"', 'id="skip"', 'id="cookies"']
+    for name in names:
+        assert text(f"<article><h1>t</h1><section {name}><p>a</p><ul><li>b</ul></section></article>") == "t a b", name
+        assert text(f"<div {name}><p>a</p></div><p>b</p>") == "b", name
+    for name in ['class="ad"', 'id="comments"', 'class="cookie-notice"', "role=search", 'class="newsletter signup"']:
+        assert text(f"<article><h1>t</h1><div {name}><p>a</p></div></article>") == "t", name
+
+
 def brute_text(page):
     """For the given pages only: the blocks of their article."""
     found = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)
