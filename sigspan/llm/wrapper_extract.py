@@ -1,27 +1,33 @@
 """Main text of web pages by union-free wrappers of hosts (operator 1).
 
-Pages of a host come from a template. The wrapper of a host is a union-free regular
+Pages of a host come from templates. The wrapper of a template is a union-free regular
 expression over tags and text: sequences, optional groups and repeated groups, text
-slots and constant texts. It is inferred from up to `SAMPLES` pages by aligning one
-token stream after the other with the wrapper so far:
+slots and constant texts. Two pages are aligned node by node (`align`):
 
 * text that differs at the same place becomes a slot;
 * tags that fail to match are first tried as one more round of a repeated group
   (a group that stands beside a copy of itself);
 * what is still unmatched on either side becomes an optional group.
 
-The wrapper is then read as rules: for the path of each of its texts whether it is
-kept, and the constant texts outside the article. A path is dropped if it runs
-through an element made for menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles or comments, by its name or its class, id or role (within an
-article by name, role and unambiguous words only); where the wrapper has an article, everything outside it is dropped; constants that all
-sampled pages share are template text unless they stand in the article. Paths that
-the sample did not show are judged by the same marks. Where classes would leave
-nothing of a page without an article, only element names and roles count.
-
-A page is read whole with its host's rules in one pass. The sample is the only
-bounded part; wrappers are joined to pages by host, from a stored table whose size
-lets Spark choose a broadcast or a sort-merge join.
+For whole hosts the same is read from counts over all distinct pages (`wrappers`): a
+place is the path of a text, its group is optional if only some pages of the template
+have it, and it is constant if nine in ten of those that have it show one value. In
+an article the value is all text of the path, so a repeated group is constant only as
+a whole. A template is named by the path of its article or, without one, by the two
+top levels. Places on fewer than `LEAST_PAGES` distinct pages tell nothing.
+
+What the wrapper decides: constant texts go, optional or not, outside of articles and
+in them, as long as the template's articles have a slot left; a slot stays even if an
+ambiguous word of its class or id speaks against it. Marks decide alone where an
+element has an unambiguous one: made for menus, headers, footers, sidebars, adverts,
+forms, scripts, styles or comments by its name, role or an unmistakable word.
+Everything outside an article goes if the page has one. Where the wrapper has
+nothing, ambiguous words drop text outside of articles and nothing in them. Where
+words would leave nothing of a page without an article, only names and roles count.
+
+A page is read whole, once for the counts and once with its host's rules, which are
+joined by host from a stored table whose size lets Spark choose a broadcast or a
+sort-merge join. Nothing is sampled.
 
 Defined cases: a null html gives an empty text; a page cut short gives its text up to
 the cut, an unfinished tag is markup; a null url is a host of its own; repeated rows
@@ -30,6 +36,7 @@ give equal texts; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import json
 import re
@@ -40,12 +47,13 @@ from functools import lru_cache
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspan.llm.common import stored
+from sigspan.llm.common import batches, release, small_batches, stored
 
-SAMPLES = 8
+LEAST_PAGES = 3  #: distinct pages that must have an address before the wrapper says something of it
 LONGEST_GROUP = 24  #: nodes of a repeated group
 
 # Element names and marks of page regions.
@@ -283,39 +291,111 @@ def dropped(path: tuple, marks: tuple = ("!", "?")) -> bool:
     return False
 
 
+def address(path: tuple) -> str:
+    """A path's name in the wrapper: classes of html and body often name the page, not the template."""
+    return "/".join(p.split(".")[0].rstrip("!?") if p.split(".")[0] in ("html", "body") else p for p in path)
+
+
+def hashed(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def template_of(events: list) -> str:
+    """The name of a page's template: the path of its first article, or else what stands on its first two levels."""
+    starts = [v for k, v in events if k == "start"]
+    main = next((v for v in starts if in_article(v) and not dropped(v)), None)
+    tops = [main] if main else [v for v in starts if len([p for p in v if p.split(".")[0].rstrip("!?") not in ("html", "body")]) <= 2]
+    return format(hashed("\n".join(sorted({address(v) for v in tops}))) & (1 << 64) - 1, "016x")
+
+
+def evidence(page: str) -> tuple[str, list[tuple[str, int | None, bool]]]:
+    """A page's template and its part of the wrapper: distinct (address, value, in the article).
+
+    An address occurs once with the value null. Outside articles each text is a
+    value; in an article all texts of a path are one, so that a path is constant
+    there only if nothing of it varies. Paths that are dropped anyhow are left out,
+    but not those that only ambiguous words drop.
+    """
+    events = list(blocks(page))
+    texts: dict[tuple, list[str]] = {}
+    for kind, value in events:
+        if kind == "text" and not dropped(value[0], ("!",)):
+            texts.setdefault(value[0], []).append(value[1])
+    found: dict[tuple, None] = {}
+    for path, values in texts.items():
+        inside = in_article(path)
+        found[address(path), None, inside] = None
+        for value in ["\n".join(values)] if inside else values:
+            found[address(path), hashed(value), inside] = None
+    return template_of(events), list(found)
+
+
+def constant(n, m):
+    """Whether a value that m of an address's n distinct pages have is the template's; on numbers and on columns."""
+    return (n >= LEAST_PAGES) & (10 * m >= 9 * n)
+
+
+def rules_json(entries: list[tuple[str, str, int, bool, list[int]]]) -> dict:
+    """The rules of a host by template from (template, address, pages, in the article, constant values)."""
+    found: dict[str, dict] = {}
+    varies = {t for t, name, _, inside, values in entries if inside and not values}
+    for template, name, _, inside, values in sorted(entries):
+        rules = found.setdefault(template, {"fixed": {}, "slots": []})
+        # an article without any slot is a copy, not a template's text
+        if values and (not inside or template in varies):
+            rules["fixed"][name] = sorted(values)
+        if not values and not inside:
+            rules["slots"].append(name)
+    return {t: r for t, r in found.items() if r["fixed"] or r["slots"]}
+
+
 def rules_of(pages: list[str]) -> dict:
-    """The wrapper of the pages, read as rules: paths to keep and to drop, and template texts."""
-    slots = list(texts_of(infer(pages)))
-    drop = {"/".join(p) for p, _, _ in slots if dropped(p)}
-    keep = {"/".join(p) for p, _, _ in slots} - drop
-    several = len(set(pages)) > 2  # copies of one page tell nothing
-    fixed = {c for p, c, o in slots if several and c is not None and not o and not dropped(p) and not in_article(p)}
-    return {"keep": sorted(keep), "drop": sorted(drop), "constants": sorted(fixed)}
+    """The rules of some pages of one host, as `wrappers` finds them for all of its pages."""
+    counts = Counter((t, *e) for t, some in map(evidence, sorted(set(pages))) for e in some)
+    entries = []
+    for (template, name, value, inside), n in counts.items():
+        if value is None and n >= LEAST_PAGES:
+            values = [v for (t, a, v, i), m in counts.items() if v is not None and (t, a, i) == (template, name, inside) and constant(n, m)]
+            entries.append((template, name, n, inside, values))
+    return rules_json(entries)
 
 
 class Rules:
     """The rules of a host, ready to read its pages; of an unknown host, none."""
 
     def __init__(self, rules: dict):
-        self.keep, self.drop, self.constants = (frozenset(rules.get(k, ())) for k in ("keep", "drop", "constants"))
-
-    def keeps(self, path: tuple) -> bool:
-        """What the wrapper says of a path; where it has none, what the marks say."""
-        name = "/".join(path)
-        return name in self.keep or name not in self.drop and not dropped(path)
+        self.templates = {t: ({a: frozenset(v) for a, v in r["fixed"].items()}, frozenset(r["slots"])) for t, r in rules.items()}
+
+    def kept(self, events: list) -> list[tuple[tuple, str]]:
+        """The texts that stay: what the wrapper says, and where it has nothing, what the marks say."""
+        texts: dict[tuple, list[str]] = {}
+        for kind, value in events:
+            if kind == "text":
+                texts.setdefault(value[0], []).append(value[1])
+        fixed, slots = self.templates.get(template_of(events), ({}, frozenset())) if self.templates else ({}, frozenset())
+        stays, left_out = {}, {}
+        for path, values in texts.items():
+            name = address(path)
+            stays[path] = not dropped(path, ("!",)) and (name in slots or not dropped(path))
+            constants = fixed.get(name, ())
+            if constants and in_article(path):
+                stays[path] = stays[path] and hashed("\n".join(values)) not in constants
+            elif constants:
+                left_out[path] = {v for v in values if hashed(v) in constants}
+        return [v for k, v in events if k == "text" and stays[v[0]] and v[1] not in left_out.get(v[0], ())]
 
 
 def main_text(page: str, rules: Rules) -> str:
     """The text of the article, blocks joined by one space."""
     events = list(blocks(page))
-    texts = [v for k, v in events if k == "text"]
-    kept = [v for v in texts if rules.keeps(v[0])]
+    kept = rules.kept(events)
     inside = [text for path, text in kept if in_article(path)]
     if inside or any(k == "start" and in_article(v) and not dropped(v) for k, v in events):
         return " ".join(inside)
-    # a frame around the whole page may be named after what stands in it
-    kept = kept or [v for v in texts if not dropped(v[0], ("!!",))]
-    return " ".join(text for _, text in kept if text not in rules.constants)
+    if not kept and not any(k == "text" and not dropped(v[0]) for k, v in events):
+        # a frame around the whole page may be named after what stands in it
+        kept = [v for k, v in events if k == "text" and not dropped(v[0], ("!!",))]
+    return " ".join(text for _, text in kept)
 
 
 @lru_cache(maxsize=4096)
@@ -327,18 +407,44 @@ def _host(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """(host, rules) of every host, from the first page by hash of each of `samples` parts of it."""
-    mixed = F.xxhash64("page_id", "url")
-    parted = pages.where("html is not null").select(_host().alias("host"), F.pmod(mixed, F.lit(samples)).alias("part"), mixed.alias("order"), "html")
-    # the smallest of each part is kept on the map side: a hot host sends `samples` pages a task
-    chosen = parted.groupBy("host", "part").agg(F.min_by("html", "order").alias("html"))
-
-    def inferred(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("part")
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "rules": [json.dumps(rules_of(group["html"].tolist()))]})
-
-    return chosen.groupBy("host").applyInPandas(inferred, "host string, rules string")
+_EVIDENCE = "host string, page binary, template string, addresses array<string>, values array<bigint>, inside array<boolean>"
+
+
+def _evidence_rows(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in arrow:
+        for part in batches(batch, "html"):
+            htmls = part.column("html").to_pylist()
+            found = [evidence(h) for h in htmls]
+            columns = [part.column("host")]
+            columns.append(pa.array([hashlib.blake2b(h.encode("utf-8", "replace"), digest_size=16).digest() for h in htmls], pa.binary()))
+            columns.append(pa.array([t for t, _ in found], pa.string()))
+            for i, kind in enumerate((pa.string(), pa.int64(), pa.bool_())):
+                columns.append(pa.array([[e[i] for e in some] for _, some in found], pa.list_(kind)))
+            yield pa.RecordBatch.from_arrays(columns, ["host", "page", "template", "addresses", "values", "inside"])
+    release()
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, rules) of every host that shows something, from all of its distinct pages."""
+    parsed = small_batches(pages).where("html is not null").select(_host().alias("host"), "html").mapInArrow(_evidence_rows, _EVIDENCE)
+    # copies of a page count once; what follows is counts, summed on the map side before it moves
+    single = parsed.groupBy("host", "page").agg(*[F.first(c).alias(c) for c in ("template", "addresses", "values", "inside")])
+    each = single.select("host", "template", F.explode(F.arrays_zip("addresses", "values", "inside")).alias("e"))
+    each = each.select("host", "template", F.col("e.addresses").alias("name"), F.col("e.inside").alias("inside"), F.col("e.values").alias("value"))
+    key = ["host", "template", "name", "inside"]
+    counts = each.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= LEAST_PAGES)
+    counts = stored(counts, "wrapper-counts")
+    present = counts.where("value is null").select(*key, F.col("m").alias("n"))
+    common = counts.where("value is not null").join(present, key).where(constant(F.col("n"), F.col("m")))
+    common = common.groupBy(*key).agg(F.collect_list("value").alias("values"))
+    entries = present.join(common, key, "left").select(*key, "n", F.coalesce("values", F.array().cast("array<bigint>")).alias("values"))
+
+    def read(group: pd.DataFrame) -> pd.DataFrame:
+        rows = zip(group["template"], group["name"], group["n"], group["inside"], group["values"])
+        found = rules_json([(t, a, int(n), bool(i), [int(v) for v in values]) for t, a, n, i, values in rows])
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "rules": [json.dumps(found)]})
+
+    return entries.groupBy("host").applyInPandas(read, "host string, rules string")
 
 
 def extract(pages: DataFrame) -> DataFrame:

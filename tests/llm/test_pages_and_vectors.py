@@ -91,6 +91,27 @@ def test_sections_of_articles_stay():
         assert text(f"<article><h1>t</h1><div {name}><p>a</p></div></article>") == "t", name
 
 
+def test_wrappers_decide(spark):
+    """Constants of a template go and its slots stay, in articles and outside; marks alone say otherwise."""
+    body = "<article><h1>t{i}</h1><div class=about><p>About us</p></div><p>same</p><p>p{i}</p><div class=share><p>Share it</p></div>{more}</article>"
+    more = ["", "<div class=menu><p>dish {i}</p></div>", "<div class=note><p>Now on sale</p></div>"]
+    plain = "<div class=top><p>Welcome</p></div><div class=menu><p>soup {i}</p></div><div class=body><p>b{i}</p><p>Ours</p></div>"
+    pages = [(i, f"http://d.org/{i}", body.replace("{more}", more[i % 3]).replace("{i}", str(i))) for i in range(12)]
+    pages += [(i, f"http://d.org/{i}", plain.replace("{i}", str(i))) for i in range(20, 30)]
+    pages += [(i, "http://d.org/40", pages[0][2]) for i in range(40, 45)]  # copies
+    pages += [(i, f"http://e.org/{i}", f"<i>{i}</i><article><p>one text</p></article>") for i in range(50, 54)]  # no slot in it
+    want = {i: f"t{i} same p{i}" + (f" dish {i}" if i % 3 == 1 else "") for i in range(12)}
+    want |= {i: f"soup {i} b{i}" for i in range(20, 30)} | {i: want[0] for i in range(40, 45)} | {i: "one text" for i in range(50, 54)}
+    found = {r["page_id"]: r["text"] for r in wrapper_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == want
+    for host in ("d.org", "e.org"):
+        some = [p for p in pages if host in p[1]]
+        rules = wrapper_extract.Rules(wrapper_extract.rules_of([p[2] for p in some]))
+        assert all(wrapper_extract.main_text(p[2], rules) == want[p[0]] for p in some)
+    alone = wrapper_extract.Rules({})
+    assert sum(wrapper_extract.main_text(p[2], alone) != want[p[0]] for p in pages) >= 27
+
+
 def brute_text(page):
     """For the given pages only: the blocks of their article."""
     found = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)
