@@ -18,7 +18,11 @@ A document stays if its perplexity is at most `MARGIN` times the `QUANTILE` of t
 perplexities of its language's trusted documents, with an allowance of
 1 + 1 / sqrt(bytes) for the scatter of short texts. A fold of these, one in `FOLDS`
 by id, is kept out of the model and only sets the thresholds, so that they hold for
-unseen text.
+unseen text. The quantile is the language's median times its spread, quantile over
+median; a small fold's spread is pooled with that over all languages, which weighs
+as much as `POOL` documents, so that no odd document sets a threshold. `QUANTILE` and
+`MARGIN` are chosen by the rates at which held-out trusted and labelled bad
+documents are kept (README).
 
 Defined cases: a null or empty text has no perplexity and is not kept; a language
 (or null) without trusted documents in the fold takes the threshold over all
@@ -41,9 +45,10 @@ from sigspan.session import shuffle_partitions
 
 ORDER = 5
 BLOCK_BYTES = 16 << 20
-QUANTILE = 0.99
-MARGIN = 1.1
+QUANTILE = 0.95
+MARGIN = 1.05
 FOLDS = 5
+POOL = 100
 _START = 10
 
 
@@ -257,6 +262,19 @@ def perplexities(model: Model, docs: DataFrame) -> DataFrame:
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_add_up, schema)
 
 
+def thresholds(held: DataFrame) -> tuple[DataFrame, float | None]:
+    """(_lang, _cut) from held-out (lang, perplexity) rows, and the cut over all languages."""
+    at = lambda column, part: F.percentile_approx(column, part, F.lit(10_000))
+    overall = held.agg(at("perplexity", QUANTILE) * MARGIN).first()[0]
+    medians = held.groupBy(F.col("lang").alias("_lang")).agg(at("perplexity", 0.5).alias("_median"))
+    ratios = held.select("lang", "perplexity").join(medians, F.col("lang").eqNullSafe(F.col("_lang")))
+    ratios = ratios.withColumn("_ratio", F.col("perplexity") / F.col("_median"))
+    spread = F.lit(ratios.agg(at("_ratio", QUANTILE)).first()[0]).cast("double")
+    n = F.count(F.lit(1))
+    pooled = (n * at("_ratio", QUANTILE) + POOL * spread) / (n + POOL)
+    return ratios.groupBy("_lang").agg((F.first("_median") * pooled * MARGIN).alias("_cut")), overall
+
+
 def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold and kept of every document.
 
@@ -271,9 +289,8 @@ def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = perplexities(model, docs.select("doc_id", "lang", F.octet_length("text").alias("n_bytes"), "text"))
     scored = stored(scored, "kn-scored")
     held = scored.where(fold & F.col("perplexity").isNotNull()).join(trusted, F.col("doc_id") == F.col("_t"), "left_semi")
-    cut = (F.percentile_approx("perplexity", QUANTILE, F.lit(10_000)) * MARGIN).alias("_cut")
-    overall = held.agg(cut).first()["_cut"]
-    by_language = held.groupBy(F.col("lang").alias("_lang")).agg(cut)
+    held = stored(held.select("lang", "perplexity"), "kn-held")
+    by_language, overall = thresholds(held)
     found = scored.join(by_language, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     # the mean of few bytes scatters: the allowance for it fades with the length
     allowance = 1 + 1 / F.sqrt(F.greatest("n_bytes", F.lit(1)))

@@ -126,6 +126,24 @@ def test_quality_query(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.5
 
 
+def test_one_odd_document_sets_no_threshold(spark):
+    usual = [(lang, 4.0 + i / 1000) for lang, n in (("en", 400), ("es", 60), (None, 5)) for i in range(n)]
+    cuts = lambda some: {r["_lang"]: r["_cut"] for r in kneser_ney.thresholds(spark.createDataFrame(some, "lang string, perplexity double"))[0].collect()}
+    found = cuts([*usual, ("es", 9.0), (None, 30.0), ("fr", 7.0)])
+    assert found.keys() == {"en", "es", None, "fr"}
+    assert 4.0 < found["en"] < 4.7 and 4.0 < found["es"] < 4.7 and found[None] < 6 and 7 < found["fr"] < 8.5
+    assert kneser_ney.thresholds(spark.createDataFrame([], "lang string, perplexity double"))[1] is None
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="driver tables are absent")
+def test_rejection_of_labelled_documents(spark):
+    found = {r["doc_id"]: r["kept"] for r in queries.op3_quality_classifier(spark, "/root/testdata/sf0.1").collect()}
+    labels = read("/root/testdata/sf0.1", "labels")
+    good = [found[x["doc_id"]] for x in labels if x["quality"] and not x["toxic"]]
+    bad = [found[x["doc_id"]] for x in labels if not x["quality"]]
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.06
+
+
 # --- 4 near-duplicates
 
 
