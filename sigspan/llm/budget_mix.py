@@ -161,14 +161,15 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 def draw(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mixed documents: each as often as the mix takes it, columns unchanged.
 
-    Rows that share id and source share their decisions in any order.
+    Rows that share id, source and size differ by one time at most; the smaller texts
+    by hash are taken once more.
     """
-    key = F.xxhash64("doc_id", "source").alias("_key")
-    taken = mix(docs, seed).select(key, "times").groupBy("_key").agg(
+    docs_key = F.xxhash64("doc_id", "source", word_count()).alias("_key")
+    taken = mix(docs, seed).select(F.xxhash64("doc_id", "source", "size").alias("_key"), "times").groupBy("_key").agg(
         F.min("times").alias("_low"),
         (F.sum("times") - F.count("times") * F.min("times")).alias("_more"),  # rows taken once more
     )
-    kept = docs.select("*", key).join(taken.where("_low + _more > 0"), "_key")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_low"))
+    kept = docs.select("*", docs_key).join(taken.where("_low + _more > 0"), "_key")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text"), "text"))
     kept = kept.withColumn("_times", F.col("_low") + (nth <= F.col("_more")).cast("long")).where("_times > 0")
     return kept.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)

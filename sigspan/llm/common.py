@@ -94,6 +94,11 @@ def id_order(name: str = "doc_id"):
     return F.xxhash64(F.col(name)).bitwiseAND(F.lit((1 << 31) - 1))
 
 
+def text_key(name: str = "text"):
+    """128 bits that name a text; empty for null. With an id it tells apart rows that share theirs."""
+    return F.coalesce(F.unhex(F.md5(F.col(name))), F.lit(b""))
+
+
 def schema_of(df: DataFrame, **more: str | T.DataType) -> T.StructType:
     """df's schema with more fields; adding to df.schema would change df itself."""
     found = T.StructType(list(df.schema.fields))

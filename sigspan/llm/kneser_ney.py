@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspan.llm import id_filter
-from sigspan.llm.common import release, schema_of, slices, small_batches, stored, text_bytes
+from sigspan.llm.common import release, schema_of, slices, small_batches, stored, text_bytes, text_key
 from sigspan.session import shuffle_partitions
 
 ORDER = 5
@@ -280,13 +280,18 @@ def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     labels: (doc_id, quality, toxic); trusted text has quality 1 and isn't toxic.
     """
+    return _rated(docs, labels).drop("_text")
+
+
+def _rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """`rated` with `_text`, which names the text."""
     docs = small_batches(docs)
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("_t")).distinct()
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)) == 0
     # the labels say which texts to move for training; the bitmap keeps most others in place
     texts = id_filter.thinned(docs.select("doc_id", "text").where(~fold), id_filter.bitmap(trusted, "_t"), "doc_id")
     model = Model(texts.join(trusted, F.col("doc_id") == F.col("_t"), "left_semi"))
-    scored = perplexities(model, docs.select("doc_id", "lang", F.octet_length("text").alias("n_bytes"), "text"))
+    scored = perplexities(model, docs.select("doc_id", "lang", F.octet_length("text").alias("n_bytes"), text_key().alias("_text"), "text"))
     scored = stored(scored, "kn-scored")
     held = scored.where(fold & F.col("perplexity").isNotNull()).join(trusted, F.col("doc_id") == F.col("_t"), "left_semi")
     held = stored(held.select("lang", "perplexity"), "kn-held")
@@ -296,10 +301,12 @@ def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     allowance = 1 + 1 / F.sqrt(F.greatest("n_bytes", F.lit(1)))
     threshold = F.coalesce("_cut", F.lit(overall).cast("double")) * allowance
     kept = F.coalesce(F.col("perplexity") <= threshold, F.col("perplexity").isNotNull())
-    return found.select("doc_id", "lang", "n_bytes", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
+    return found.select("doc_id", "lang", "n_bytes", "perplexity", threshold.alias("threshold"), kept.alias("kept"), "_text")
 
 
 def keep_fluent(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model keeps, columns unchanged."""
-    kept = rated(docs, labels).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """The documents that the model keeps, columns unchanged; decisions are by id, language and text."""
+    kept = _rated(docs, labels).where("kept")
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("_text").alias("_kept")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("lang").eqNullSafe(F.col("_lang"))
+    return docs.join(kept, same & (text_key() == F.col("_kept")), "left_semi")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigspan.llm.common import batches, release, schema_of, small_batches, stored, text_bytes
+from sigspan.llm.common import batches, release, schema_of, small_batches, stored, text_bytes, text_key
 from sigspan.llm.components import components
 from sigspan.llm.shingles import mixed, shingle_sets
 from sigspan.session import shuffle_partitions
@@ -311,8 +311,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near-duplicates, columns unchanged.
 
-    Of repeated rows with one id a single row stays.
+    A row is its id and text: of rows equal in both a single one stays, while rows
+    that only share an id, or have none, are documents of their own. The smallest id
+    of a group is kept, null last.
     """
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-    return found.dropDuplicates(["doc_id"])
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text_key().alias("text"))
+    kept = near_duplicates(docs.select(row.alias("doc_id"), "text")).where("kept")
+    kept = kept.select(F.col("doc_id.id").alias("_kept"), F.col("doc_id.text").alias("_kept_text")).distinct()
+    found = docs.withColumn("_text", text_key())
+    found = found.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_text") == F.col("_kept_text")), "left_semi")
+    return found.dropDuplicates(["doc_id", "_text"]).drop("_text")

@@ -3,10 +3,10 @@
 import os
 
 import pytest
-from fixtures import clashing, empty, near_components, odd_documents, read
+from fixtures import ENGLISH, clashing, empty, near_components, odd_documents, prose, read
 
 import corpus_pipeline
-from sigspan.llm import cross_parse, kneser_ney
+from sigspan.llm import budget_mix, cross_parse, kneser_ney, star_dedup
 from sigspan.llm.common import stored, table
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -48,6 +48,28 @@ def test_stages_on_odd_tables(spark, tmp_path):
         assert start is odd or docs.count() == 0
 
 
+def test_rows_without_ids_of_their_own(spark):
+    """Several null ids and one id with unlike texts: a stage decides on each row by its text."""
+    texts = [prose(60 + i, 60 + i, ENGLISH) for i in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (6, texts[2]), (None, texts[3])]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = sorted(((r["doc_id"], r["text"]) for r in star_dedup.keep_one(docs).collect()), key=repr)
+    assert got == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3])], key=repr)
+
+    trusted = [(100 + i, prose(200 + i, 60, ENGLISH), "en", "a") for i in range(60)]
+    junk = "#@ 9Z!" * 40
+    odd = [(None, texts[0], "en", "a"), (None, junk, "en", "a"), (7, texts[1], "en", "a"), (7, junk, "en", "a")]
+    docs = spark.createDataFrame([*trusted, *odd], docs.schema)
+    labels = spark.createDataFrame([(t[0], 1, 0) for t in trusted], "doc_id long, quality int, toxic int")
+    got = {(r["doc_id"], r["text"]) for r in kneser_ney.keep_fluent(docs, labels).collect()}
+    assert {(None, texts[0]), (7, texts[1])} <= got and not any(t == junk for _, t in got)
+
+    docs = spark.createDataFrame([(8, "", "en", "a"), (8, texts[0], "en", "a"), (8, texts[4], "en", "a"), (9, texts[5], "en", "b")], docs.schema)
+    want = sum(r["taken"] for r in budget_mix.mix_sources(docs).collect())
+    drawn = [r["text"] for r in budget_mix.draw(docs).collect()]
+    assert "" not in drawn and sum(len(t.split()) for t in drawn) == want
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF_DIR).count() > 100
     assert len(read(SF_DIR, "documents")) > 100
