@@ -10,12 +10,15 @@ from sigspan.llm import (
     block_neighbours,
     budget_mix,
     cross_parse,
+    filter_audit,
     histogram_shards,
     kneser_ney,
     pair_index,
     rotation_codes,
     star_dedup,
+    toxic_dictionaries,
     warc_chunks,
+    word_runs,
     wrapper_extract,
 )
 from sigspan.llm.common import table
@@ -70,6 +73,18 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotation_codes.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.run_report(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_dictionaries.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -83,5 +98,8 @@ QUERIES: dict[str, Query] = {
         op8_bpe,
         op9_nearest_neighbours,
         op10_embedding_near_dedup,
+        op11_periodic_runs,
+        op12_toxicity,
+        op13_filter_audit,
     )
 }
