@@ -6,9 +6,14 @@ occurs in the language's text, then the next phrase starts. With c phrases, n
 characters and m characters of training text, c * log2(m) / n is the cross-parsing
 entropy; the language with the smallest one wins.
 
+Every letter of the sample has a code of its own, whatever the number of scripts. An
+automaton has a dense table for the `WIDTH` - 3 letters that most of its transitions
+bear, and a sorted list of transitions for its other letters; a letter that its
+language's text lacks is a phrase of its own.
+
 Bounds: each language gives at most `TRAIN_CHARS` characters (`TRAIN_TOTAL` over
 all languages), drawn by a hash of the id, so the automata have a bounded size and
-can be sent to every task. Texts are parsed whole, in blocks of `BLOCK` characters
+can be sent to every task; their tables are made there and dropped with the task. Texts are parsed whole, in blocks of `BLOCK` characters
 (a phrase ends with its block), so that many blocks are walked in step.
 
 Defined cases: a null text or one without a letter is `und` with score 0; ties go
@@ -30,11 +35,11 @@ from pyspark.sql import functions as F
 from sigspan.llm.common import batches, id_order, release, schema_of, small_batches
 
 TRAIN_CHARS = 32_768
-TRAIN_TOTAL = 1 << 20
+TRAIN_TOTAL = 1 << 19
 MAX_LANGUAGES = 1024
 BLOCK = 2048
-WIDTH = 64  #: characters of an automaton: a gap, 62 common letters, all other letters
-_GAP, _OTHER = 0, 63
+WIDTH = 32  #: columns of an automaton's dense table: a gap, its common letters, and two for all others
+_GAP, _SPARSE, _UNSEEN = 0, WIDTH - 2, WIDTH - 1
 _LETTER = regex.compile(r"\p{L}")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _COUNT_SHIFT = 28  #: table entries: next state * WIDTH, phrases ended above this bit
@@ -78,16 +83,46 @@ def suffix_automaton(codes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return source.astype(np.int64), char, target, len(edges)
 
 
-def step_table(source, char, target, states: int) -> np.ndarray:
-    """Flat table of state * WIDTH + character: where the parse goes, phrases that end."""
-    follow = np.full((states, WIDTH), -1, np.int64)
-    follow[source, char] = target
-    fresh = follow[0]  # a phrase that starts with this character
-    missing = follow < 0
-    ended = missing.astype(np.int64)
-    ended[1:] += missing[1:] & (fresh < 0)  # an unseen character is a phrase of its own
-    follow = np.where(missing, np.maximum(fresh, 0), follow)
-    return (follow * WIDTH + (ended << _COUNT_SHIFT)).astype(np.int32).ravel()
+class Automaton:
+    """A suffix automaton as tables for parsing many blocks in step."""
+
+    def __init__(self, edges: np.ndarray, letters: int):
+        """edges: (from, letter, to) by global letter codes, of which there are `letters`."""
+        source, letter, target = edges
+        self.letters = letters
+        borne = np.bincount(letter, minlength=letters)
+        borne[_GAP] = 0
+        common = np.argsort(-borne, kind="stable")[: WIDTH - 3]
+        common = common[borne[common] > 0]
+        #: global letter -> column of the dense table
+        self.column = np.where(borne > 0, _SPARSE, _UNSEEN).astype(np.uint8)
+        self.column[common] = np.arange(1, len(common) + 1)
+        self.column[_GAP] = _GAP
+        states = int(target.max(initial=0)) + 1
+        follow = np.full((states, WIDTH), -1, np.int32)
+        column = self.column[letter]
+        dense = column != _SPARSE
+        follow[source[dense], column[dense]] = target[dense]
+        fresh = follow[0].copy()  # a phrase that starts with this character
+        for i in range(WIDTH):
+            missing = follow[:, i] < 0
+            # an unseen character is a phrase of its own, after the one that it ends
+            ended = np.full(states, 1 if fresh[i] >= 0 else 2, np.int32)
+            ended[0] = 1
+            follow[:, i] = np.where(missing, max(int(fresh[i]), 0), follow[:, i]) * WIDTH
+            follow[:, i] += np.where(missing, ended, 0) << _COUNT_SHIFT
+        self.table = follow.ravel()
+        keys = source[~dense].astype(np.int64) * letters + letter[~dense]
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], target[~dense][order].astype(np.int32)
+
+    def rare(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Steps by letters of the sparse part, as the dense table has them."""
+        keys = (state // WIDTH).astype(np.int64) * self.letters + letter
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = self.keys[at] == keys
+        fresh = self.targets[np.searchsorted(self.keys, letter)]  # the root knows every letter of its text
+        return np.where(found, self.targets[at] * WIDTH, fresh * WIDTH + (1 << _COUNT_SHIFT))
 
 
 class Parser:
@@ -95,20 +130,31 @@ class Parser:
 
     def __init__(self, letters: str, automata: list[tuple[str, np.ndarray, int]]):
         """automata: (language, transitions as a 3 x n array, characters of training text)."""
-        self.code = np.full(0x110000, _OTHER, np.uint8)
-        self.code[ord(" ")] = _GAP
-        for i, letter in enumerate(letters):
-            self.code[ord(letter)] = i + 1
         self.made_of = letters, automata
         automata = sorted(automata, key=lambda a: a[0])
         self.languages = [name for name, _, _ in automata]
         self.bits = np.array([np.log2(max(size, 2)) for _, _, size in automata])
-        self.tables = [step_table(*e.astype(np.int64), int(e[2].max(initial=0)) + 1) for _, e, _ in automata]
+        self.edges = [e for _, e, _ in automata]
+        self.unknown = len(letters) + 1  #: the code of letters that no sample has
+        self.code = self.automata = None
+
+    def open(self) -> None:
+        """Make the tables."""
+        if self.automata is None:
+            self.code = np.full(0x110000, self.unknown, np.int32)
+            self.code[ord(" ")] = _GAP
+            self.code[[ord(c) for c in self.made_of[0]]] = np.arange(1, self.unknown)
+            self.automata = [Automaton(e, self.unknown + 1) for e in self.edges]
+
+    def close(self) -> None:
+        """Drop them; the worker process may be kept for other tasks."""
+        self.code = self.automata = None
 
     def __reduce__(self):
         return Parser, self.made_of  # transitions are sent, tables are made where they are used
 
     def codes(self, text: str) -> np.ndarray:
+        self.open()
         return self.code[np.frombuffer(folded(text).encode("utf-32-le", "replace"), np.uint32)]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,16 +170,21 @@ class Parser:
         begins = ((np.cumsum(sizes) - sizes)[np.repeat(np.arange(len(parts)), blocks)] + within * BLOCK)[order]
         steps = int(lengths.max(initial=0))
         # rows: the next character of every block; blocks that have ended read padding
-        flat = np.concatenate([*parts, np.zeros(BLOCK, np.uint8)])
-        at = flat[begins[None, :] + np.arange(steps)[:, None]] if steps else np.zeros((0, 0), np.uint8)
+        flat = np.concatenate([*parts, np.zeros(BLOCK, np.int32)])
+        at = flat[begins[None, :] + np.arange(steps)[:, None]] if steps else np.zeros((0, 0), np.int32)
         active = np.searchsorted(-lengths, -np.arange(steps), "left")
         counts = np.zeros((len(parts), len(self.languages)))
         mask = (1 << _COUNT_SHIFT) - 1
-        for i, table in enumerate(self.tables):
+        for i, automaton in enumerate(self.automata or ()):
             state = np.zeros(len(order), np.int32)
             ended = np.zeros(len(order), np.int32)
-            for row, n in zip(at, active):
-                step = table.take(state[:n] + row[:n])
+            columns = automaton.column[at]
+            sparse = (columns == _SPARSE).any(1) if len(automaton.keys) else np.zeros(steps, bool)
+            for row, column, n, some in zip(at, columns, active, sparse):
+                step = automaton.table.take(state[:n] + column[:n])
+                if some:
+                    rare = np.flatnonzero(column[:n] == _SPARSE)
+                    step[rare] = automaton.rare(state[rare], row[rare])
                 ended[:n] += step >> _COUNT_SHIFT
                 np.bitwise_and(step, mask, out=state[:n])
             ended += state != 0
@@ -169,7 +220,7 @@ def _automaton_of(pdf: pd.DataFrame, letters: str, limit: int) -> pd.DataFrame:
         size += len(taken[-1]) + 1
     text = " ".join(taken)
     number = {letter: i + 1 for i, letter in enumerate(letters)} | {" ": _GAP}
-    source, char, target, _ = suffix_automaton([number.get(c, _OTHER) for c in text])
+    source, char, target, _ = suffix_automaton([number[c] for c in text])
     edges = np.stack([source, char, target]).astype(np.int32)
     return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "edges": [edges.tobytes()], "size": [len(text)]})
 
@@ -202,7 +253,7 @@ def train(labelled: DataFrame, train_chars: int = TRAIN_CHARS) -> Parser:
     # one text may be far longer than the limit; the automaton needs no more than this of it
     sample = sample.withColumn("text", F.substring("text", 1, 8 * limit)).cache()
     points = sample.mapInPandas(_letters_of, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    points = points.orderBy(F.desc("n"), "point").limit(WIDTH - 2).collect()
+    points = points.orderBy(F.desc("n"), "point").collect()  # distinct letters: no more than Unicode has
     letters = "".join(chr(r["point"]) for r in points)
     built = sample.groupBy("lang").applyInPandas(
         lambda pdf: _automaton_of(pdf, letters, limit), "lang string, edges binary, size long"
@@ -233,6 +284,7 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFr
                 names, scores = ready.predict(part.column(text).to_pylist())
                 part = part.append_column("lang_pred", pa.array(names, pa.string()))
                 yield part.append_column("score", pa.array(scores))
+        ready.close()
         release()
 
     docs = small_batches(docs).drop("lang_pred", "score")

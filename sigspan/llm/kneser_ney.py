@@ -45,6 +45,7 @@ from sigspan.session import shuffle_partitions
 
 ORDER = 5
 BLOCK_BYTES = 16 << 20
+SHARD_BYTES = 64 << 20  #: of text, for which the blocks ask about as many bytes
 QUANTILE = 0.95
 MARGIN = 1.05
 FOLDS = 5
@@ -251,11 +252,13 @@ def perplexities(model: Model, docs: DataFrame) -> DataFrame:
     grams = docs.select("text").where("text is not null").mapInArrow(_count_batches, "gram long, n long")
     grams = stored(grams.select("gram").distinct(), "kn-grams")
     found = stored(model.probabilities(grams).select("gram", F.col("p").cast("float").alias("p")), "kn-found")
-    shards = shuffle_partitions(docs.sparkSession)
+    # a shard is one group in memory, so their number follows from what is asked, not from the cluster
+    shards = max(shuffle_partitions(docs.sparkSession), -(-size // SHARD_BYTES))
     asked = dealt.groupBy("block").applyInArrow(
         lambda packs: _ask(packs, shards), "shard int, block int, n long, grams binary"
     )
     sharded = found.withColumn("shard", _shard(F.col("gram"), shards).cast("int"))
+    asked, sharded = asked.repartition(shards, "shard"), sharded.repartition(shards, "shard")
     answers = asked.groupBy("shard").cogroup(sharded.groupBy("shard"))
     answers = answers.applyInArrow(_answer, "block int, n long, grams binary, p binary")
     schema = schema_of(docs.drop("text"), perplexity="double")

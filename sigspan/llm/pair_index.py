@@ -315,7 +315,7 @@ def token_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
                 ids = batch.column("doc_id").slice(at, len(part))
                 yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 at += len(part)
-        _encoder(name).known.clear()  # the worker process is kept for other tasks
+        _encoder.cache_clear()  # the worker process is kept for other tasks
         release()
 
     schema = schema_of(docs.select("doc_id"), n_tokens="long", ids_sha256="string", decoded_sha256="string")

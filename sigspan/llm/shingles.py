@@ -39,6 +39,11 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have
 
 
+def forget() -> None:
+    """Drop the kept powers: 16 bytes for each byte of the largest slice so far."""
+    _powers.clear()
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every word of a text column given as bytes and row offsets."""
     n = len(data)

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from sigspan.llm.common import batches, release, schema_of, small_batches, stored, text_bytes, text_key
 from sigspan.llm.components import components
-from sigspan.llm.shingles import mixed, shingle_sets
+from sigspan.llm.shingles import forget, mixed, shingle_sets
 from sigspan.session import shuffle_partitions
 
 BANDS, ROWS = 32, 6
@@ -93,6 +93,7 @@ def _features(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["doc_id", "n_shingles", "set_id", "bands"],
             )
+    forget()
     release()
 
 
@@ -128,6 +129,8 @@ def _sets_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                     ],
                     ["doc_id", "set_id", "shingles"],
                 )
+        forget()
+        release()
 
     return docs.select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(
         sets, schema_of(docs.select("doc_id"), set_id="binary", shingles="binary")

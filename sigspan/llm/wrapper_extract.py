@@ -80,19 +80,34 @@ MAIN = {"article", "main"}
 _NOT_THE_ARTICLE = {"ad", "ads", "advert", "comment", "comments", "promo", "related", "reply", "sponsored"}
 CLOSES_P = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}  #: a start tag of the name ends an open element of it
 
+# Attributes as the HTML standard's tokeniser reads them: a quote opens a value only right after `=`; elsewhere it
+# is part of a name or of an unquoted value, and the tag ends at the next `>`.
+_WS = r"[\t\n\f\r ]"
+_VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\t\n\f\r >\"'][^\t\n\f\r >]*+"
+_NAMED = rf"[^\t\n\f\r />][^\t\n\f\r />=]*+(?:{_WS}*+={_WS}*+(?:{_VALUE})?+)?+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?P<closed>>|\Z)"
-    r"|<[/]?[a-zA-Z].*\Z",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\t\n\f\r />]*)(?P<rest>(?:[\t\n\f\r /]|{_NAMED})*+)(?P<closed>>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(rf"([^\t\n\f\r />][^\t\n\f\r />=]*+)(?:{_WS}*+={_WS}*+({_VALUE})?+)?+", re.S)
+
+
+def attributes_of(rest: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; of several with one name the first counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(rest):
+        quote = value[:1]
+        if quote in ('"', "'"):
+            value = value[1:].removesuffix(quote)
+        found.setdefault(name.lower(), value)
+    return found
 
 
 def marked(name: str, rest: str) -> str:
     """An element's part of a path; `!!` if it is made for something other than the article, `!` if its class
     or id says so, `?` if they say so outside of articles only."""
-    attributes = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
+    attributes = attributes_of(rest) if "=" in rest else {}
     words = set(re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
     marks = {"html": set(), "body": set(), "main": set(), "article": _NOT_THE_ARTICLE}.get(name, MARKS)
     certain = name == "article" or words & CERTAIN or any(words & a and words & b for a, b in CERTAIN_PAIRS)

@@ -296,21 +296,55 @@ def brute_phrases(text, train):
     return count
 
 
-def test_phrases_against_search():
-    letters = "thernoadiéuçqcl"
-    samples = [("en", prose(1, 300, ENGLISH_)), ("fr", prose(2, 300, FRENCH_))]
+def parser_of(samples):
+    """The parser of (language, text) samples, without Spark."""
+    letters = "".join(sorted({c for _, t in samples for c in t} - {" "}))
     number = {c: i + 1 for i, c in enumerate(letters)} | {" ": 0}
     rows_ = []
     for lang, text in samples:
-        source, char, target, _ = cross_parse.suffix_automaton([number.get(c, 63) for c in text])
+        source, char, target, _ = cross_parse.suffix_automaton([number[c] for c in text])
         rows_.append({"lang": lang, "edges": np.stack([source, char, target]).astype(np.int32).tobytes(), "size": len(text)})
-    parser = cross_parse.Parser.from_rows(letters, rows_)
-    texts = [prose(i, 60, ENGLISH_ if i % 2 else FRENCH_) for i in range(3, 9)] + ["a", "zzz th", "x" * 5000]
+    return cross_parse.Parser.from_rows(letters, rows_)
+
+
+def script(seed, first, size, n):
+    """n words of one to four letters out of `size`, by a skewed choice of its own."""
+    rng = np.random.default_rng(seed)
+    odds = rng.permutation(1 / np.arange(1, size + 1))
+    letters = rng.choice(size, (n, 4), p=odds / odds.sum()) + first
+    return " ".join("".join(map(chr, w[: k + 1])) for w, k in zip(letters, rng.integers(0, 4, n)))
+
+
+def test_phrases_against_search():
+    samples = [("en", prose(1, 300, ENGLISH_)), ("fr", prose(2, 300, FRENCH_)), ("zh", script(1, 0x4E00, 300, 400))]
+    parser = parser_of(samples)
+    assert len(parser.made_of[0]) > 4 * cross_parse.WIDTH  # most letters are in no dense table
+    texts = [prose(i, 60, ENGLISH_ if i % 2 else FRENCH_) for i in range(3, 9)] + ["a", "zzz th", "x" * 5000, "\u0416\u0416 th \u0416"]
+    texts += [script(1, 0x4E00, 300, 400)[100:900], script(2, 0x4E00, 400, 90), prose(4, 9, ENGLISH_) + script(3, 0x4E00, 50, 9)]
     counts, sizes = parser.phrases(texts)
-    fold = lambda t: "".join(c if c == " " or c in letters else "\x00" for c in cross_parse.folded(t))
     for text, found, size in zip(texts, counts, sizes):
-        parts = [fold(text)[i : i + cross_parse.BLOCK] for i in range(0, size, cross_parse.BLOCK)]
-        assert found.tolist() == [sum(brute_phrases(p, fold(t)) for p in parts) for _, t in samples]
+        folded = cross_parse.folded(text)
+        parts = [folded[i : i + cross_parse.BLOCK] for i in range(0, size, cross_parse.BLOCK)]
+        assert found.tolist() == [sum(brute_phrases(p, t) for p in parts) for _, t in samples]
+    parser.close()
+    assert parser.automata is None and (parser.phrases(texts)[0] == counts).all()
+
+
+def test_languages_of_many_scripts():
+    """Scripts of hundreds of letters are told apart by five words, and two languages of one script by forty."""
+    # fixed values: first letter of each script's block
+    scripts = {"am": (0x1200, 300), "ii": (0xA000, 1100), "ja": (0x4E00, 900), "ko": (0xAC00, 1500), "ru": (0x430, 32), "el": (0x3B1, 24)}
+    samples = [(lang, script(9, first, size, 11_000)) for lang, (first, size) in scripts.items()]
+    samples.append(("zh", script(77, 0x4E00, 900, 11_000)))  # the letters of ja in other shares
+    parser = parser_of([(lang, text[: cross_parse.TRAIN_CHARS]) for lang, text in samples])
+    for lang, text in samples:
+        words = text[cross_parse.TRAIN_CHARS :].split()[1:]
+        for n in (5, 40):
+            parts = [" ".join(words[i : i + n]) for i in range(0, len(words) - n, n)][:200]
+            right = np.mean([name == lang for name in parser.predict(parts)[0]])
+            assert right > 0.95 or n == 5 and lang in ("ja", "zh"), (lang, n, right)
+    texts = [" ".join(t[cross_parse.TRAIN_CHARS :].split()[1:6]) for _, t in samples]
+    assert {cross_parse.Parser("", []).predict(texts)[0][0]} == {"und"}
 
 
 ENGLISH_, FRENCH_ = "th er on an re he in".split(), "é eau oi ou ai ch que le ç".split()

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import html
 import os
+import random
 import re
 
 import numpy as np
@@ -12,6 +13,7 @@ from fixtures import clashing, empty, read, rows
 from pyspark.sql import functions as F
 
 from sigspan.llm import block_neighbours, queries, rotation_codes, warc_chunks, wrapper_extract
+from sigspan.llm.wrapper_extract import Rules, main_text
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 given = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables are absent")
@@ -295,3 +297,55 @@ def test_estimates_are_unbiased_and_within_the_margin():
 @given
 def test_links_query(spark):
     assert rows(queries.op10_embedding_near_dedup(spark, SF_DIR), *LINKS) == brute_links(read(SF_DIR, "embeddings"))
+
+
+# --- 1 attributes
+
+
+def tag_end(page, at):
+    """Where the tag that begins at `at` ends, by the states of the HTML standard's tokeniser."""
+    state, at = "tag name", at + 2
+    while at < len(page):
+        c, space = page[at], page[at] in "\t\n\f\r "
+        at += 1
+        if state == "double":
+            state = "after value" if c == '"' else state
+        elif state == "single":
+            state = "after value" if c == "'" else state
+        elif c == ">":
+            return at
+        elif state == "unquoted":
+            state = "before name" if space else state
+        elif state == "before value":
+            state = state if space else {'"': "double", "'": "single"}.get(c, "unquoted")
+        elif state == "after name" and c == "=" or state == "name" and c == "=":
+            state = "before value"
+        elif space:
+            state = "after name" if state in ("name", "after name") else "before name"
+        elif c == "/":
+            state = "before name"
+        elif state != "tag name":
+            state = "name"
+    return at
+
+
+def test_tags_end_where_the_standard_says():
+    rng = random.Random(8)
+    for _ in range(20_000):
+        page = "<p" + "".join(rng.choice("  ab=='\"/\t>") for _ in range(rng.randint(0, 14))) + rng.choice(["> text", ">", ""])
+        assert wrapper_extract._TOKEN.match(page).end() == tag_end(page, 0), page
+
+
+@pytest.mark.parametrize("attribute", ["title=Bob's", 'title="a"b"', "alt='5' tall'", '"', "'x", 'a"b=c', '="q"', "a=b'c\"d", "a = b\"", "x=\"a'b\" y='"])
+def test_stray_quotes_lose_no_text(attribute):
+    page = f"<article><p {attribute}>first</p><p>second</p></article>"
+    if attribute.endswith("y='"):  # an open value runs to the next quote
+        page = page.replace("second", "second's <b>third</b>")
+        assert main_text(page, Rules({})) == "third"  # what follows the quote is a name and another
+    else:
+        assert main_text(page, Rules({})) == "first second"
+
+
+def test_attributes_by_their_own_names():
+    attributes = wrapper_extract.attributes_of(' data-id=ad CLASS="a b" class=ad title="id=footer" x=\'q"\'')
+    assert attributes == {"data-id": "ad", "class": "a b", "title": "id=footer", "x": 'q"'}
