@@ -57,5 +57,10 @@ def extract_seizure_intervals(
 
 
 def sort_intervals(intervals: DataFrame, key: str = "path") -> DataFrame:
-    """Output order only; no operator here depends on it."""
-    return intervals.orderBy(key, F.col("onset_sec").asc_nulls_last())
+    """By key and onset, for output; equal onsets in the order of their ``position``, if there is one.
+
+    A sort across a cluster is not stable by itself; rows that carry their place in
+    the file (``read_paths``) come out as a stable sort of the file leaves them.
+    """
+    place = ["position"] if "position" in intervals.columns else []
+    return intervals.orderBy(key, F.col("onset_sec").asc_nulls_last(), *place)

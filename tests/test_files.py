@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from recordings import edf_bytes, make_tree, quantised
@@ -10,6 +12,7 @@ from sigspan.errors import (
     stage_errors,
 )
 from sigspan.functions.windows import WindowSpec
+from sigspan.operators.intervals import extract_seizure_intervals, sort_intervals
 from sigspan.plans.features import build_features_dataset, segment_features
 from sigspan.plans.segments import build_segments_dataset
 from sigspan.plans import features as feature_plans
@@ -104,6 +107,55 @@ def test_events_in_byte_ranges(spark, tmp_path, monkeypatch):
     assert {(r.path.rsplit("/", 1)[0], r.onset, r.duration, r.eventType) for r in rows} == want
 
 
+QUOTED = (
+    'note\tonset\t"ev""x"\tduration\teventType\n'
+    '"two\nlines"\t1\ta\t2\tsz\r\n'
+    'in"side\t2\t"q"x\t2\t"s""z"\n'
+    '"tab\there ""and\r\nthere"""\t3\t\t\tbckg\r\n\r\n   \n'
+    '\t4\t"""\n\t"""\t1\t"sz\n"\r'
+    '"é\n\n"\t5\t""\t1\tsz\n'
+    '"last"\t6\tb\t""\t"end\n"'
+)
+
+
+@pytest.mark.parametrize("text", [QUOTED, QUOTED + "\n", QUOTED.replace("\r\n", "\n"), "\n \n" + QUOTED, QUOTED.replace("\n", "\r\n")])
+def test_quoted_cells_at_every_range_size(spark, tmp_path, text):
+    """Line ends in quotes, doubled and stray quotes, all row ends: as pandas reads them, from one byte on."""
+    path = tmp_path / "q_events.tsv"
+    path.write_bytes(text.encode())
+    frame = pd.read_csv(path, sep="\t", dtype=str, keep_default_na=False)
+    want = [tuple(v or None for v in row) for row in frame[["onset", "duration", "eventType"]].itertuples(index=False)]
+    assert len(want) == 6
+    size = len(text.encode())
+    begin = events_tsv._head(str(path))[1]
+    for width in [*range(1, 40), size]:  # the steps that the plan takes, without its shuffles
+        starts = list(range(begin, size, width))
+        ask = {"path": [str(path)] * len(starts), "columns": [[1, 3, 4]] * len(starts), "start": starts,
+               "stop": [min(s + width, size) for s in starts], "ranges": [len(starts)] * len(starts)}
+        found = events_tsv._rows(events_tsv._chained(events_tsv._transitions([pa.RecordBatch.from_pydict(ask)])))
+        rows = [r for batch in found for r in batch.to_pylist()]
+        assert [(r["onset"], r["duration"], r["eventType"]) for r in rows] == want, width
+        assert [r["position"] for r in rows] == sorted({r["position"] for r in rows})
+    for width in (1, 7, 64):
+        rows = events_tsv.read_paths(spark.createDataFrame([(str(path),)], "path string"), width).orderBy("position").collect()
+        assert [(r.onset, r.duration, r.eventType) for r in rows] == want
+
+
+def test_an_open_quote_is_an_error(spark, tmp_path):
+    (tmp_path / "a_events.tsv").write_text('onset\tduration\teventType\n1\t2\t"sz\n3\t4\tsz\n')
+    with pytest.raises(EventsFileError, match="never closed"), stage_errors():
+        read_events(spark, str(tmp_path)).collect()
+
+
+def test_equal_onsets_keep_the_order_of_the_file(spark, tmp_path):
+    rows = [f"{(i * 7) % 3}\t{i}\tsz" for i in range(300)]
+    (tmp_path / "a_events.tsv").write_text("\n".join(["onset\tduration\teventType", *rows]))
+    got = extract_seizure_intervals(read_events(spark, str(tmp_path), 64), ["path", "position"])
+    want = sorted(((i * 7) % 3, i) for i in range(300))
+    assert [(r.onset_sec, r.duration_sec) for r in sort_intervals(got).collect()] == want
+    assert [(r.onset_sec, r.duration_sec) for r in read_seizure_intervals(spark, str(tmp_path), ordered=True).collect()] == want
+
+
 def test_labels_of_recordings_under_unrelated_roots(spark, tmp_path):
     text = "onset\tduration\teventType\n2\t6\tsz_x\n"
     for root in ("a b", "c%20d+#"):
