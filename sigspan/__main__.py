@@ -19,7 +19,7 @@ from sigspan.sinks.tables import (
 )
 from sigspan.sources import dataset_root
 from sigspan.sources.manifest import build_manifest, load_manifest
-from sigspan.sources.tables import load_segments
+from sigspan.sources.tables import file_order, head, load_segments
 
 
 def parser() -> argparse.ArgumentParser:
@@ -49,7 +49,7 @@ def parser() -> argparse.ArgumentParser:
     features.add_argument("--relative", action="store_true", help="relative band power")
     features.add_argument("--max-segments", type=int)
     features.add_argument("--max-channels", type=int)
-    features.add_argument("--parts", action="store_true", help="one subfolder per recording")
+    features.add_argument("--parts", action="store_true", help="one numbered file per recording")
     add("check-features", "quality report of a features table", "features")
     audit = add("inspect", "subject-level audit of a labelled table")
     audit.add_argument("--input", required=True)
@@ -75,15 +75,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         save_parquet(build_manifest(spark, args.root), args.output)
         stored = load_manifest(spark, args.output)
         subjects = stored.select("subject").distinct().count()
-        print(f"{preview(stored, 5)}Rows: {stored.count()}\nSubjects: {subjects}")
+        print(f"{preview(head(stored, 5), 5)}Rows: {stored.count()}\nSubjects: {subjects}")
     elif args.command == "segments":
         spec = WindowSpec(args.window, args.stride, args.threshold, not args.keep_partial)
         found = build_segments_dataset(spark, args.manifest, spec, args.missing_bounds)
         save_segments_dataset(found, args.output)
         stored = load_segments(spark, args.output)
-        print(f"Segments: {stored.count()}\n{preview(stored, 5)}")
+        print(f"Segments: {stored.count()}\n{preview(head(stored, 5), 5)}")
     elif args.command == "check-segments":
-        print(checks.segments_report(load_segments(spark, args.segments)))
+        print(checks.segments_report(load_segments(spark, args.segments), file_order()))
     elif args.command == "features":
         found = build_features_dataset(
             spark, args.segments, args.relative, args.max_segments, args.max_channels

@@ -45,8 +45,16 @@ def _unpivot(one_row: DataFrame, columns: Sequence[str], name: str) -> DataFrame
     return one_row.select(F.inline(pairs))
 
 
-def unique_values(df: DataFrame, column: str) -> DataFrame:
-    return df.select(column).distinct()
+def first_places(df: DataFrame, column: str, order: Column, name: str = "first") -> DataFrame:
+    """Distinct values with the place of their first row; pre-aggregated where the rows are."""
+    return df.groupBy(column).agg(F.min(order).alias(name))
+
+
+def unique_values(df: DataFrame, column: str, order: Column | None = None) -> DataFrame:
+    """Distinct values, with an order of rows by first appearance; only the values are sorted."""
+    if order is None:
+        return df.select(column).distinct()
+    return first_places(df, column, order).orderBy("first").select(column)
 
 
 def n_unique(df: DataFrame, columns: Sequence[str]) -> DataFrame:

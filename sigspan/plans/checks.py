@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspan.operators import quality
@@ -47,15 +47,18 @@ def _labels(df: DataFrame) -> str:
     return _whole(quality.value_counts(df, "label", "label"))
 
 
-def _distinct(df: DataFrame, column: str) -> str:
-    return _whole(quality.unique_values(df, column).orderBy(column))
+def _distinct(df: DataFrame, column: str, order: Column | None) -> str:
+    """In order of first appearance where rows have places, else by value."""
+    found = quality.unique_values(df, column, order)
+    return _whole(found if order is not None else found.orderBy(column))
 
 
 def _subjects(df: DataFrame) -> int:
     return quality.n_unique(df, ["subject"]).first()[0]
 
 
-def segments_report(df: DataFrame) -> str:
+def segments_report(df: DataFrame, order: Column | None = None) -> str:
+    """order: the rows' places, `file_order()` for a table as it is loaded."""
     return "\n".join(
         [
             f"Shape: {(df.count(), len(df.columns))}",
@@ -66,8 +69,8 @@ def segments_report(df: DataFrame) -> str:
             ),
             _section("Nulls", _missing(df, only_present=False)),
             _section("Window durations", _durations(df)),
-            _section("Window sizes", _distinct(df, "window_size_sec")),
-            _section("Strides", _distinct(df, "stride_sec")),
+            _section("Window sizes", _distinct(df, "window_size_sec", order)),
+            _section("Strides", _distinct(df, "stride_sec", order)),
             _section("Subjects", _subjects(df)),
         ]
     )
@@ -134,12 +137,12 @@ def annotations_report(spark: SparkSession, root: str) -> str:
     """The first annotations of the first recording."""
     path = _first_recording(spark, root)
     events = path.removesuffix("_eeg.edf") + "_events.tsv"
-    rows = read_events(spark, events).select("onset", "duration", "eventType")
+    rows = read_events(spark, events).select("onset", "duration", "eventType", "position")
     onset = F.expr("try_cast(onset AS DOUBLE)")
     return "\n".join(
         [
             f"File: {path.rsplit('/', 1)[1]}",
             f"Number of annotations: {rows.count()}",
-            preview(rows.orderBy(onset), ANNOTATIONS),
+            preview(rows.orderBy(onset.asc_nulls_last(), "position").drop("position"), ANNOTATIONS),
         ]
     )

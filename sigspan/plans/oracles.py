@@ -412,11 +412,17 @@ SELECT filename, subject, session, f.run, start_sec, end_sec, label, w.* EXCLUDE
 FROM fseg f JOIN w ON w.rec = f.rec AND w.ws = f.start_sec"""
 
 
-FILE_PARTS = f"""WITH {FILES_CTE},{FILE_SEGMENTS_CTE},{FILE_SIGNAL_CTE},
-e AS (SELECT rec, ws, sqrt(avg(x * x)) AS rms FROM sig WHERE c = 0 GROUP BY rec, ws)
-SELECT replace(filename, '.edf', '') AS recording, count(*) AS n_segments,
-       CAST(sum(label) AS BIGINT) AS n_positive, round(sum(rms), 9) AS total_rms
-FROM fseg f JOIN e ON e.rec = f.rec AND e.ws = f.start_sec GROUP BY 1"""
+FILE_PARTS = f"""SELECT 'features_part_' || lpad(CAST(dense_rank() OVER (ORDER BY filename) - 1 AS VARCHAR), 4, '0')
+       || '.parquet' AS part,
+       row_number() OVER (PARTITION BY filename ORDER BY start_sec) - 1 AS row, f.*
+FROM ({_file_features(False)}) f"""
+
+NOTED_CTE = """
+noted AS (
+  SELECT 'log-' || lpad(CAST(event_id // 1000 AS VARCHAR), 6, '0') || '_events.tsv' AS filename, event_id,
+         CAST(event_id * 7 % 250 AS DOUBLE) AS onset, value AS duration,
+         CASE event_type WHEN 'error' THEN 'sz_a' WHEN 'click' THEN 'sz_b' ELSE 'bckg' END AS event_type
+  FROM events)"""
 
 FILE_MANIFEST = f"""WITH {FILES_CTE}
 SELECT subject, 'ses-01' AS session, 'monitor' AS task, run, name || '_eeg.edf' AS filename
@@ -580,8 +586,11 @@ SELECT * EXCLUDE (rec) FROM fseg""",
     "features_from_files_relative": _file_features(True),
     "sink_feature_parts": FILE_PARTS,
     "sink_segments": f"{SEGMENTS} SELECT * FROM segs",
-    "sink_csv": f"""WITH {RARE}
-SELECT subject, n_segments, n_positive, round(positive_ratio, 6) AS positive_ratio FROM summ""",
+    "sink_features": _file_features(False),
+    "sink_csv": f"""WITH {RARE}, csv AS (SELECT {SUMMARY_COLUMNS} FROM summ)
+SELECT * REPLACE (CASE WHEN has_positive THEN 'True' ELSE 'False' END AS has_positive),
+       row_number() OVER (ORDER BY n_positive DESC, n_segments DESC, subject) - 1 AS place
+FROM csv""",
     "sink_json": f"""{SEGMENT_AUDIT},{CONCENTRATION_CTE}
 SELECT gl.* REPLACE (round(global_positive_ratio, 6) AS global_positive_ratio,
                      round(subject_positive_ratio, 6) AS subject_positive_ratio),
@@ -602,6 +611,20 @@ SELECT unnest(['total_segments', 'total_positive', 'total_negative', 'total_subj
                subjects_with_positive, subjects_without_positive]) AS n
 FROM gl""",
     "src_checksums": CHECKSUMS,
+    "src_events_quoted": f"WITH {NOTED_CTE} SELECT * EXCLUDE (event_id) FROM noted",
+    "sort_intervals": f"""WITH {NOTED_CTE}
+SELECT filename, onset AS onset_sec, round(duration, 6) AS duration_sec, round(onset + duration, 6) AS end_sec, event_type,
+       CAST(row_number() OVER (PARTITION BY filename ORDER BY onset, event_id) - 1 AS INT) AS place
+FROM noted WHERE event_type <> 'bckg'""",
+    "unique_values_ordered": """
+SELECT event_type || '-' || day(ts) AS value, CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS INT) AS place
+FROM events GROUP BY 1""",
+    "preview_head": "SELECT event_id, user_id, event_type, value FROM events ORDER BY event_id LIMIT 25",
+    "agg_non_numeric": """
+SELECT unnest(['rising', 'kind']) AS "column",
+       unnest([count(DISTINCT list_sum(list_transform(embedding[1:16], lambda v: CAST(v AS DOUBLE))) > 0),
+               count(DISTINCT CAST(label AS VARCHAR))]) AS n_values
+FROM embeddings""",
     "validate_dataset": """
 SELECT CAST(user_id AS VARCHAR) AS subject, CAST(event_type = 'error' AS BIGINT) AS label,
        count(*) AS n

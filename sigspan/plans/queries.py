@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigspan.functions import bids, spectral, timedomain
@@ -31,7 +31,7 @@ from sigspan.sinks import tables as sinks
 from sigspan.sources import dataset_root, edf
 from sigspan.sources.events_tsv import read_events, read_paths, read_seizure_intervals
 from sigspan.sources.manifest import build_manifest, list_recordings, load_manifest, recording_entities
-from sigspan.sources.tables import load_dataset, load_segments
+from sigspan.sources.tables import file_order, head, load_dataset, load_segments
 
 HOURLY = WindowSpec(3600.0, 3600.0)
 FILE_WINDOWS = WindowSpec(4.0, 2.0)
@@ -532,17 +532,22 @@ def file_features(relative: bool) -> Query:
 
 
 def feature_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """Features written in one part per recording and read back."""
+    """Features written as one numbered file per recording, every column read back."""
     folder = shared_dir(spark, "parts")
     found = build_features_dataset(spark, _file_segments(spark, sf), False, None, files.CHANNELS)
     sinks.save_feature_parts(found, folder)
     back = sinks.load_feature_parts(spark, folder)
-    found = back.groupBy("path").agg(
-        F.count("*").alias("n_segments"),
-        F.sum("label").alias("n_positive"),
-        r(F.sum("rms_ch_01"), 9).alias("total_rms"),
-    )
-    return found.select(bids.stem(F.col("path")).alias("recording"), "n_segments", "n_positive", "total_rms")
+    part = F.col("_metadata.file_name").alias("part")
+    place = F.col("_metadata.row_index").alias("row")
+    return rounded(_named(back.select(part, place, *back.columns)), 9)
+
+
+def stored_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features saved as one table, every column read back."""
+    path = shared_dir(spark, "features")
+    found = build_features_dataset(spark, _file_segments(spark, sf), False, None, files.CHANNELS)
+    sinks.save_features_dataset(found, path)
+    return rounded(_named(spark.read.parquet(path)), 9)
 
 
 def stored_segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -593,15 +598,56 @@ def checksums(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def csv_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """The subject summary through its CSV file."""
+    """The subject summary through its one CSV file: all columns and the place of each line."""
     path = shared_dir(spark, "summary") + ".csv"
-    sinks.save_csv(rounded(audit.sort_summary(_event_summary(spark, sf))), path)
-    return load_dataset(spark, path).select(
-        F.col("subject").cast("string").alias("subject"),
-        F.col("n_segments").cast("bigint").alias("n_segments"),
-        F.col("n_positive").cast("bigint").alias("n_positive"),
-        "positive_ratio",
-    )
+    sinks.save_csv(audit.sort_summary(_event_summary(spark, sf)), path)
+    lines = spark.read.schema(
+        "subject string, n_segments bigint, n_positive bigint, n_negative bigint, positive_ratio double, "
+        "n_recordings bigint, has_positive string, positive_share_overall double, segment_share_overall double"
+    ).csv(path, header=True)
+    # one file of one split: ids count its lines
+    return rounded(lines.withColumn("place", F.monotonically_increasing_id()))
+
+
+# --- places of rows ----------------------------------------------------------------
+
+
+def quoted_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotation files whose notes hold line ends and quotes, in ranges far below a file's size."""
+    return _annotations(read_events(spark, files.noted_annotations(spark, sf), 4096))
+
+
+def ordered_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals by file and onset, equal onsets as in the file, with their place in it."""
+    events = read_events(spark, files.noted_annotations(spark, sf), 4096)
+    found = sort_intervals(extract_seizure_intervals(events, ["path", "position"])).drop("position")
+    numbered = _named(found.withColumn("at", F.monotonically_increasing_id()))
+    place = F.row_number().over(Window.partitionBy("filename").orderBy("at")) - 1  # NOTED rows at most
+    return rounded(numbered.select("*", place.alias("place")).drop("at"))
+
+
+def ordered_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of a table of several files by first appearance."""
+    events = files.ordered_events(spark, sf)
+    day = F.concat_ws("-", "event_type", F.dayofmonth("ts")).alias("value")
+    found = events.select(day, file_order().alias("order"))
+    found = quality.unique_values(found, "value", F.col("order"))
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1  # distinct values only
+    return found.select("value", place.alias("place"))
+
+
+def first_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The head of a stored table, in file order."""
+    return head(files.ordered_events(spark, sf), 25).select("event_id", "user_id", "event_type", "value")
+
+
+def non_numeric(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature columns that hold no numbers, with their distinct values."""
+    labelled = _wide(spark, sf).join(_vectors(spark, sf).select("vec_id", "label"), "vec_id")
+    df = labelled.select("*", (F.col("mean_ch_01") > 0).alias("rising"), F.col("label").cast("string").alias("kind"))
+    names = quality.non_numeric_features(df.drop("vec_id"))
+    counts = [F.count_distinct(c).alias(c) for c in names]
+    return df.agg(*counts).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_values")) for c in names])))
 
 
 SPARK_QUERIES: dict[str, Query] = {
@@ -670,10 +716,16 @@ SPARK_QUERIES: dict[str, Query] = {
     "features_from_files": file_features(False),
     "features_from_files_relative": file_features(True),
     "sink_feature_parts": feature_parts,
+    "sink_features": stored_features,
     "sink_segments": stored_segments,
     "sink_csv": csv_summary,
     "sink_json": json_report,
     "sink_markdown": markdown_counts,
     "src_checksums": checksums,
     "validate_dataset": validated_labels,
+    "src_events_quoted": quoted_annotations,
+    "sort_intervals": ordered_intervals,
+    "unique_values_ordered": ordered_values,
+    "preview_head": first_rows,
+    "agg_non_numeric": non_numeric,
 }

@@ -21,7 +21,8 @@ CHANNELS = 4
 SECONDS = 10
 SEIZURE_LABELS = 3
 STEPS = 65535
-_written: dict[tuple[str, str], str] = {}
+NOTED = 1000  #: events in an annotation file with notes
+_written: dict[tuple[str, ...], str] = {}
 
 
 def _edf(signal: np.ndarray) -> bytes:
@@ -100,3 +101,45 @@ def recording_tree(spark: SparkSession, sf_dir: str) -> str:
         names.write.format("noop").mode("overwrite").save()
         _written[key] = root
     return _written[key]
+
+
+def _note_writer(root: str):
+    def write(events: pd.DataFrame) -> pd.DataFrame:
+        """One file of NOTED events: notes with line ends, tabs and quotes, and onsets that repeat."""
+        number = int(events["number"].iloc[0])
+        end = "\r\n" if number % 2 else "\n"
+        lines = ["onset\tnote\tduration\teventType"]
+        for e in events.sort_values("event_id").itertuples():
+            note = (f'"line {e.event_id}{end}\t""{e.event_type}"" {end}"', f'in"side {e.event_id}', '""')[e.event_id % 3]
+            kind = {"error": '"sz_a"', "click": "sz_b"}.get(e.event_type, "bckg")
+            lines.append(f"{e.event_id * 7 % 250}\t{note}\t{e.value!r}\t{kind}")
+        name = f"{root}/log-{number:06d}_events.tsv"
+        with create_file(name) as out:
+            out.write(end.join([*lines, ""]).encode())
+        return pd.DataFrame({"name": [name]})
+
+    return write
+
+
+def noted_annotations(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of annotation files with quoted notes, written from ``events``."""
+    key = (spark.sparkContext.applicationId, sf_dir, "notes")
+    if key not in _written:
+        root = shared_dir(spark, "notes")
+        events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+        numbered = events.withColumn("number", F.floor(F.col("event_id") / NOTED))
+        names = numbered.groupBy("number").applyInPandas(_note_writer(root), "name string")
+        names.write.format("noop").mode("overwrite").save()
+        _written[key] = root
+    return _written[key]
+
+
+def ordered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stored table of several files, in order of their ids."""
+    key = (spark.sparkContext.applicationId, sf_dir, "events")
+    if key not in _written:
+        path = shared_dir(spark, "events")
+        events = table(spark, sf_dir, "events").repartitionByRange(8, "event_id").sortWithinPartitions("event_id")
+        events.write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])

@@ -39,6 +39,12 @@ def _resolve(path: str) -> tuple[pafs.FileSystem, str, str, str]:
 _LOCAL = pafs.LocalFileSystem()
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store that a path or URI names, and the path inside it."""
+    system, inner, _, _ = _resolve(path)
+    return system, inner
+
+
 def open_file(path: str):
     """A seekable input file for a plain path or a URI."""
     system, inner, _, _ = _resolve(path)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sigspan.errors import DatasetInspectionError, FeatureDatasetBuilderError
 from sigspan.schemas import SEGMENT_KEYS, require_columns
@@ -20,6 +23,31 @@ def existing(spark: SparkSession, path: str, error: type[Exception], message: st
     return path
 
 
+def file_order() -> Column:
+    """The place of a row in a stored Parquet table: its file, and its number there.
+
+    Works on a table as it is loaded, before anything else is done to it.
+    """
+    return F.struct("_metadata.file_path", "_metadata.row_index")
+
+
+def head(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of a loaded Parquet table, in the order of its files.
+
+    Files are opened from the first one on until they hold n rows; a plain limit takes
+    rows from whichever file is scanned first.
+    """
+    files = sorted(unquote(f) for f in df.inputFiles())
+    taken = 1
+    while files:
+        first = df.sparkSession.read.schema(df.schema).parquet(*files[:taken])
+        if taken >= len(files) or first.limit(n).count() >= n:
+            rows = first.withColumn("_place", file_order()).orderBy("_place").limit(n)
+            return rows.drop("_place")
+        taken *= 2
+    return df.limit(0)
+
+
 def load_segments(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(
         existing(spark, path, FileNotFoundError, "No segments table at")
