@@ -6,11 +6,9 @@ refer to a window by an integer instead of comparing floating-point bounds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +18,7 @@ from sigspan.functions.labeling import check_threshold
 # Overlap sums arrive in no fixed order on a cluster. This forgives rounding
 # only; a window that is counted twice exceeds it by far.
 ROUNDING_SLACK = 1e-9
+LONGEST = 2.0**1000  #: seconds; no window begins later
 
 
 @dataclass(frozen=True)
@@ -43,33 +42,44 @@ class WindowSpec:
         return float(self.stride_sec * 2**16).is_integer()
 
 
-def _accumulated_starts(stride: float, every: int = 4096):
-    """Starts obtained by adding the stride again and again.
+def accumulated_pieces(stride: float) -> list[tuple[int, float, float]]:
+    """(k, start, step): what adding the stride again and again gives, as linear pieces.
 
-    Only every ``every``-th start is remembered, across the batches of a task; a
-    batch recomputes the blocks it needs with a running sum, which adds in the
-    same order.
+    Within one binade every sum is a multiple of the same unit, so each addition
+    rounds the stride to the same step, but for the first one where the stride lies
+    just between two multiples: it makes the sum even. From k on, start + (k' - k) *
+    step is exact until the next piece. Some sixty binades later the stride is too
+    small to change the sum.
     """
-
-    def block(start: float, length: int) -> np.ndarray:
-        steps = np.full(length, stride)
-        steps[0] = start
-        return np.cumsum(steps)
-
-    @F.pandas_udf("double")
-    def starts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        marks = [0.0]
-        for k in batches:
-            number, offset = np.divmod(k.to_numpy(), every)
-            out = np.empty(number.size)
-            for b in np.unique(number):
-                while len(marks) <= b:
-                    marks.append(float(block(marks[-1], every + 1)[-1]))
-                here = number == b
-                out[here] = block(marks[b], every)[offset[here]]
-            yield pd.Series(out)
-
-    return starts
+    pieces, k, start = [(0, 0.0, 0.0)], 0, 0.0
+    while True:
+        k, start = k + 1, start + stride
+        after = start + stride
+        if after == start or start >= LONGEST:
+            return [*pieces, (k, start, 0.0)]
+        top = math.ldexp(1.0, math.frexp(start)[1])  # where the binade ends
+        step = after - start
+        if after >= top or after + stride < top and after + stride - after != step:
+            pieces.append((k, start, 0.0))
+            continue
+        pieces.append((k, start, step))
+        n = int((top - start) / step)
+        n -= start + n * step >= top
+        k, start = k + n, start + n * step
+
+
+def _accumulated_start(k: Column, stride: float) -> Column:
+    """Start of window k under repeated addition: a search for its piece, then one product."""
+    pieces = accumulated_pieces(stride)
+
+    def among(low: int, high: int) -> Column:
+        if high - low == 1:
+            first, start, step = pieces[low]
+            return F.lit(start) + (k - F.lit(first).cast("bigint")) * F.lit(step)
+        middle = (low + high) // 2
+        return F.when(k < F.lit(pieces[middle][0]).cast("bigint"), among(low, middle)).otherwise(among(middle, high))
+
+    return among(0, len(pieces))
 
 
 def window_start(k: Column, spec: WindowSpec) -> Column:
@@ -81,7 +91,7 @@ def window_start(k: Column, spec: WindowSpec) -> Column:
     """
     if spec.exact_grid:
         return k * F.lit(float(spec.stride_sec))
-    return _accumulated_starts(float(spec.stride_sec))(k)
+    return _accumulated_start(k, float(spec.stride_sec))
 
 
 def checked_duration(duration: Column) -> Column:

@@ -20,17 +20,17 @@ def running_sum(df: DataFrame, order: list[Column], value: Column, name: str) ->
     ranged = df.withColumn(name, value).repartitionByRange(shuffle_partitions(df.sparkSession), *order)
     ranged = ranged.sortWithinPartitions(*order).select(
         "*",
-        F.spark_partition_id().alias("_range"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)).alias("_at"),
+        F.spark_partition_id().alias("_rs_range"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)).alias("_rs_at"),
     )
     ranged = stored(ranged, "ranged")
-    ranges = ranged.groupBy("_range").agg(F.sum(name).alias("_sum"))
-    before = F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")
+    ranges = ranged.groupBy("_rs_range").agg(F.sum(name).alias("_rs_sum"))
+    before = F.sum("_rs_sum").over(Window.orderBy("_rs_range")) - F.col("_rs_sum")
     # one row a range: as many as there are shuffle partitions
-    ranges = F.broadcast(ranges.select("_range", before.alias("_before")))
-    within = F.sum(name).over(Window.partitionBy("_range").orderBy("_at")) - F.col(name)
-    found = ranged.withColumn("_within", within).join(ranges, "_range")
-    return found.withColumn(name, F.col("_before") + F.col("_within")).drop("_range", "_at", "_within", "_before")
+    ranges = F.broadcast(ranges.select("_rs_range", before.alias("_rs_before")))
+    within = F.sum(name).over(Window.partitionBy("_rs_range").orderBy("_rs_at")) - F.col(name)
+    found = ranged.withColumn("_rs_within", within).join(ranges, "_rs_range")
+    return found.withColumn(name, F.col("_rs_before") + F.col("_rs_within")).drop("_rs_range", "_rs_at", "_rs_within", "_rs_before")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:

@@ -149,6 +149,17 @@ def total_overlaps(pairs: DataFrame, key: str = "path") -> DataFrame:
     return pairs.groupBy(key, "_block", "_k").agg(F.sum("overlap_sec").alias("overlap_sec"))
 
 
+def _dense() -> Column:
+    """The overlaps of a block by the place of their window, as far as the last one that is touched."""
+    offset = lambda hit: (hit["_k"] - F.col("_block") * BLOCK).cast("int")
+
+    def filled(done: Column, hit: Column) -> Column:
+        gap = F.array_repeat(F.lit(0.0), offset(hit) - F.size(done))
+        return F.concat(done, gap, F.array(hit["overlap_sec"]))
+
+    return F.aggregate("_touched", F.array().cast("array<double>"), filled)
+
+
 def windows_with_overlap(
     recordings: DataFrame,
     intervals: DataFrame,
@@ -164,18 +175,17 @@ def windows_with_overlap(
         total_overlaps(window_overlaps(intervals, recordings, spec, key), key)
         # At most BLOCK entries: the windows of a block are distinct by now.
         .groupBy(key, "_block")
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("_k", "overlap_sec"))).alias("_hits")
-        )
+        .agg(F.array_sort(F.collect_list(F.struct("_k", "overlap_sec"))).alias("_touched"))
+        .select(key, "_block", _dense().alias("_hits"))
     )
-    overlap = F.coalesce(F.try_element_at("_hits", F.col("_k")), F.lit(0.0))
+    overlap = F.coalesce(F.get("_hits", (F.col("_k") - F.col("_block") * BLOCK).cast("int")), F.lit(0.0))
     keep = recordings.columns
     joined = _blocks(recordings, spec).join(touched, [key, "_block"], "left")
     # Spread after the join: whatever way the join runs, the explode below then
     # starts from evenly filled partitions.
     joined = _spread_in_order(joined, order) if order else _spread(joined, key)
     return (
-        joined.select(*keep, "_hits", F.explode(_block_windows()).alias("_k"))
+        joined.select(*keep, "_block", "_hits", F.explode(_block_windows()).alias("_k"))
         .select(*keep, "_k", overlap.alias("overlap_sec"))
         .select(*keep, "overlap_sec", *_bounds(spec))
         .where(F.col("end_sec") <= F.col(DURATION))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sigspan.errors import FeatureDatasetBuilderError, fail, stage_errors
 from sigspan.operators.features import default_channel_names, feature_block, feature_names
+from sigspan.operators.ranks import running_sum
 from sigspan.operators.segmentation import optional_string
 from sigspan.schemas import SEGMENT_KEYS, SORT_KEYS, require_columns
 from sigspan.session import shuffle_partitions
@@ -123,9 +124,8 @@ def limit_segments(segments: DataFrame, max_segments: int | None) -> DataFrame:
     """The first segments in output order, for quick runs; in no order themselves.
 
     Counts by recording place the cut: recordings before it are kept whole, and
-    only the one that it falls into is ranked. No task gathers the kept segments;
-    the running counts are one row per recording within a subject, and one per
-    subject.
+    only the one that it falls into is ranked. No task gathers the kept segments, nor
+    the counts, which are summed by ranges (`running_sum`).
     """
     if max_segments is None:
         return segments
@@ -135,17 +135,10 @@ def limit_segments(segments: DataFrame, max_segments: int | None) -> DataFrame:
         )
     subject, path, start = (F.col(c).asc_nulls_last() for c in SORT_KEYS)
     counts = segments.groupBy("subject", "path").agg(F.count("*").alias("_n"))
-    subjects = counts.groupBy("subject").agg(F.sum("_n").alias("_all"))
-    before = F.sum("_all").over(Window.orderBy(subject)) - F.col("_all")
-    subjects = subjects.select(F.col("subject").alias("_s"), before.alias("_before")).where(
-        F.col("_before") < max_segments
-    )
-    within = F.sum("_n").over(Window.partitionBy("subject").orderBy(path)) - F.col("_n")
-    room = (max_segments - F.col("_before") - within).alias("_room")
-    recordings = (
-        counts.join(subjects, F.col("subject").eqNullSafe(F.col("_s")))
-        .select(F.col("subject").alias("_s"), F.col("path").alias("_p"), "_n", room)
-        .where("_room > 0")
+    before = running_sum(counts, [subject, path], F.col("_n"), "_before")
+    room = (max_segments - F.col("_before")).alias("_room")
+    recordings = before.where(F.col("_before") < max_segments).select(
+        F.col("subject").alias("_s"), F.col("path").alias("_p"), "_n", room
     )
     same = F.col("subject").eqNullSafe(F.col("_s")) & F.col("path").eqNullSafe(F.col("_p"))
     placed = segments.join(recordings, same)

@@ -611,6 +611,10 @@ SELECT unnest(['total_segments', 'total_positive', 'total_negative', 'total_subj
                subjects_with_positive, subjects_without_positive]) AS n
 FROM gl""",
     "src_checksums": CHECKSUMS,
+    "src_edf_stretch": f"""WITH {FILES_CTE}
+SELECT name || '_eeg.edf' AS filename, c AS channel, CAST(sec AS DOUBLE) AS start_sec,
+       CAST(count(*) AS INTEGER) AS n_samples, round(sum(x), 9) + 0.0 AS total
+FROM smp JOIN recs USING (rec) WHERE subject = 'sub-00' AND c IN (1, 3) AND sec BETWEEN 2 AND 5 GROUP BY name, c, sec""",
     "src_events_quoted": f"WITH {NOTED_CTE} SELECT * EXCLUDE (event_id) FROM noted",
     "sort_intervals": f"""WITH {NOTED_CTE}
 SELECT filename, onset AS onset_sec, round(duration, 6) AS duration_sec, round(onset + duration, 6) AS end_sec, event_type,

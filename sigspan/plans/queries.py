@@ -488,6 +488,16 @@ def edf_samples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def edf_stretch(spark: SparkSession, sf: str) -> DataFrame:
+    """Two channels of seconds 2 to 6 of the first subject's recordings; no other file is opened."""
+    root = files.recording_tree(spark, sf)
+    first = list_recordings(spark, root).where(F.col("path").contains("/sub-00/"))
+    paths = [r["path"] for r in first.collect()]  # names that the caller asks for
+    rows = edf.read_samples(spark, root, paths, 2.5, 6.0, [1, 3], 1)
+    total = F.aggregate("samples", F.lit(0.0), lambda t, v: t + v)
+    return _named(rows).select("filename", "channel", "start_sec", F.size("samples").alias("n_samples"), r(total, 9).alias("total"))
+
+
 def events_tsv(spark: SparkSession, sf: str) -> DataFrame:
     return _annotations(read_events(spark, files.recording_tree(spark, sf)))
 
@@ -723,6 +733,7 @@ SPARK_QUERIES: dict[str, Query] = {
     "sink_markdown": markdown_counts,
     "src_checksums": checksums,
     "validate_dataset": validated_labels,
+    "src_edf_stretch": edf_stretch,
     "src_events_quoted": quoted_annotations,
     "sort_intervals": ordered_intervals,
     "unique_values_ordered": ordered_values,

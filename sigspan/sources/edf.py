@@ -7,6 +7,8 @@ Files are cut into byte ranges, so a long recording is read by many tasks.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -190,10 +192,14 @@ class _Ranges(InputPartition):
 
 
 def _wanted(options) -> list[tuple[str, int]]:
-    """The recordings a path option names: one file, or every EDF below a folder."""
+    """The recordings a path option names: one file, or every EDF below a folder, or those of them that are asked for."""
     if not options.get("path"):
         raise ValueError("give the recording or folder with load(path)")
-    return find_files(options["path"], ".edf")
+    found = find_files(options["path"], ".edf")
+    if options.get("recordings") is None:
+        return found
+    asked = set(json.loads(options["recordings"]))
+    return [(path, size) for path, size in found if path in asked]
 
 
 def plan_ranges(files: list[tuple[str, int]], limit: int) -> list[list[tuple[str, int, int]]]:
@@ -244,6 +250,7 @@ class _SampleReader(DataSourceReader):
         self.options = options
         self.channels = [int(c) for c in options.get("channels", "").split(",") if c.strip()]
         self.rows_sec = float(options.get("secondsPerRow", 60))
+        self.start, self.end = float(options.get("startSec", 0)), float(options.get("endSec", "inf"))
 
     def partitions(self):
         """Planned from file sizes alone; the driver opens no recording."""
@@ -258,6 +265,9 @@ class _SampleReader(DataSourceReader):
                 min(max(0, -(-(at - header.header_bytes) // header.record_bytes)), header.n_records)
                 for at in (begin, end)
             )
+            # and is read if it overlaps the wanted time
+            first = max(first, int(min(self.start / header.record_sec, header.n_records)))
+            last = min(last, math.ceil(min(self.end / header.record_sec, header.n_records)))
             step = max(1, int(self.rows_sec / header.record_sec))
             channels = [c for c in range(len(header.names)) if not self.channels or c in self.channels]
             with open_file(path) as source:
@@ -287,10 +297,12 @@ def _sample_batch(
 
 
 class EdfSource(DataSource):
-    """``spark.read.format("edf").load(folder)``; option ``channels``: numbers to decode, "0,3".
+    """``spark.read.format("edf").load(folder)``.
 
-    Filters are not pushed: Spark keeps one reader per loaded table, so a filter of
-    one query would hold for the next one.
+    Options: ``channels``, the numbers to decode, "0,3"; ``recordings``, a JSON list of
+    paths; ``startSec`` and ``endSec``, of which whole data records are read. They are
+    options and not pushed filters, since Spark keeps one reader per loaded table, so a
+    filter of one query would hold for the next one: see ``read_samples``.
     """
 
     @classmethod
@@ -308,3 +320,23 @@ def register(spark) -> None:
     """Make both formats known to a session."""
     spark.dataSource.register(EdfHeaderSource)
     spark.dataSource.register(EdfSource)
+
+
+def read_samples(
+    spark, root: str, recordings: list[str] | None = None, start_sec: float = 0.0, end_sec: float = float("inf"),
+    channels: list[int] | None = None, rows_sec: float = 60.0,
+) -> DataFrame:
+    """Samples of some recordings, of a stretch of time and some channels: a table for this scan alone.
+
+    Only the named files are opened, and of them only the data records that overlap
+    the time; rows begin and end with data records.
+    """
+    if not 0 <= start_sec < end_sec:
+        raise ValueError(f"no time from {start_sec} to {end_sec}")
+    register(spark)
+    reader = spark.read.format("edf").option("secondsPerRow", rows_sec)
+    if recordings is not None:
+        reader = reader.option("recordings", json.dumps(recordings))
+    if channels is not None:
+        reader = reader.option("channels", ",".join(map(str, channels)))
+    return reader.option("startSec", start_sec).option("endSec", end_sec).load(root)

@@ -311,6 +311,30 @@ def test_features_from_files(spark, tree, tmp_path):
         assert one.exceptAll(features.where(features.path == path)).isEmpty() and not one.isEmpty()
 
 
+def test_selective_scans_open_few_files(spark, tree):
+    """Files that aren't asked for may be unreadable; the next scan is complete again."""
+    root, paths = tree
+    path = str(sorted(paths.values())[0])
+    whole = edf.read_samples(spark, str(root)).where(F.col("path") == path)
+    broken = root / "sub-99" / "x_eeg.edf"
+    broken.parent.mkdir()
+    broken.write_bytes(b"no recording")
+    one = edf.read_samples(spark, str(root), [path])
+    assert one.exceptAll(whole).isEmpty() and one.count() == one.select("channel").count() > 0
+    with pytest.raises(Exception, match="Could not read"):
+        edf.read_samples(spark, str(root)).collect()
+    broken.unlink()
+    assert edf.read_samples(spark, str(root)).select("path").distinct().count() == len(paths)
+    ranges = edf._SampleReader({"path": str(root), "recordings": f'["{path}"]', "splitBytes": "500"}).partitions()
+    assert {p for group in ranges for p, _, _ in group.ranges} == {path} and len(ranges) > 1
+    header = edf.read_header(path, ValueError)
+    part = edf.read_samples(spark, str(root), [path], 1.5 * header.record_sec, 4 * header.record_sec, [0], header.record_sec)
+    rows = part.orderBy("start_sec").collect()
+    assert [r.start_sec for r in rows] == [k * header.record_sec for k in (1, 2, 3)] and {r.channel for r in rows} == {0}
+    with pytest.raises(ValueError):
+        edf.read_samples(spark, str(root), start_sec=3.0, end_sec=3.0)
+
+
 def test_gathered_samples_are_bounded(monkeypatch, tmp_path):
     """A stride far below the window size does not grow what is held at once."""
     seen = []

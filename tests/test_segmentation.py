@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sigspan.errors import LabelingError, SegmentationError, stage_errors
 from sigspan.functions.labeling import assign_label
-from sigspan.functions.windows import WindowSpec, overlap_ratio, overlap_seconds
+from sigspan.functions.windows import WindowSpec, accumulated_pieces, overlap_ratio, overlap_seconds, window_start
 from sigspan.operators import segmentation as sg
 
 RECORDING = "subject string, session string, run string, path string, recording_duration_sec double"
@@ -218,3 +219,33 @@ def test_a_dominant_recording_is_spread(spark, ordered):
     if ordered:
         got = [(r.path, r.start_sec) for r in df.select("path", "start_sec").collect()]
         assert got == sorted(got)
+
+
+@pytest.mark.parametrize("stride", [0.1, 0.3, 1 / 3, 4321.1, 7.7, 1 + 2**-52, 74715249908.23267, 3 * 2.0**-40, 1e-300])
+def test_repeated_addition_in_closed_form(spark, stride):
+    """Bit for bit what adding gives, also where additions round to even."""
+    pieces = np.array(accumulated_pieces(stride))
+    k = np.arange(300_001)
+    at = np.searchsorted(pieces[:, 0], k, "right") - 1
+    want = np.cumsum(np.r_[0.0, np.full(300_000, stride)])
+    assert (pieces[at, 1] + (k - pieces[at, 0]) * pieces[at, 2] == want).all()
+    spec = WindowSpec(1.0, stride)
+    if not spec.exact_grid:
+        ks = spark.range(0, 300_001, 997)
+        got = [r.s for r in ks.select("id", window_start(F.col("id"), spec).alias("s")).orderBy("id").collect()]
+        assert got == want[::997].tolist()
+
+
+def test_repeated_addition_far_on():
+    pieces, at, k = np.array(accumulated_pieces(0.1)), 0.0, 0
+    while k < 10**8:
+        run = np.cumsum(np.r_[at, np.full(10**7, 0.1)])
+        ks = np.arange(k, k + 10**7 + 1)
+        piece = np.searchsorted(pieces[:, 0], ks, "right") - 1
+        assert (pieces[piece, 1] + (ks - pieces[piece, 0]) * pieces[piece, 2] == run).all()
+        at, k = run[-1], k + 10**7
+
+
+def test_drifting_windows_need_no_python(spark):
+    plan = sg.generate_time_windows(spark.createDataFrame([("a", 50.0)], "path string, recording_duration_sec double"), WindowSpec(1.0, 0.1))
+    assert "ArrowEval" not in plan._jdf.queryExecution().toString() and plan.count() == 491
