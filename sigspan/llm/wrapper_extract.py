@@ -1,37 +1,38 @@
-"""Main text of web pages by union-free wrappers of hosts (operator 1).
+"""Main text of web pages by union-free wrappers of templates (operator 1).
 
 Pages of a host come from templates. The wrapper of a template is a union-free regular
 expression over tags and text: sequences, optional groups and repeated groups, text
-slots and constant texts. Two pages are aligned node by node (`align`):
+slots and constant texts. It is found by aligning token streams, page by page (`align`):
 
 * text that differs at the same place becomes a slot;
 * tags that fail to match are first tried as one more round of a repeated group
   (a group that stands beside a copy of itself);
-* what is still unmatched on either side becomes an optional group.
-
-For whole hosts the same is read from counts over all distinct pages (`wrappers`): a
-place is the path of a text, its group is optional if only some pages of the template
-have it, and it is constant if nine in ten of those that have it show one value. In
-an article the value is all text of the path, so a repeated group is constant only as
-a whole. A template is named by the path of its article or, without one, by the two
-top levels. Places on fewer than `LEAST_PAGES` distinct pages tell nothing.
-
-What the wrapper decides: constant texts go, optional or not, outside of articles and
-in them, as long as the template's articles have a slot left; a slot stays even if an
-ambiguous word of its class or id speaks against it. Marks decide alone where an
+* what is still unmatched on either side becomes optional, element by element; an
+  element that the same gap already offers joins it there, so a wrapper grows with the
+  kinds of elements of a template and not with its pages.
+
+A template is named by the path of its article or, without one, by the two top levels.
+All distinct pages of a template are aligned: groups of `GROUP` pages, in the order of
+their digests, each give a wrapper, groups of `GROUP` wrappers the next one, until one
+is left. No task holds more than a group, and reruns give the same wrapper.
+
+What the wrapper decides: a constant text that at least `LEAST_PAGES` pages have goes,
+optional or not, outside of articles and in them, as long as the template's articles
+have a slot left; a slot stays even if an ambiguous word of its class or id speaks
+against it. A place of the wrapper is known by the path of its text; a path with slots
+in an article keeps its constants, since they are part of what varies there. Marks decide alone where an
 element has an unambiguous one: made for menus, headers, footers, sidebars, adverts,
 forms, scripts, styles or comments by its name, role or an unmistakable word.
 Everything outside an article goes if the page has one. Where the wrapper has
 nothing, ambiguous words drop text outside of articles and nothing in them. Where
 words would leave nothing of a page without an article, only names and roles count.
 
-A page is read whole, once for the counts and once with its host's rules, which are
-joined by host from a stored table whose size lets Spark choose a broadcast or a
-sort-merge join. Nothing is sampled.
+A page is read whole: for its stream, for its template's name, and with its
+template's rules, which are joined by host and template. Nothing is sampled.
 
 Defined cases: a null html gives an empty text; a page cut short gives its text up to
 the cut, an unfinished tag is markup; a null url is a host of its own; repeated rows
-give equal texts; other columns are not read.
+give equal texts and are aligned once; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,8 +41,7 @@ import hashlib
 import html as references
 import json
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 from itertools import groupby
@@ -53,8 +53,9 @@ from pyspark.sql import functions as F
 
 from sigspan.llm.common import batches, release, small_batches, stored
 
-LEAST_PAGES = 3  #: distinct pages that must have an address before the wrapper says something of it
-LONGEST_GROUP = 24  #: nodes of a repeated group
+LEAST_PAGES = 3  #: distinct pages that must have a text before the wrapper calls it constant
+GROUP = 64  #: pages, or wrappers, that are aligned in one step
+MOST_CHILDREN = 24  #: of an element, that are aligned one by one
 
 # Element names and marks of page regions.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "select", "xmp"}
@@ -180,24 +181,64 @@ def blocks(page: str) -> Iterator[tuple[str, str | tuple[str, ...]]]:
     yield from flush()
 
 
-# Wrapper nodes are tuples: ("tag", sign), ("text", path, constant or None),
-# ("plus", body) and ("opt", body), bodies being tuples of nodes.
+# Wrapper nodes are tuples: ("tag", sign), ("plus", body), ("opt", body), bodies being tuples of nodes, and
+# ("text", address, hashes of the values that all pages show, whether it varies, pages that have it).
 
 
-def stream(page: str) -> tuple:
-    """A page's stream as wrapper nodes, copies of groups folded."""
-    nodes = []
-    for kind, value in blocks(page):
-        if kind == "text":
-            nodes.append(("text", *value))
+def stream(events: list) -> tuple:
+    """A page's stream as wrapper nodes, without what marks drop anyhow.
+
+    A child like the one before it makes a repeated group with it. An element of more
+    than `MOST_CHILDREN` children keeps one repeated group for each kind of child.
+    """
+    frames: list[list[tuple]] = [[]]  # the bodies of the children of each open element
+    tags: list[str] = []
+
+    def add(child: tuple) -> None:
+        children = frames[-1]
+        if children and _kind(children[-1]) == _kind(child):
+            children[-1] = _repeated(children[-1], child)
         else:
-            nodes.append(("tag", ("<" if kind == "start" else ">") + value[-1]))
-        nodes = fold_last(nodes)
-    return tuple(nodes)
+            children.append(child)
+
+    def close() -> None:
+        children, tag = frames.pop(), tags.pop()
+        body = (n for child in _by_kind(children) for n in child)
+        add((("tag", "<" + tag), *body, ("tag", ">" + tag)))
+
+    for kind, value in events:
+        path = value[0] if kind == "text" else value
+        if dropped(path, ("!",)):
+            continue
+        if kind == "text":
+            add((("text", address(path), (hashed(value[1]),), 0, 1),))
+        elif kind == "start":
+            frames.append([])
+            tags.append(address(path).rsplit("/", 1)[-1])
+        elif tags:
+            close()
+    while tags:
+        close()
+    return tuple(n for child in _by_kind(frames[0]) for n in child)
+
+
+def _by_kind(children: list[tuple]) -> Iterable[tuple]:
+    if len(children) <= MOST_CHILDREN:
+        return children
+    found: dict[tuple, tuple] = {}
+    for child in children:
+        kind = _kind(child)
+        found[kind] = _repeated(found[kind], child) if kind in found else child
+    return found.values()
+
+
+def _repeated(a: tuple, b: tuple) -> tuple:
+    both = _united(a, b, False)
+    return both if both[0][0] == "plus" else (("plus", both),)
 
 
 def sign(node) -> tuple:
-    """What two nodes must share to match: tags their sign, texts only their path."""
+    """What two nodes must share to match: tags their sign, texts only their place."""
     if node[0] == "tag":
         return node
     if node[0] == "text":
@@ -205,91 +246,136 @@ def sign(node) -> tuple:
     return (node[0], tuple(sign(n) for n in node[1]))
 
 
-def fold_last(nodes: list) -> list:
-    """Fold a group at the end that copies, or adds a round to, the group before it."""
-    if nodes[-1][0] != "tag" or nodes[-1][1][0] != ">":
-        return nodes
-    depth, begin = 0, len(nodes)
-    while begin:  # the last whole element
-        begin -= 1
-        if nodes[begin][0] == "tag":
-            depth += 1 if nodes[begin][1][0] == ">" else -1
-            if not depth:
-                break
-    group = tuple(nodes[begin:])
-    if depth or not begin or len(group) > LONGEST_GROUP:
-        return nodes
-    before = nodes[begin - 1]
-    if before[0] == "plus" and matches(before[1], group):
-        return [*nodes[: begin - 1], ("plus", merge(before[1], group))]
-    copy = tuple(nodes[max(0, begin - len(group)) : begin])
-    if len(copy) == len(group) and matches(copy, group):
-        return [*nodes[: begin - len(group)], ("plus", merge(copy, group))]
-    return nodes
-
-
 def matches(a: tuple, b: tuple) -> bool:
     return len(a) == len(b) and all(sign(x) == sign(y) for x, y in zip(a, b))
 
 
-def merge(a: tuple, b: tuple) -> tuple:
-    """Two matching groups as one: unequal texts become slots."""
-    return tuple(
-        x if x == y else ("text", x[1], None) if x[0] == "text" else (x[0], merge(x[1], y[1])) for x, y in zip(a, b)
-    )
+def merge(a: tuple, b: tuple, pages: bool) -> tuple:
+    """Two matching groups as one: of different pages, or rounds of one page.
 
-
-def align(wrapper: tuple, page: tuple) -> tuple:
-    """The wrapper generalised so that it also accepts the page."""
-    ours: list = []  # (node, the optional group it stands in)
+    Rounds show the values of both. Of pages only common values are constants, and a
+    text whose values differ is a slot.
+    """
+    found = []
+    for x, y in zip(a, b):
+        if x[0] == "tag":
+            found.append(x)
+        elif x[0] != "text":
+            found.append((x[0], merge(x[1], y[1], pages)))
+        elif pages:
+            common = x[2] if x[2] == y[2] else tuple(sorted(set(x[2]) & set(y[2])))
+            found.append(("text", x[1], common, int(x[3] or y[3] or x[2] != y[2]), x[4] + y[4]))
+        else:
+            values = x[2] if x[2] == y[2] else tuple(sorted(set(x[2]) | set(y[2])))
+            found.append(("text", x[1], values, int(x[3] or y[3]), max(x[4], y[4])))
+    return tuple(found)
+
+
+def elements(nodes: tuple) -> Iterator[tuple]:
+    """Whole elements and texts of a sequence, one by one; what is not whole stays together."""
+    depth, begin = 0, 0
+    for i, node in enumerate(nodes):
+        if node[0] == "tag":
+            depth += 1 if node[1][0] == "<" else -1
+        if depth < 0:
+            break
+        if not depth:
+            yield nodes[begin : i + 1]
+            begin = i + 1
+    if begin < len(nodes):
+        yield nodes[begin:]
+
+
+def _kind(body: tuple) -> tuple:
+    """Bodies that can be one: elements with the same tag, texts at the same place; repeated or single."""
+    inner = body[0][1] if len(body) == 1 and body[0][0] == "plus" else body
+    return sign(inner[0]) if inner[0][0] in ("tag", "text") else tuple(map(sign, inner))
+
+
+def _united(a: tuple, b: tuple, pages: bool) -> tuple:
+    """Two bodies of one kind: repeated if either is."""
+    plus = any(len(x) == 1 and x[0][0] == "plus" for x in (a, b))
+    both = align(*(x[0][1] if len(x) == 1 and x[0][0] == "plus" else x for x in (a, b)), pages)
+    return (("plus", both),) if plus else both
+
+
+def gathered(options: list[tuple[tuple, bool]], pages: bool) -> list:
+    """Optional nodes of one gap from (body, of the page) pairs: one for each kind of element."""
+    sides: tuple[dict, dict] = {}, {}
+    for body, of_page in options:
+        for element in elements(body):
+            side, kind = sides[of_page], _kind(element)
+            side[kind] = _united(side[kind], element, False) if kind in side else element
+    ours, theirs = sides
+    for kind, element in theirs.items():
+        ours[kind] = _united(ours[kind], element, pages) if kind in ours else element
+    return [("opt", body) for body in ours.values()]
+
+
+def _flat(wrapper: tuple) -> list[tuple[tuple, int | None]]:
+    """(node, the optional group it stands in) of a wrapper."""
+    nodes: list = []
     for i, node in enumerate(wrapper):
-        ours += [(n, i) for n in node[1]] if node[0] == "opt" else [(node, None)]
-    sizes = Counter(group for _, group in ours)
-    found: list = []
-    matcher = SequenceMatcher(None, [sign(n) for n, _ in ours], [sign(n) for n in page], autojunk=False)
+        nodes += [(n, i) for n in node[1]] if node[0] == "opt" else [(node, None)]
+    return nodes
+
+
+def align(wrapper: tuple, page: tuple, pages: bool = True) -> tuple:
+    """The wrapper generalised so that it also accepts the page, or all that another wrapper accepts.
+
+    pages: whether the two are of different pages, or rounds of one page.
+    """
+    if matches(wrapper, page):
+        return merge(wrapper, page, pages)
+    ours, theirs = _flat(wrapper), _flat(page)
+    found: list = []  # (node, the optional group it stands in or None, whether of the page alone)
+    matcher = SequenceMatcher(None, [sign(n) for n, _ in ours], [sign(n) for n, _ in theirs], autojunk=False)
     for kind, a, b, c, d in matcher.get_opcodes():
         if kind == "equal":
-            found += [(merge((x,), (y,))[0], group) for (x, group), y in zip(ours[a:b], page[c:d])]
+            for (x, mine), (y, other) in zip(ours[a:b], theirs[c:d]):
+                group = ("ours", mine) if mine is not None else ("theirs", other) if other is not None else None
+                found.append((merge((x,), (y,), pages)[0], group, False))
             continue
-        left, more = ours[a:b], tuple(page[c:d])
-        # what the page lacks is optional; a group that it lacks as a whole is so already
-        absent = Counter(group for _, group in left)
-        left = [(n, g if g is not None and absent[g] == sizes[g] else ("absent", a)) for n, g in left]
+        left, more = ours[a:b], tuple(n for n, _ in theirs[c:d])
         # repeated on one side and single on the other: the group stays repeated
         at = next((i for i, (n, _) in enumerate(left) if n[0] == "plus" and matches(n[1], more)), None)
-        if at is not None:
-            left[at] = (("plus", merge(left[at][0][1], more)), ours[a + at][1])
-            found += left
-            continue
         single = tuple(n for n, _ in left)
         again = next((n for n in more if n[0] == "plus" and single and matches(n[1], single)), None)
+        if at is not None:
+            joined = ("plus", merge(left[at][0][1], more, pages))
+            left = [(joined if i == at else n, g) for i, (n, g) in enumerate(left)]
+            found += [(n, ("ours", g) if g is not None else None if i == at else ("absent", a), False) for i, (n, g) in enumerate(left)]
+            continue
         if again is not None:
-            found.append((("plus", merge(again[1], single)), ours[a][1]))
+            found.append((("plus", merge(again[1], single, pages)), ("ours", left[0][1]) if left[0][1] is not None else None, False))
+            more, left = tuple(n for n in more if n is not again), []
+        found += [(n, ("ours", g) if g is not None else ("absent", a), False) for n, g in left]
+        found += [(n, ("more", c), True) for n in more]
+    result: list = []
+    for inside, nodes in groupby(found, key=lambda x: x[1] is not None):
+        if not inside:
+            result += [n for n, _, _ in nodes]
             continue
-        found += left + [(n, ("more", c)) for n in more]
-    joined: list = []
-    for group, nodes in groupby(found, key=lambda x: x[1]):
-        body = tuple(n for n, _ in nodes)
-        joined += body if group is None else [("opt", body)]
-    return tuple(joined)
-
-
-def infer(pages: list[str]) -> tuple:
-    """The wrapper of some pages of one template."""
-    streams = [stream(p) for p in pages]
-    wrapper = streams[0] if streams else ()
-    for other in streams[1:]:
-        wrapper = align(wrapper, other)
+        options = [(tuple(n for n, _, _ in body), key[1]) for key, body in groupby(nodes, key=lambda x: (x[1], x[2]))]
+        result += gathered(options, pages)
+    return tuple(result)
+
+
+def infer(streams: Iterable[tuple]) -> tuple:
+    """The wrapper of the streams, or wrappers, of one template."""
+    wrapper: tuple = ()
+    for i, other in enumerate(streams):
+        wrapper = align(wrapper, other) if i else other
     return wrapper
 
 
-def texts_of(wrapper: tuple, optional: bool = False) -> Iterator[tuple[tuple, str | None, bool]]:
-    """(path, constant, optional) of every text of a wrapper."""
+def texts_of(wrapper: tuple) -> Iterator[tuple[str, tuple, int, int]]:
+    """(address, constants, whether it varies, pages) of every text of a wrapper."""
     for node in wrapper:
         if node[0] == "text":
-            yield node[1], node[2], optional
+            yield node[1:]
         elif node[0] in ("plus", "opt"):
-            yield from texts_of(node[1], optional or node[0] == "opt")
+            yield from texts_of(node[1])
 
 
 def in_article(path: tuple) -> bool:
@@ -323,86 +409,52 @@ def template_of(events: list) -> str:
     return format(hashed("\n".join(sorted({address(v) for v in tops}))) & (1 << 64) - 1, "016x")
 
 
-def evidence(page: str) -> tuple[str, list[tuple[str, int | None, bool]]]:
-    """A page's template and its part of the wrapper: distinct (address, value, in the article).
-
-    An address occurs once with the value null. Outside articles each text is a
-    value; in an article all texts of a path are one, so that a path is constant
-    there only if nothing of it varies. Paths that are dropped anyhow are left out,
-    but not those that only ambiguous words drop.
-    """
-    events = list(blocks(page))
-    texts: dict[tuple, list[str]] = {}
-    for kind, value in events:
-        if kind == "text" and not dropped(value[0], ("!",)):
-            texts.setdefault(value[0], []).append(value[1])
-    found: dict[tuple, None] = {}
-    for path, values in texts.items():
-        inside = in_article(path)
-        found[address(path), None, inside] = None
-        for value in ["\n".join(values)] if inside else values:
-            found[address(path), hashed(value), inside] = None
-    return template_of(events), list(found)
-
-
-def constant(n, m):
-    """Whether a value that m of an address's n distinct pages have is the template's; on numbers and on columns."""
-    return (n >= LEAST_PAGES) & (10 * m >= 9 * n)
-
-
-def rules_json(entries: list[tuple[str, str, int, bool, list[int]]]) -> dict:
-    """The rules of a host by template from (template, address, pages, in the article, constant values)."""
-    found: dict[str, dict] = {}
-    varies = {t for t, name, _, inside, values in entries if inside and not values}
-    for template, name, _, inside, values in sorted(entries):
-        rules = found.setdefault(template, {"fixed": {}, "slots": []})
-        # an article without any slot is a copy, not a template's text
-        if values and (not inside or template in varies):
-            rules["fixed"][name] = sorted(values)
-        if not values and not inside:
-            rules["slots"].append(name)
-    return {t: r for t, r in found.items() if r["fixed"] or r["slots"]}
-
-
-def rules_of(pages: list[str]) -> dict:
-    """The rules of some pages of one host, as `wrappers` finds them for all of its pages."""
-    counts = Counter((t, *e) for t, some in map(evidence, sorted(set(pages))) for e in some)
-    entries = []
-    for (template, name, value, inside), n in counts.items():
-        if value is None and n >= LEAST_PAGES:
-            values = [v for (t, a, v, i), m in counts.items() if v is not None and (t, a, i) == (template, name, inside) and constant(n, m)]
-            entries.append((template, name, n, inside, values))
-    return rules_json(entries)
+def rules_of(wrapper: tuple) -> dict:
+    """What a template's wrapper decides: constant texts by address, and addresses outside articles with slots."""
+    constants: dict[str, set[int]] = {}
+    varied, slots = set(), set()
+    for name, common, varies, pages in texts_of(wrapper):
+        if varies:
+            varied.add(name)
+        if pages >= LEAST_PAGES:
+            if varies:
+                slots.add(name)
+            if common:
+                constants.setdefault(name, set()).update(common)
+    inside = {name for name in (*constants, *slots) if in_article(tuple(name.split("/")))}
+    # an article without any slot is a copy, not a template's text
+    varies = bool(slots & inside)
+    fixed = {name: sorted(values) for name, values in constants.items() if name not in inside or varies and name not in varied}
+    return {"fixed": fixed, "slots": sorted(slots - inside)}
 
 
 class Rules:
-    """The rules of a host, ready to read its pages; of an unknown host, none."""
+    """The rules of a template, ready to read its pages; of an unknown template, none."""
 
     def __init__(self, rules: dict):
-        self.templates = {t: ({a: frozenset(v) for a, v in r["fixed"].items()}, frozenset(r["slots"])) for t, r in rules.items()}
+        self.fixed = {name: frozenset(values) for name, values in rules.get("fixed", {}).items()}
+        self.slots = frozenset(rules.get("slots", ()))
 
     def kept(self, events: list) -> list[tuple[tuple, str]]:
         """The texts that stay: what the wrapper says, and where it has nothing, what the marks say."""
-        texts: dict[tuple, list[str]] = {}
-        for kind, value in events:
-            if kind == "text":
-                texts.setdefault(value[0], []).append(value[1])
-        fixed, slots = self.templates.get(template_of(events), ({}, frozenset())) if self.templates else ({}, frozenset())
-        stays, left_out = {}, {}
-        for path, values in texts.items():
+        found = []
+        for path, text in (v for k, v in events if k == "text"):
             name = address(path)
-            stays[path] = not dropped(path, ("!",)) and (name in slots or not dropped(path))
-            constants = fixed.get(name, ())
-            if constants and in_article(path):
-                stays[path] = stays[path] and hashed("\n".join(values)) not in constants
-            elif constants:
-                left_out[path] = {v for v in values if hashed(v) in constants}
-        return [v for k, v in events if k == "text" and stays[v[0]] and v[1] not in left_out.get(v[0], ())]
+            if dropped(path, ("!",)) or dropped(path) and name not in self.slots:
+                continue
+            if name in self.fixed and hashed(text) in self.fixed[name]:
+                continue
+            found.append((path, text))
+        return found
 
 
 def main_text(page: str, rules: Rules) -> str:
     """The text of the article, blocks joined by one space."""
-    events = list(blocks(page))
+    return text_of(list(blocks(page)), rules)
+
+
+def text_of(events: list, rules: Rules) -> str:
+    """`main_text` of a page's stream."""
     kept = rules.kept(events)
     inside = [text for path, text in kept if in_article(path)]
     if inside or any(k == "start" and in_article(v) and not dropped(v) for k, v in events):
@@ -422,56 +474,90 @@ def _host(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-_EVIDENCE = "host string, page binary, template string, addresses array<string>, values array<bigint>, inside array<boolean>"
+_STREAM = "host string, template string, page binary, wrapper binary"
+
+
+def _tuples(value):
+    return tuple(map(_tuples, value)) if isinstance(value, list) else value
 
 
-def _evidence_rows(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dumped(value) -> str:
+    return json.dumps(value, separators=(",", ":"))
+
+
+def _streams(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stream and the template of every page."""
     for batch in arrow:
         for part in batches(batch, "html"):
-            htmls = part.column("html").to_pylist()
-            found = [evidence(h) for h in htmls]
-            columns = [part.column("host")]
-            columns.append(pa.array([hashlib.blake2b(h.encode("utf-8", "replace"), digest_size=16).digest() for h in htmls], pa.binary()))
-            columns.append(pa.array([t for t, _ in found], pa.string()))
-            for i, kind in enumerate((pa.string(), pa.int64(), pa.bool_())):
-                columns.append(pa.array([[e[i] for e in some] for _, some in found], pa.list_(kind)))
-            yield pa.RecordBatch.from_arrays(columns, ["host", "page", "template", "addresses", "values", "inside"])
+            pages = [list(blocks(h)) for h in part.column("html").to_pylist()]
+            columns = [part.column("host"), pa.array(map(template_of, pages), pa.string()), part.column("page")]
+            columns.append(pa.array([_dumped(stream(events)).encode() for events in pages], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["host", "template", "page", "wrapper"])
     release()
 
 
+def _inferred(group: pa.Table) -> pa.Table:
+    """One wrapper of a group of at most some GROUP of them, in the order of their names."""
+    group = group.sort_by("page")
+    wrappers = (_tuples(json.loads(data.as_py())) for data in group.column("wrapper"))
+    wrapper = _dumped(infer(wrappers)).encode()
+    return pa.table({
+        "host": group.column("host")[:1], "template": group.column("template")[:1], "page": group.column("page")[:1],
+        "wrapper": pa.array([wrapper], pa.binary()),
+    })
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, rules) of every host that shows something, from all of its distinct pages."""
-    parsed = small_batches(pages).where("html is not null").select(_host().alias("host"), "html").mapInArrow(_evidence_rows, _EVIDENCE)
-    # copies of a page count once; what follows is counts, summed on the map side before it moves
-    single = parsed.groupBy("host", "page").agg(*[F.first(c).alias(c) for c in ("template", "addresses", "values", "inside")])
-    each = single.select("host", "template", F.explode(F.arrays_zip("addresses", "values", "inside")).alias("e"))
-    each = each.select("host", "template", F.col("e.addresses").alias("name"), F.col("e.inside").alias("inside"), F.col("e.values").alias("value"))
-    key = ["host", "template", "name", "inside"]
-    counts = each.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= LEAST_PAGES)
-    counts = stored(counts, "wrapper-counts")
-    present = counts.where("value is null").select(*key, F.col("m").alias("n"))
-    common = counts.where("value is not null").join(present, key).where(constant(F.col("n"), F.col("m")))
-    common = common.groupBy(*key).agg(F.collect_list("value").alias("values"))
-    entries = present.join(common, key, "left").select(*key, "n", F.coalesce("values", F.array().cast("array<bigint>")).alias("values"))
-
-    def read(group: pd.DataFrame) -> pd.DataFrame:
-        rows = zip(group["template"], group["name"], group["n"], group["inside"], group["values"])
-        found = rules_json([(t, a, int(n), bool(i), [int(v) for v in values]) for t, a, n, i, values in rows])
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "rules": [json.dumps(found)]})
-
-    return entries.groupBy("host").applyInPandas(read, "host string, rules string")
+    """(host, template, wrapper) from all distinct pages of each template.
+
+    Each level deals the wrappers of a template into groups of about GROUP by their
+    names' hashes and leaves one of each; their number falls to one in a few levels.
+    """
+    known = small_batches(pages).where("html is not null")
+    known = known.select(_host().alias("host"), F.unhex(F.md5("html")).alias("page"), "html").mapInArrow(_streams, _STREAM)
+    found = stored(known.dropDuplicates(["host", "page"]), "wrapper-streams")  # copies of a page are aligned once
+    key = ["host", "template"]
+    while True:
+        sizes = found.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        most = sizes.agg(F.max("_n")).first()[0] or 0
+        if most <= 1:
+            return found.select(*key, "wrapper")
+        groups = F.ceil(F.col("_n") / GROUP)
+        dealt = found.join(sizes, key).withColumn("_group", F.pmod(F.xxhash64("page"), groups))
+        found = stored(dealt.select(*found.columns, "_group").groupBy(*key, "_group").applyInArrow(_inferred, _STREAM), "wrappers")
+
+
+@lru_cache(maxsize=256)
+def _parsed(rules: str | None) -> Rules:
+    return Rules(json.loads(rules) if rules else {})
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    pages = pages.select("page_id", "url", "html")
-    known = stored(wrappers(pages), "wrappers")
+    pages = small_batches(pages.select("page_id", "url", "html"))
 
     @F.pandas_udf("string")
-    def text(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for html, rules in columns:
-            yield pd.Series([main_text(h, _parsed(r)) if isinstance(h, str) else "" for h, r in zip(html, rules)], dtype=object)
+    def ruled(column: pd.Series) -> pd.Series:
+        return column.map(lambda w: _dumped(rules_of(_tuples(json.loads(w)))))
 
-    found = pages.withColumn("host", _host()).join(known, "host", "left")
-    found = found.select("page_id", "url", text("html", "rules").alias("text"))
+    @F.pandas_udf("template string, text string")
+    def read(column: pd.Series) -> pd.DataFrame:
+        """The template, and the text as it is where the wrapper has nothing to say."""
+        pages = [list(blocks(h)) if isinstance(h, str) else [] for h in column]
+        return pd.DataFrame({"template": map(template_of, pages), "text": [text_of(p, Rules({})) for p in pages]}, dtype=object)
+
+    @F.pandas_udf("string")
+    def ruled_text(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for html, rules in columns:
+            yield pd.Series([main_text(h, _parsed(r)) if isinstance(h, str) else None for h, r in zip(html, rules)], dtype=object)
+        _parsed.cache_clear()
+        release()
+
+    known = wrappers(pages).select("host", "template", ruled("wrapper").alias("rules"))
+    known = stored(known.where(F.col("rules") != '{"fixed":{},"slots":[]}'), "wrapper-rules")
+    found = pages.withColumn("host", _host()).withColumn("read", read("html"))
+    found = found.select("page_id", "url", "html", "host", "read.template", F.col("read.text").alias("plain"))
+    found = found.join(known, ["host", "template"], "left")
+    html = F.when(F.col("rules").isNotNull(), F.col("html"))  # pages of other templates are not read again
+    found = found.select("page_id", "url", F.coalesce(ruled_text(html, "rules"), "plain").alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))

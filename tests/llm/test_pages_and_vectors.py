@@ -52,24 +52,59 @@ def test_text_of_odd_pages(spark, odd_pages):
     assert wrapper_extract.extract(empty(spark, odd_pages)).count() == 0
 
 
+def streams(pages):
+    return [wrapper_extract.stream(list(wrapper_extract.blocks(p))) for p in sorted(set(pages))]
+
+
+def rules(pages):
+    """The rules of the pages of one template."""
+    return Rules(wrapper_extract.rules_of(wrapper_extract.infer(streams(pages))))
+
+
 def test_wrapper_inference():
     first = "<div><h2>news</h2><p>a</p><p>b</p><ul><li>1</li></ul></div>"
     second = "<div><h2>news</h2><p>c</p><ul><li>2</li><li>3</li></ul><h3>more</h3></div>"
-    wrapper = wrapper_extract.infer([first, second])
-    assert ("text", ("div", "h2"), "news") in wrapper  # a constant of the template
-    plus = [n[1] for n in wrapper if n[0] == "plus"]
-    slot = lambda *p: ("text", p, None)
-    assert any(slot("div", "p") in body for body in plus)
-    assert any(slot("div", "ul", "li") in body for body in plus)
-    assert any(n[0] == "opt" and any(m[0] == "text" and m[1][-1] == "h3" for m in n[1]) for n in wrapper)
-    # aligning a page that the wrapper accepts changes nothing
-    assert wrapper_extract.align(wrapper, wrapper_extract.stream(second)) == wrapper
+    wrapper = wrapper_extract.infer(streams([first, second]))
+    h2 = ("text", "div/h2", (wrapper_extract.hashed("news"),), 0, 2)
+    assert h2 in wrapper  # a constant of the template, on two pages
+    found = {name: (common, varies, pages) for name, common, varies, pages in wrapper_extract.texts_of(wrapper)}
+    assert found["div/p"] == ((), 1, 2) and found["div/ul/li"] == ((), 1, 2)
+    kinds = {sign: node[0] for node in wrapper for sign in str(node[1]).split("'") if node[0] in ("plus", "opt")}
+    assert kinds["<p"] == "plus" and kinds["<li"] == "plus" and kinds["<h3"] == "opt"
+    # aligning a page that the wrapper accepts changes nothing but the counts
+    again = wrapper_extract.align(wrapper, streams([second])[0])
+    assert wrapper_extract.matches(again, wrapper)
+    # nor does the order of pages change what is found
+    texts = lambda w: sorted(wrapper_extract.texts_of(w))
+    assert texts(wrapper_extract.infer(streams([first, second])[::-1])) == texts(wrapper)
+
+
+def test_wrappers_grow_with_kinds_of_elements_only():
+    rng = random.Random(5)
+    names = ["p", "h2", "ul", "blockquote", "pre"]
+    pages = []
+    for i in range(150):
+        body = "".join(f"<{n}>{rng.random()}<b>x</b></{n}>" for n in rng.choices(names, k=rng.randint(3, 60)))
+        pages.append(f"<article><h1>{i}</h1><div class=lead><p>Read on</p></div>{body}</article>")
+    wrapper = wrapper_extract.infer(streams(pages))
+    assert len(wrapper) < 40 and sum(1 for _ in wrapper_extract.texts_of(wrapper)) < 40
+    assert "Read on" not in main_text(pages[0], rules(pages)) and "Read on" in main_text(pages[0], Rules({}))
+    parts = [wrapper_extract.infer(streams(pages)[i : i + 40]) for i in range(0, 150, 40)]  # merged level by level
+    merged = wrapper_extract.infer(parts)
+    assert wrapper_extract.rules_of(merged) == wrapper_extract.rules_of(wrapper)
+
+
+def test_alignment_decides(monkeypatch):
+    """Without aligning, the wrapper of the first page alone calls nothing constant."""
+    pages = [f"<article><h1>t{i}</h1><p>a{i}</p><div class=x><p>Our offer</p></div></article>" for i in range(5)]
+    assert main_text(pages[0], rules(pages)) == "t0 a0"
+    monkeypatch.setattr(wrapper_extract, "align", lambda wrapper, page, pages=True: wrapper)
+    assert main_text(pages[0], rules(pages)) == "t0 a0 Our offer"
 
 
 def test_template_text_outside_articles_is_dropped():
     pages = [f"<div><p>Welcome to us</p><div><p>story {i}</p></div></div>" for i in range(4)]
-    rules = wrapper_extract.Rules(wrapper_extract.rules_of(pages))
-    assert wrapper_extract.main_text(pages[0], rules) == "story 0"
+    assert main_text(pages[0], rules(pages)) == "story 0"
 
 
 def test_marks_of_regions():
@@ -106,10 +141,10 @@ def test_wrappers_decide(spark):
     want |= {i: f"soup {i} b{i}" for i in range(20, 30)} | {i: want[0] for i in range(40, 45)} | {i: "one text" for i in range(50, 54)}
     found = {r["page_id"]: r["text"] for r in wrapper_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert found == want
-    for host in ("d.org", "e.org"):
-        some = [p for p in pages if host in p[1]]
-        rules = wrapper_extract.Rules(wrapper_extract.rules_of([p[2] for p in some]))
-        assert all(wrapper_extract.main_text(p[2], rules) == want[p[0]] for p in some)
+    many = pages[:12] * 1 + [(i, f"http://d.org/{i}", body.replace("{more}", "").replace("{i}", str(i))) for i in range(100, 300)]
+    frame = spark.createDataFrame(many, "page_id long, url string, html string")
+    assert wrapper_extract.wrappers(frame).count() == 1  # in two levels
+    assert {r["text"] for r in wrapper_extract.extract(frame.where("page_id >= 100")).collect()} == {f"t{i} same p{i}" for i in range(100, 300)}
     alone = wrapper_extract.Rules({})
     assert sum(wrapper_extract.main_text(p[2], alone) != want[p[0]] for p in pages) >= 27
 
