@@ -442,8 +442,75 @@ SELECT filename,
            || chr(10) || string_agg(line, chr(10) ORDER BY onset) || chr(10)) AS md5
 FROM ln GROUP BY filename, rec"""
 
-SEGMENT_AUDIT = f"""{SEGMENTS},
-{_summary_ctes("SELECT subject, run AS rec, label FROM segs")},{GLOBAL_CTE}"""
+SEGMENT_SUMMARY = f"""{SEGMENTS.removeprefix('WITH ')},
+{_summary_ctes("SELECT subject, run AS rec, label FROM segs")}"""
+GLOBAL_NAMES = (
+    "total_segments total_positive total_negative global_positive_ratio total_subjects subjects_with_positive "
+    "subjects_without_positive subject_positive_ratio"
+).split()
+SHARE_NAMES = [f"top_{k}_{what}_share" for k in (1, 3, 5) for what in ("positive", "segment")]
+STATISTICS = "min p25 median mean p75 max std".split()
+FLAG_NAMES = (
+    "few_total_subjects very_few_total_subjects few_positive_subjects very_few_positive_subjects "
+    "many_subjects_without_positive positives_highly_concentrated_top1 positives_highly_concentrated_top3 "
+    "segments_highly_concentrated_top1 segments_highly_concentrated_top3 has_many_very_small_subjects "
+    "has_zero_positive_subjects recommended_strategy"
+).split()
+SEGMENT_COLUMNS = (
+    "subject session run path recording_duration_sec start_sec end_sec window_size_sec stride_sec overlap_ratio label"
+).split()
+SUMMARY_NAMES = (
+    "subject n_segments n_positive n_negative positive_ratio n_recordings has_positive positive_share_overall segment_share_overall"
+).split()
+
+
+def _long(source: str, names: list[str], block: str, kind: str) -> str:
+    """(block, name, v) rows of the named columns."""
+    return " UNION ALL ".join(f"SELECT {block} AS block, '{c}' AS name, CAST({c} AS {kind}) AS v FROM {source}" for c in names)
+
+
+_REPORT = f"""WITH g_ AS (WITH {SEGMENT_SUMMARY},{GLOBAL_CTE},{CONCENTRATION_CTE} SELECT * FROM gl, conc),
+s_ AS ({_distribution(SEGMENT_SUMMARY)}),
+f_ AS ({_flags(SEGMENT_SUMMARY)}),
+sum_ AS (WITH {SEGMENT_SUMMARY} SELECT * FROM summ),
+num AS ({_long("g_", GLOBAL_NAMES, "'global_summary'", "DOUBLE")} UNION ALL {_long("g_", SHARE_NAMES, "'concentration'", "DOUBLE")}
+  UNION ALL {_long("s_", STATISTICS, "block", "DOUBLE")}),
+txt AS ({_long("f_", FLAG_NAMES, "'risk_flags'", "VARCHAR")}
+  UNION ALL SELECT 'metadata', 'columns', '{','.join(SEGMENT_COLUMNS)}'
+  UNION ALL SELECT 'metadata', 'recording_column_used', 'run'
+  UNION ALL SELECT 'metadata', 'n_rows_dataset', CAST(CAST(total_segments AS BIGINT) AS VARCHAR) FROM g_)"""
+
+JSON_REPORT = f"""{_REPORT}
+SELECT block, name, NULL::VARCHAR AS text, round(v, 6) AS value FROM num
+UNION ALL SELECT block, name, v, NULL FROM txt"""
+
+
+def _table_cells(section: int, order: str, limit: int, where: str = "true") -> str:
+    """(section, block, row, name, cell) of a preview table."""
+    ranked = f"(SELECT *, row_number() OVER (ORDER BY {order}) AS row FROM sum_ WHERE {where} QUALIFY row <= {limit})"
+    cell = lambda c: (
+        f"CAST(round({c}, 4) AS VARCHAR)" if c.endswith(("ratio", "overall"))
+        else f"CASE WHEN {c} THEN 'True' ELSE 'False' END" if c == "has_positive" else f"CAST({c} AS VARCHAR)"
+    )
+    return " UNION ALL ".join(f"SELECT {section}, NULL, CAST(row AS INT), '{c}', {cell(c)} FROM {ranked}" for c in SUMMARY_NAMES)
+
+
+_BY_POSITIVE = "n_positive DESC, n_segments DESC, subject"
+MARKDOWN_REPORT = f"""{_REPORT},
+md(section, block, row, name, cell) AS (
+  SELECT 1, NULL, 0, 'Number of rows', v FROM txt WHERE name = 'n_rows_dataset'
+  UNION ALL SELECT 1, NULL, 0, 'Columns', replace(v, ',', ', ') FROM txt WHERE name = 'columns'
+  UNION ALL SELECT 1, NULL, 0, 'Recording column used', v FROM txt WHERE name = 'recording_column_used'
+  UNION ALL SELECT 2, NULL, 0, name, CAST(v AS VARCHAR) FROM num WHERE block = 'global_summary'
+  UNION ALL SELECT 3, block, 0, name, CAST(round(v, 6) AS VARCHAR) FROM num WHERE block LIKE '%_per_subject'
+  UNION ALL SELECT 4, NULL, 0, name, CAST(round(v, 6) AS VARCHAR) FROM num WHERE block = 'concentration'
+  UNION ALL SELECT 5, NULL, 0, name, CASE v WHEN 'true' THEN 'True' WHEN 'false' THEN 'False' ELSE v END FROM txt WHERE block = 'risk_flags'
+  UNION ALL {_table_cells(6, _BY_POSITIVE, 10)}
+  UNION ALL {_table_cells(7, "n_segments DESC, n_positive DESC, subject", 10)}
+  UNION ALL {_table_cells(8, "n_segments DESC, subject", 10, "n_positive = 0")}
+  UNION ALL {_table_cells(9, _BY_POSITIVE, 20)})
+SELECT section, block, row, name, CASE WHEN TRY_CAST(cell AS DOUBLE) IS NULL THEN cell END AS text,
+       round(TRY_CAST(cell AS DOUBLE), 6) AS value FROM md"""
 
 NULLABLE = (
     "subject", "session", "run", "path", "recording_duration_sec", "start_sec", "end_sec",
@@ -591,25 +658,8 @@ SELECT * EXCLUDE (rec) FROM fseg""",
 SELECT * REPLACE (CASE WHEN has_positive THEN 'True' ELSE 'False' END AS has_positive),
        row_number() OVER (ORDER BY n_positive DESC, n_segments DESC, subject) - 1 AS place
 FROM csv""",
-    "sink_json": f"""{SEGMENT_AUDIT},{CONCENTRATION_CTE}
-SELECT gl.* REPLACE (round(global_positive_ratio, 6) AS global_positive_ratio,
-                     round(subject_positive_ratio, 6) AS subject_positive_ratio),
-       round(top_1_positive_share, 6) AS top_1_positive_share,
-       round(top_3_positive_share, 6) AS top_3_positive_share,
-       round(top_5_positive_share, 6) AS top_5_positive_share,
-       round(top_1_segment_share, 6) AS top_1_segment_share,
-       round(top_3_segment_share, 6) AS top_3_segment_share,
-       round(top_5_segment_share, 6) AS top_5_segment_share,
-       round((SELECT quantile_cont(CAST(n_segments AS DOUBLE), 0.5) FROM summ), 6)
-         AS median_segments,
-       total_subjects < 15 AS few_total_subjects, 'run' AS recording_column
-FROM gl, conc""",
-    "sink_markdown": f"""{SEGMENT_AUDIT}
-SELECT unnest(['total_segments', 'total_positive', 'total_negative', 'total_subjects',
-               'subjects_with_positive', 'subjects_without_positive']) AS name,
-       unnest([total_segments, total_positive, total_negative, total_subjects,
-               subjects_with_positive, subjects_without_positive]) AS n
-FROM gl""",
+    "sink_json": JSON_REPORT,
+    "sink_markdown": MARKDOWN_REPORT,
     "src_checksums": CHECKSUMS,
     "src_edf_stretch": f"""WITH {FILES_CTE}
 SELECT name || '_eeg.edf' AS filename, c AS channel, CAST(sec AS DOUBLE) AS start_sec,

@@ -7,6 +7,7 @@ same way. ``spark_queries`` and ``oracles.duckdb_sql`` share their keys.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -578,27 +579,52 @@ def _inspected(spark: SparkSession, sf: str) -> str:
 
 
 def json_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The JSON summary, read back."""
-    report = spark.read.option("multiLine", True).json(
-        f"{_inspected(spark, sf)}/inspection_summary.json"
+    """The JSON summary, read back value by value; only the input's path, which differs, is left out."""
+    numbers = "map<string,double>"
+    schema = (
+        "metadata struct<n_rows_dataset: bigint, columns: array<string>, recording_column_used: string>, "
+        f"global_summary {numbers}, distribution_stats map<string,{numbers}>, concentration {numbers}, "
+        "risk_flags map<string,string>"
     )
-    flat = report.select(
-        "global_summary.*",
-        "concentration.*",
-        F.col("distribution_stats.n_segments_per_subject.median").alias("median_segments"),
-        "risk_flags.few_total_subjects",
-        F.col("metadata.recording_column_used").alias("recording_column"),
-    )
-    return rounded(flat)
-
-
-def markdown_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """The counts of the Markdown report, read back line by line."""
-    lines = spark.read.text(f"{_inspected(spark, sf)}/inspection_report.md")
-    pattern = r"^- \*\*((?:total|subjects)_[a-z_]+)\*\*: ([0-9]+)$"
-    return lines.where(F.col("value").rlike(pattern)).select(
-        F.regexp_extract("value", pattern, 1).alias("name"),
-        F.regexp_extract("value", pattern, 2).cast("bigint").alias("n"),
+    text = spark.read.text(f"{_inspected(spark, sf)}/inspection_summary.json", wholetext=True)
+    report = text.select(F.from_json("value", schema).alias("j")).select("j.*")
+    none = F.lit(None).cast("string").alias("text")
+    parts = [report.select(F.lit(b).alias("block"), F.explode(b).alias("name", "value")) for b in ("global_summary", "concentration")]
+    stats = report.select(F.explode("distribution_stats").alias("block", "stats"))
+    parts.append(stats.select("block", F.explode("stats").alias("name", "value")))
+    values = reduce(DataFrame.unionByName, parts).select("block", "name", none, r("value").alias("value"))
+    meta = F.create_map(
+        F.lit("columns"), F.array_join("metadata.columns", ","), F.lit("recording_column_used"), F.col("metadata.recording_column_used"),
+        F.lit("n_rows_dataset"), F.col("metadata.n_rows_dataset").cast("string"),
+    )
+    texts = report.select(F.lit("risk_flags").alias("block"), F.explode("risk_flags").alias("name", "text"))
+    texts = texts.unionByName(report.select(F.lit("metadata").alias("block"), F.explode(meta).alias("name", "text")))
+    return values.unionByName(texts.withColumn("value", F.lit(None).cast("double")))
+
+
+def markdown_report(spark: SparkSession, sf: str) -> DataFrame:
+    """All sections of the Markdown report, read back: every bullet and every table cell but the input's path."""
+    text = spark.read.text(f"{_inspected(spark, sf)}/inspection_report.md", wholetext=True)
+    lines = text.select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    order = Window.orderBy("at")  # one report, of bounded length
+    title = F.when(F.col("line").rlike("^## "), F.regexp_extract("line", r"^## (\d+)\.", 1).cast("int"))
+    lines = lines.withColumn("section", F.last(title, True).over(order))
+    within = Window.partitionBy("section").orderBy("at")
+    block = F.last(F.when(F.col("line").rlike("^### "), F.substring("line", 5, 1000)), True).over(within)
+    lines = lines.withColumn("block", block)
+    bullet = r"^- (?:\*\*)?([A-Za-z0-9_ ]+?)(?:\*\*)?: (.*)$"
+    bullets = lines.where(F.col("line").rlike(bullet)).select(
+        "section", "block", F.lit(0).alias("row"),
+        F.regexp_extract("line", bullet, 1).alias("name"), F.regexp_extract("line", bullet, 2).alias("cell"),
+    )
+    cells = F.transform(F.split(F.expr("trim(BOTH '|' FROM line)"), "\\|"), lambda cell: F.trim(cell))
+    rows = lines.where("line LIKE '|%' AND line NOT LIKE '|:-%' AND line NOT LIKE '|--%'").withColumn("cells", cells)
+    rows = rows.withColumn("row", F.row_number().over(within) - 1).withColumn("names", F.first("cells").over(within))
+    rows = rows.where("row > 0").select("section", "block", "row", F.explode(F.arrays_zip("names", "cells")).alias("c"))
+    found = bullets.unionByName(rows.select("section", "block", "row", F.col("c.names").alias("name"), F.col("c.cells").alias("cell")))
+    number = F.expr("try_cast(cell AS DOUBLE)")
+    return found.where("name <> 'Dataset'").select(
+        "section", "block", "row", "name", F.when(number.isNull(), F.col("cell")).alias("text"), r(number).alias("value")
     )
 
 
@@ -730,7 +756,7 @@ SPARK_QUERIES: dict[str, Query] = {
     "sink_segments": stored_segments,
     "sink_csv": csv_summary,
     "sink_json": json_report,
-    "sink_markdown": markdown_counts,
+    "sink_markdown": markdown_report,
     "src_checksums": checksums,
     "validate_dataset": validated_labels,
     "src_edf_stretch": edf_stretch,
