@@ -278,6 +278,31 @@ def test_int8_bounds_hold():
     assert (np.abs(estimate - a @ b.T) <= ea[:, None] * lb + eb).all()
 
 
+def test_nearest_with_a_common_vector_and_ids_of_several_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    common, other = rng.standard_normal(16), rng.standard_normal(16)
+    found = [(i, (common if i % 3 else rng.standard_normal(16)).tolist()) for i in range(3000)]
+    found += [(50, other.tolist()), (50, (other * 2).tolist()), (100, other.tolist()), (100, (-other).tolist())]
+    vectors = spark.createDataFrame(found, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(block_neighbours, "ROW_BLOCK", 128)
+    known = block_neighbours.classes(block_neighbours.usable(vectors), 5)
+    held = known.where(F.size("ids") > 1).collect()
+    assert known.count() == 1004 and max(len(r["ids"]) for r in held) == 6
+    got = {}
+    for r in block_neighbours.search(vectors).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    plain = {q: some for q, some in got.items() if q not in (50, 100)}
+    data = {i: np.array(v) for i, v in found[:3000]}
+    for q, some in plain.items():
+        candidates = [(cosine(data[q], v), -i) for i, v in data.items() if i != q] + [(cosine(data[q], other), -50), (cosine(data[q], 2 * other), -50)]
+        candidates += [(cosine(data[q], other), -100), (cosine(data[q], -other), -100)]
+        want = sorted(candidates, reverse=True)[:5]
+        assert [s for _, _, s in sorted(some)] == pytest.approx([s for s, _ in want], abs=1e-12)
+        if q % 3:
+            assert [i for _, i, _ in sorted(some)] == [i for i in range(1, 9) if i % 3 and i != q][:5]
+    assert all(len(some) == 5 and all(i != q for _, i, _ in some) for q, some in got.items())
+
+
 @given
 def test_nearest_query(spark):
     check_nearest(queries.op9_nearest_neighbours(spark, SF_DIR).collect(), read(SF_DIR, "embeddings"))
