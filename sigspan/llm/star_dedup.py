@@ -13,7 +13,7 @@
   buckets hold the most members, as the origin of a group of edited copies does.
 * Most buckets then lie within one component. In the others every two members of
   different components are compared in place, in cells of two groups of `GROUP`
-  members. A cell emits no pairs but links that join components, fewer than it has
+  members, or of fewer where their sets take more than `CELL_BYTES`. A cell emits no pairs but links that join components, fewer than it has
   members; so no pair of a bucket is left out and none is a row.
 * A link is confirmed on the full sets: members' sets are sent to their hub, large
   stars in parts, and streamed past it; cells hold the full sets of their members.
@@ -48,6 +48,7 @@ BINS = BANDS * ROWS
 SIMILARITY = 85  #: per cent of the union that two linked sets share
 STAR = 128  #: members of a hub whose sets are compared in one run
 GROUP = 1024  #: members of a bucket on one side of a cell
+CELL_BYTES = 32 << 20  #: of their sets
 FILTER_BITS = 1 << 24  #: size of the bitmap of wanted documents (2 MB)
 
 _rng = np.random.Generator(np.random.PCG64(44))
@@ -255,10 +256,12 @@ def _cells(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compared(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b) links that join the components in each bucket; members: key, set_id, root."""
+    """(a, b) links that join the components in each bucket; members: key, set_id, n_shingles, root."""
     # buckets of the same members are one
-    same = members.groupBy("key").agg(F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n"))
-    once = same.groupBy("sum", "n").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / GROUP).cast("int").alias("groups"))
+    same = members.groupBy("key").agg(F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    once = same.groupBy("sum", "n").agg(F.min("key").alias("key"), F.max("shingles").alias("shingles"))
+    groups = F.ceil(F.greatest(F.col("n") / GROUP, 8 * F.col("shingles") / CELL_BYTES)).cast("int")
+    once = once.select("key", groups.alias("groups"))
     dealt = members.join(once, "key").withColumn("g", F.pmod(F.xxhash64("set_id"), F.col("groups")).cast("int"))
     dealt = dealt.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     side = F.signum(F.col("g") - F.col("h")).cast("int").alias("side")
@@ -275,7 +278,7 @@ def _rooted(members: DataFrame, found: DataFrame) -> DataFrame:
 
 def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(set_id, root) of every class that is linked with another, as the module says."""
-    buckets = classes.select("set_id", F.explode("bands").alias("key"))
+    buckets = classes.select("set_id", "n_shingles", F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(buckets.join(sizes, "key"), "near-members")
     weights = members.groupBy("set_id").agg(F.struct(F.sum("n").alias("weight"), "set_id").alias("who"))
@@ -300,7 +303,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kinds = schema_of(docs.select("doc_id"), n_shingles="long", set_id="binary", bands=T.ArrayType(T.LongType()))
     features = stored(docs.mapInArrow(_features, kinds), "near-features")
     classes = features.where("set_id is not null").groupBy("set_id")
-    classes = stored(classes.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
+    classes = stored(classes.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "near-classes")
     named = _rooted(classes.select("set_id", "rep"), class_roots(docs, classes))
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.select("set_id", "root").join(names, "root").select("set_id", "component_id")

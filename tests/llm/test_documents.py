@@ -165,9 +165,10 @@ def test_near_duplicates_of_a_chain(spark):
     assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == near_components(docs)
 
 
-def test_buckets_of_unlike_sets_end(spark, monkeypatch):
-    """One bucket for everything: what the stars leave open, cells find."""
-    monkeypatch.setattr(star_dedup, "GROUP", 5)
+@pytest.mark.parametrize("limit", [("GROUP", 5), ("CELL_BYTES", 2000)])
+def test_buckets_of_unlike_sets_end(spark, monkeypatch, limit):
+    """One bucket for everything: what the stars leave open, cells find; cells hold few members, or few bytes."""
+    monkeypatch.setattr(star_dedup, *limit)
     rng = np.random.default_rng(5)
     docs = []
     for i in range(24):
@@ -176,8 +177,8 @@ def test_buckets_of_unlike_sets_end(spark, monkeypatch):
         docs.append({"doc_id": i, "text": " ".join(words)})
     frame = spark.createDataFrame(pd.DataFrame(docs))
     features = frame.mapInArrow(star_dedup._features, "doc_id long, n_shingles long, set_id binary, bands array<bigint>")
-    classes = features.groupBy("set_id").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "rep")
-    classes = classes.selectExpr("set_id", "rep", "array(7L) as bands").cache()
+    classes = features.groupBy("set_id", "n_shingles").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "rep")
+    classes = classes.selectExpr("set_id", "rep", "n_shingles", "array(7L) as bands").cache()
     roots = star_dedup.class_roots(frame, classes)
     named = classes.join(roots, "set_id", "left").selectExpr("rep", "coalesce(root, set_id) as root")
     groups = defaultdict(set)
