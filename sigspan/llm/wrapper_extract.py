@@ -52,6 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspan.llm.common import batches, release, small_batches, stored
+from sigspan.session import shuffle_partitions
 
 LEAST_PAGES = 3  #: distinct pages that must have a text before the wrapper calls it constant
 GROUP = 64  #: pages, or wrappers, that are aligned in one step
@@ -524,7 +525,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
             return found.select(*key, "wrapper")
         groups = F.ceil(F.col("_n") / GROUP)
         dealt = found.join(sizes, key).withColumn("_group", F.pmod(F.xxhash64("page"), groups))
-        found = stored(dealt.select(*found.columns, "_group").groupBy(*key, "_group").applyInArrow(_inferred, _STREAM), "wrappers")
+        # dealt anew: the join may have left all groups of a template in one place
+        dealt = dealt.select(*found.columns, "_group").repartition(shuffle_partitions(pages.sparkSession), *key, "_group")
+        found = stored(dealt.groupBy(*key, "_group").applyInArrow(_inferred, _STREAM), "wrappers")
 
 
 @lru_cache(maxsize=256)
