@@ -7,10 +7,12 @@ columns of `documents`.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sigspan.llm import budget_mix, cross_parse, kneser_ney, pair_index, star_dedup
-from sigspan.llm.common import stored, table
+from sigspan.llm.common import release, stored, table
 from sigspan.llm.queries import vocabulary
 
 
@@ -55,4 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        gc.collect()  # plans and broadcasts of the stage; the driver keeps only the stored table
+        release()
     return docs
