@@ -57,6 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        gc.collect()  # plans and broadcasts of the stage; the driver keeps only the stored table
+        # The driver keeps only the stored table. Spark drops a stage's broadcasts and shuffle files when
+        # the driver's JVM collects their handles, which it would seldom do by itself.
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
         release()
     return docs
