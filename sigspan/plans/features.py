@@ -46,8 +46,8 @@ def _recording_features(
 ) -> np.ndarray:
     """Feature rows of segments that are ordered by start within one recording."""
     bounds = _sample_bounds(header, start, end)
-    n_channels = len(header.names)
-    out = np.empty((len(bounds), len(feature_names(header.names))))
+    n_channels = len(header.sampled)
+    out = np.empty((len(bounds), len(feature_names([header.names[c] for c in header.sampled]))))
     budget = max(1, READ_SAMPLES // n_channels)
     at = 0
     while at < len(bounds):
@@ -96,7 +96,7 @@ def _segment_features(names: list[str], relative: bool):
                     raise FeatureDatasetBuilderError(
                         f"{path} has {len(header.names)} channels, more than max_channels={len(names)}"
                     )
-                mine = names[: len(header.names)]
+                mine = [names[c] for c in header.sampled]
                 target = [columns.index(c) for c in feature_names(mine)]
                 with open_file(path) as source:
                     found = _recording_features(source, header, start[rows], end[rows], relative)
@@ -153,7 +153,8 @@ def segment_features(
 ) -> DataFrame:
     """Wide features of every segment, in output order.
 
-    Channels are numbered, so recordings with fewer channels leave nulls.
+    Channels are numbered, so recordings with fewer channels, or with channels that
+    have no samples, leave nulls.
     ``max_channels`` saves the header scan when the width is known.
     """
     require_columns(segments, SEGMENT_KEYS, FeatureDatasetBuilderError, "segments.parquet")

@@ -4,6 +4,11 @@ The file readers need files, and the driver supplies tables. So the vectors are
 stored as recordings: 40 vectors make one recording of 4 channels and up to 10
 seconds, and the label of a second's first channel decides its annotation. The
 folder grows with the table and is written by Spark tasks.
+
+A recording need not be whole: the last one ends where the table does, and ids may
+be missing. A channel without any vector is in the header and has no samples. A data
+record holds all channels that have some, so where a channel lacks a single second,
+or its vector is null, that second is silent; so are components that are no numbers.
 """
 
 from __future__ import annotations
@@ -25,8 +30,8 @@ NOTED = 1000  #: events in an annotation file with notes
 _written: dict[tuple[str, ...], str] = {}
 
 
-def _edf(signal: np.ndarray) -> bytes:
-    """One-second data records; physical range -1 to 1 V over all 16-bit steps."""
+def _edf(signal: np.ndarray, recorded: np.ndarray) -> bytes:
+    """One-second data records of the recorded channels; physical range -1 to 1 V over all 16-bit steps."""
     n, seconds = len(signal), signal.shape[1]
 
     def text(value: object, width: int) -> bytes:
@@ -38,20 +43,21 @@ def _edf(signal: np.ndarray) -> bytes:
     columns = [
         ([f"EEG {i}" for i in range(n)], 16), ([""] * n, 80), (["V"] * n, 8), ([-1] * n, 8),
         ([1] * n, 8), ([-32768] * n, 8), ([32767] * n, 8), ([""] * n, 80),
-        ([int(SFREQ)] * n, 8), ([""] * n, 32),
+        (np.where(recorded, int(SFREQ), 0), 8), ([""] * n, 32),
     ]
     head += b"".join(text(v, width) for column, width in columns for v in column)
+    signal = np.where(np.isnan(signal), 0.0, signal)[recorded]
     digital = np.clip(np.rint((signal + 1) * (STEPS / 2) - 32768), -32768, 32767)
     return head + np.swapaxes(digital, 0, 1).astype("<i2").tobytes()
 
 
-def _tsv(seizure: np.ndarray, reordered: bool) -> str:
-    """One annotation per second, in one of two column orders."""
-    kinds = ["sz_foc_a" if s else "bckg" for s in seizure]
+def _tsv(seconds: np.ndarray, seizure: np.ndarray, reordered: bool) -> str:
+    """One annotation for each of these seconds, in one of two column orders."""
+    kinds = [(i, "sz_foc_a" if s else "bckg") for i, s in zip(seconds, seizure)]
     if reordered:
-        lines = [f"1.0\t{k}\tall\t{i}" for i, k in enumerate(kinds)]
+        lines = [f"1.0\t{k}\tall\t{i}" for i, k in kinds]
         return "\n".join(["duration\teventType\tchannels\tonset", *lines, ""])
-    lines = [f"{i}\t1.0\t{k}" for i, k in enumerate(kinds)]
+    lines = [f"{i}\t1.0\t{k}" for i, k in kinds]
     return "\n".join(["onset\tduration\teventType ", *lines, ""])
 
 
@@ -60,14 +66,18 @@ def _writer(root: str):
         """Both files of one recording; its size is fixed by construction."""
         number = int(vectors["recording"].iloc[0])
         vectors = vectors.sort_values(["second", "channel"])
-        samples = np.stack(vectors["embedding"].to_numpy()).astype(float)
-        signal = np.moveaxis(samples.reshape(-1, CHANNELS, samples.shape[1]), 0, 1)
-        labels = vectors.loc[vectors["channel"] == 0, "label"].to_numpy()
+        signal = np.zeros((CHANNELS, int(vectors["second"].max()) + 1, int(SFREQ)))
+        for channel, second, samples in zip(vectors["channel"], vectors["second"], vectors["embedding"]):
+            if samples is not None:
+                signal[channel, second] = samples
+        recorded = np.isin(np.arange(CHANNELS), vectors["channel"])
+        first = vectors.loc[vectors["channel"] == 0]
+        seizure = (first["label"] < SEIZURE_LABELS).to_numpy()
         subject = f"sub-{number % 5:02d}"
         name = f"{root}/{subject}/ses-01/eeg/{subject}_ses-01_task-monitor_run-{number:04d}"
         for ending, data in (
-            ("_eeg.edf", _edf(signal)),
-            ("_events.tsv", _tsv(labels < SEIZURE_LABELS, number % 2 == 1).encode()),
+            ("_eeg.edf", _edf(signal, recorded)),
+            ("_events.tsv", _tsv(first["second"].to_numpy(), seizure, number % 2 == 1).encode()),
         ):
             with create_file(name + ending) as out:
                 out.write(data)

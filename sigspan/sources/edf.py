@@ -57,6 +57,11 @@ class EdfHeader:
     def sfreq(self) -> float:
         return self.samples_per_record / self.record_sec
 
+    @property
+    def sampled(self) -> list[int]:
+        """The channels that have samples; others are named in the header only."""
+        return [channel for channel, count in enumerate(self.counts) if count]
+
     @property
     def n_samples(self) -> int:
         return self.n_records * self.samples_per_record
@@ -77,7 +82,8 @@ def parse_header(source, path: str) -> EdfHeader:
 
     Recordings with gaps (EDF+D) have no single sample grid and are refused.
     Where channels differ in rate, the highest one is the recording's rate, and
-    slower channels hold each sample until their next one.
+    slower channels hold each sample until their next one. A channel without samples
+    has no rows and no features.
     """
     fixed = source.read(FIXED_BYTES)
     n_signals = int(fixed[252:256])
@@ -101,8 +107,8 @@ def parse_header(source, path: str) -> EdfHeader:
     digital = np.array([field(120, 8), field(128, 8)], dtype=float)
     counts = [int(v) for v in field(216, 8)]
     kept = [i for i, label in enumerate(labels) if label not in ANNOTATION_LABELS]
-    if not kept or min(counts[i] for i in kept) < 1:
-        raise ValueError("no channel with samples, or one without")
+    if not any(counts[i] for i in kept) or min(counts) < 0:
+        raise ValueError("no channel with samples")
     scale = np.array([UNIT_SCALE.get(u, 1.0) for u in units])
     gain = (physical[1] - physical[0]) / (digital[1] - digital[0])
     offset = (physical[0] - gain * digital[0]) * scale
@@ -136,12 +142,15 @@ def read_header(path: str, error: type[Exception]) -> EdfHeader:
 def read_records(
     source, header: EdfHeader, first: int, last: int, channels: list[int] | None = None
 ) -> np.ndarray:
-    """Physical samples of data records [first, last), shape (channels, samples)."""
+    """Physical samples of data records [first, last), shape (channels, samples).
+
+    ``channels`` have samples; without them, all that do.
+    """
     source.seek(header.header_bytes + first * header.record_bytes)
     raw = source.read((last - first) * header.record_bytes)
     records = np.frombuffer(raw, dtype="<i2").reshape(last - first, -1)
     width = header.samples_per_record
-    wanted = range(len(header.names)) if channels is None else channels
+    wanted = header.sampled if channels is None else channels
     picked = np.empty((len(wanted), (last - first) * width))
     for row, channel in enumerate(wanted):
         column, count = header.columns[channel], header.counts[channel]
@@ -269,7 +278,7 @@ class _SampleReader(DataSourceReader):
             first = max(first, int(min(self.start / header.record_sec, header.n_records)))
             last = min(last, math.ceil(min(self.end / header.record_sec, header.n_records)))
             step = max(1, int(self.rows_sec / header.record_sec))
-            channels = [c for c in range(len(header.names)) if not self.channels or c in self.channels]
+            channels = [c for c in header.sampled if not self.channels or c in self.channels]
             with open_file(path) as source:
                 for at in range(first, last, step):
                     upto = min(at + step, last)

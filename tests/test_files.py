@@ -1,7 +1,11 @@
+from pathlib import Path
+
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from compare import difference
 from pyspark.sql import functions as F
 from recordings import edf_bytes, make_tree, quantised
 
@@ -14,6 +18,8 @@ from sigspan.errors import (
 from sigspan.functions.windows import WindowSpec
 from sigspan.operators.intervals import extract_seizure_intervals, sort_intervals
 from sigspan.plans.features import build_features_dataset, segment_features
+from sigspan.plans.oracles import DUCKDB_SQL, FILES_CTE
+from sigspan.plans.queries import SPARK_QUERIES
 from sigspan.plans.segments import build_segments_dataset
 from sigspan.plans import features as feature_plans
 from sigspan.sinks.tables import load_feature_parts, save_feature_parts, save_segments_dataset
@@ -371,3 +377,40 @@ def test_feature_errors(spark, tree, tmp_path):
         load_segments(spark, str(tmp_path / "s.parquet"))
     with pytest.raises(FileNotFoundError):
         load_segments(spark, str(tmp_path / "none.parquet"))
+
+
+# as many seconds as start in the last recording, and channels that have samples there
+@pytest.mark.parametrize("n, seconds, channels", [(42, 1, 2), (46, 2, 4)])
+def test_recordings_of_a_table_that_ends_within_one(spark, tmp_path, n, seconds, channels):
+    vectors = [(i, RNG.uniform(-1, 1, SFREQ).tolist(), None if i == 41 else i % 10) for i in range(n)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    table.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    same = [k for k, sql in DUCKDB_SQL.items() if FILES_CTE in sql and k != "src_edf_samples"]
+    assert len(same) == 14
+    for key in same:
+        assert difference(SPARK_QUERIES[key](spark, str(tmp_path)), duck, DUCKDB_SQL[key]) is None, key
+    rows = SPARK_QUERIES["src_edf_samples"](spark, str(tmp_path)).where("filename LIKE '%run-0001%'").collect()
+    cells = {(int(r.start_sec), r.channel): r.rms for r in rows}
+    assert cells.keys() == {(s, c) for s in range(seconds) for c in range(channels)}
+    # a second that the file has and the table lacks is silent
+    assert {k for k, rms in cells.items() if rms < 1e-4} == {k for k in cells if 40 + k[0] * 4 + k[1] >= n}
+
+
+def test_a_channel_without_samples_has_no_features(spark, tmp_path):
+    """The middle one of three channels is in the header only."""
+    path, channels = str(tmp_path / "sub-1_eeg.edf"), noise(8, 3)
+    data = bytearray(edf_bytes(channels[[0, 2]], SFREQ, labels=["A", "C"]))
+    whole = edf_bytes(channels, SFREQ, labels=["A", "B", "C"])[: 256 * 4]
+    counts = 256 + 216 * 3
+    Path(path).write_bytes(whole[: counts + 8] + b"0".ljust(8) + whole[counts + 16 :] + data[256 * 3 :])
+    header = edf.read_header(path, ValueError)
+    assert header.names == ("A", "B", "C") and header.sampled == [0, 2] and header.n_samples == 8 * SFREQ
+    got = edf.read_samples(spark, path).orderBy("channel").collect()
+    assert [r.channel_name for r in got] == ["A", "C"]
+    assert np.allclose([r.samples for r in got], quantised(channels[[0, 2]]))
+    keys = "subject string, session string, run string, path string, start_sec double, end_sec double, label long"
+    row = segment_features(spark.createDataFrame([("s", None, None, path, 0.0, 4.0, 1)], keys)).first()
+    assert row["mean_ch_02"] is None and row["alpha_power_ch_02"] is None
+    assert np.isclose(row["mean_ch_03"], quantised(channels[2])[: 4 * SFREQ].mean())
