@@ -22,6 +22,7 @@ from sigspan.functions.windows import WindowSpec
 from sigspan.operators import audit, features, quality
 from sigspan.operators import segmentation as seg
 from sigspan.operators.intervals import extract_seizure_intervals, sort_intervals
+from sigspan.operators.ranks import numbered
 from sigspan.plans import inspection
 from sigspan.plans import testbed as tb
 from sigspan.plans import testbed_files as files
@@ -641,8 +642,10 @@ def csv_summary(spark: SparkSession, sf: str) -> DataFrame:
         "subject string, n_segments bigint, n_positive bigint, n_negative bigint, positive_ratio double, "
         "n_recordings bigint, has_positive string, positive_share_overall double, segment_share_overall double"
     ).csv(path, header=True)
-    # one file of one split: ids count its lines
-    return rounded(lines.withColumn("place", F.monotonically_increasing_id()))
+    # a large file has several splits: lines are counted over all of them, in the order of their bytes
+    at = [F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at")]
+    placed = numbered(lines.select("*", *at), [F.col("split"), F.col("at")])
+    return rounded(placed.drop("split", "at"))
 
 
 # --- places of rows ----------------------------------------------------------------

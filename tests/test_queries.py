@@ -32,3 +32,14 @@ def test_query(spark, duck, key):
 def test_flagship(spark):
     if SF_DIR.endswith("sf0.001"):
         assert driver.entry(spark).count() == 133 + 10452
+
+
+def test_lines_of_a_csv_file_of_many_splits(spark, duck):
+    """As a file of some megabytes has them."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "100")
+    try:
+        assert difference(SPARK_QUERIES["sink_csv"](spark, SF_DIR), duck, DUCKDB_SQL["sink_csv"]) is None
+    finally:
+        spark.conf.set(name, before)
