@@ -7,9 +7,14 @@ maximum over all windows of a text go into a logistic curve, which is fitted to
 labelled texts that the dictionaries have not seen. The curve's value is the score,
 a probability, so the threshold needs no further tuning.
 
-Dictionaries are raw content, trained by document counts of words: both begin with
-the words that both kinds of text share, and end with those that their own kind
-uses more often, the surest ones last, where matches are cheapest. (Dictionaries of
+Dictionaries are raw content, trained by counts of words: both begin with the words
+that both kinds of text share, and end with those that their own kind uses more
+often, the surest ones last, where matches are cheapest. What is counted are the
+different contexts of a word, its two neighbours, and not its texts: edited copies of
+one text repeat their words in the same contexts, so a family of copies that happens
+to be toxic makes none of its words toxic. How sure a word is, is the signed root of
+its likelihood ratio; it must be greater than chance leaves among so many words.
+(Dictionaries of
 the library's own trainer hold the prose that both kinds share and hardly tell them
 apart: README.)
 
@@ -32,6 +37,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -48,8 +54,8 @@ LEVEL = 3
 SLACK = 1  #: bytes a window may save by chance
 SHARED_BYTES = 64 << 10
 MAX_WORDS = 2000  #: words of its own in a dictionary
-MIN_TEXTS = 3
-TOXIC_Z, ORDINARY_Z, SHARED_Z = 4.0, -1.5, 1.5  #: how surely a word's kind must be known
+MIN_CONTEXTS = 3
+SHARED_Z = 1.5  #: words less sure than this are of both kinds
 THRESHOLD = 0.3
 
 
@@ -57,45 +63,56 @@ def _lowered(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words_of(pc.utf8_lower(column))
 
 
-def _words(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Toxic and ordinary texts of each word of a batch."""
+def _contexts(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word of a batch with a hash of its neighbours, 0 beyond the ends of a text."""
     for batch in arrow:
         for part in batches(batch, "text"):
             words, counts = _lowered(part.column("text"))
-            row = np.repeat(np.arange(len(counts)), counts)
+            if not len(words):
+                continue
             coded = words.dictionary_encode()
-            pair = np.unique(row * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False))
-            row, word = np.divmod(pair, max(1, len(coded.dictionary)))
+            hashed = pd.util.hash_array(np.array(coded.dictionary.to_pylist(), dtype=object))
+            code = hashed[coded.indices.to_numpy(zero_copy_only=False)]
+            row = np.repeat(np.arange(len(counts)), counts)
+            inner = row[1:] == row[:-1]
+            before, after = np.zeros_like(code), np.zeros_like(code)
+            before[1:][inner], after[:-1][inner] = code[:-1][inner], code[1:][inner]
+            context = (before * np.uint64(0x9E3779B97F4A7C15) ^ after).view(np.int64)
             toxic = part.column("toxic").to_numpy()[row]
-            n = [np.bincount(word, w, len(coded.dictionary)).astype(np.int64) for w in (toxic, 1 - toxic)]
-            yield pa.RecordBatch.from_arrays([coded.dictionary, *map(pa.array, n)], ["word", "toxic", "ordinary"])
+            yield pa.RecordBatch.from_arrays([words, pa.array(context), pa.array(toxic, pa.int32())], ["word", "context", "toxic"])
     release()
 
 
 def word_kinds(texts: DataFrame) -> tuple[list[str], list[str], list[str]]:
     """(shared, ordinary, toxic) words of labelled (text, toxic) rows, the best ones last.
 
-    A word's z compares its shares of toxic and ordinary texts. Collected are
-    2 * MAX_WORDS words and SHARED_BYTES of shared ones at most.
+    A word's z compares its shares of all toxic and all ordinary contexts. Collected
+    are 2 * MAX_WORDS words and SHARED_BYTES of shared ones at most.
     """
-    totals = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}  # two rows
-    toxic, ordinary = totals.get(1, 0), totals.get(0, 0)
-    if not (toxic and ordinary):
-        return [], [], []
     a, b = F.col("toxic"), F.col("ordinary")
-    share = (a + b + 0.5) / (toxic + ordinary + 1)
-    z = (a / toxic - b / ordinary) / F.sqrt(share * (1 - share) * (1 / toxic + 1 / ordinary))
-    counted = texts.mapInArrow(_words, "word string, toxic long, ordinary long").groupBy("word")
-    counted = counted.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    counted = stored(counted.where(a + b >= MIN_TEXTS).select("word", (a + b).alias("n"), z.alias("z")), "toxic-words")
+    seen = texts.mapInArrow(_contexts, "word string, context long, toxic int").distinct()
+    counted = seen.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("ordinary"))
+    counted = stored(counted, "toxic-words")
+    often = a + b >= MIN_CONTEXTS
+    toxic, ordinary, n = counted.agg(F.sum(a), F.sum(b), F.count_if(often)).first()
+    if not (toxic and ordinary and n):
+        return [], [], []
+    sure = float(np.sqrt(2 * np.log(max(n, 2))))  # chance passes it for less than one of n words
+    share = toxic / (toxic + ordinary)
+
+    def ratio(found, part: float):
+        return F.when(found > 0, found * F.log(found / ((a + b) * part))).otherwise(0.0)
+
+    z = F.signum(a - (a + b) * share) * F.sqrt(F.greatest(F.lit(0.0), 2 * (ratio(a, share) + ratio(b, 1 - share))))
+    counted = counted.where(often).select("word", (a + b).alias("n"), z.alias("z"))
 
     def best(rows: DataFrame, order, limit: int) -> list[str]:
         return [r["word"] for r in rows.orderBy(order, "word").limit(limit).collect()][::-1]
 
     shared = best(counted.where(F.abs("z") < SHARED_Z), F.desc("n"), SHARED_BYTES // 4)
     kept = np.cumsum([len(w.encode()) + 1 for w in shared[::-1]]) <= SHARED_BYTES
-    own = [best(counted.where(F.col("z") <= ORDINARY_Z), F.col("z"), MAX_WORDS)]
-    own.append(best(counted.where(F.col("z") >= TOXIC_Z), F.desc("z"), MAX_WORDS))
+    own = [best(counted.where(F.col("z") <= -sure), F.col("z"), MAX_WORDS)]
+    own.append(best(counted.where(F.col("z") >= sure), F.desc("z"), MAX_WORDS))
     return shared[len(shared) - int(kept.sum()) :], *own
 
 

@@ -178,6 +178,17 @@ def test_toxicity_learns_nothing_from_held_out_labels(spark):
     assert rows(toxic_dictionaries.toxicity(docs, labels), "*") == rows(toxic_dictionaries.toxicity(shuffled, turned), "*")
 
 
+def test_a_family_of_toxic_copies_makes_no_toxic_words(spark):
+    """Words that only edited copies of one text have do not tell the kinds apart; words in many contexts do."""
+    draw = np.random.default_rng(5)
+    plain = [" ".join(f"w{k}" for k in draw.integers(0, 80, 40)) for _ in range(120)]
+    family = [f"v{i} tall green hills rest beside seven quiet lakes {t}" for i, t in enumerate(plain[:30])]
+    insults = [" ".join("scum" if k % 9 == 4 else w for k, w in enumerate(t.split())) for t in plain[30:60]]
+    texts = [(t, 1) for t in family + insults] + [(t, 0) for t in plain[60:]]
+    shared, ordinary, toxic = toxic_dictionaries.word_kinds(spark.createDataFrame(texts, "text string, toxic int"))
+    assert "scum" in toxic and not {"green", "hills", "seven", "quiet"} & {*toxic, *ordinary}
+
+
 def test_toxicity_of_odd_documents(spark, odd):
     _, labels = toxic_corpus(spark, 60)
     messy = labels.unionByName(spark.createDataFrame([(None, 1, 1), (4, None, None), (5, 0, None), (6, 1, 1)], labels.schema))
