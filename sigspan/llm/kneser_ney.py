@@ -46,6 +46,8 @@ from sigspan.session import shuffle_partitions
 ORDER = 5
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 64 << 20  #: of text, for which the blocks ask about as many bytes
+COUNT_BYTES = 512 << 10  #: of text counted at once; its arrays take some forty times that
+FOLD_GRAMS = 1 << 18  #: n-grams of parts that may wait to be merged
 QUANTILE = 0.95
 MARGIN = 1.05
 FOLDS = 5
@@ -74,21 +76,42 @@ def text_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of the highest order with their counts; slice by slice."""
     data, offsets = text_bytes(column)
-    found, sizes = [], []
-    for first, end in slices(np.diff(offsets)):
-        part = text_grams(data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first])
-        grams, counts = np.unique(part, return_counts=True)
-        found.append(grams)
-        sizes.append(counts)
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams, where = np.unique(np.concatenate(found), return_inverse=True)
-    return grams, np.bincount(where, np.concatenate(sizes), len(grams)).astype(np.int64)
+    slice_counts = (
+        np.unique(
+            text_grams(data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]), return_counts=True
+        )
+        for first, end in slices(np.diff(offsets), COUNT_BYTES)
+    )
+    return _merged(slice_counts)
+
+
+def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of all parts with their summed counts.
+
+    Parts are merged as they come: what is held is the distinct n-grams, and about as
+    many or `FOLD_GRAMS` that wait, and not the n-grams of every part.
+    """
+    grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    waiting, held = [], 0
+
+    def fold() -> tuple[np.ndarray, np.ndarray]:
+        found, where = np.unique(np.concatenate([grams, *(g for g, _ in waiting)]), return_inverse=True)
+        sizes = np.concatenate([counts, *(n for _, n in waiting)])
+        return found, np.bincount(where, sizes, len(found)).astype(np.int64)
+
+    for part in parts:
+        waiting.append(part)
+        held += len(part[0])
+        if held > max(FOLD_GRAMS, len(grams)):
+            grams, counts = fold()
+            waiting, held = [], 0
+    return fold() if waiting else (grams, counts)
 
 
 def _count_batches(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in arrow:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in _counts(batch.column("text"))], ["gram", "n"])
+    release()
 
 
 class Model:
@@ -187,13 +210,13 @@ def _grams(data: bytes, n: int) -> np.ndarray:
 
 def _ask(packs: pa.Table, shards: int) -> pa.Table:
     """The distinct n-grams of one block, one row per shard that has some."""
-    parts = [_counts(rows.column("text"))[0] for rows in _unpacked(packs)]
-    grams = np.unique(np.concatenate(parts))
+    grams, _ = _merged(_counts(rows.column("text")) for rows in _unpacked(packs))
     shard = _shard(grams, shards)
     order = np.argsort(shard, kind="stable")
     held, first = np.unique(shard[order], return_index=True)
     pieces = np.split(grams[order], first[1:]) if len(grams) else []
     block = np.full(len(pieces), packs.column("block")[0].as_py(), np.int32)
+    release()
     return pa.table(
         {
             "shard": pa.array(held.astype(np.int32)),
@@ -211,7 +234,9 @@ def _answer(asked: pa.Table, found: pa.Table) -> pa.Table:
     grams, p = grams[order], p[order]
     rows = zip(asked.column("grams").to_pylist(), asked.column("n").to_pylist())
     answers = [p[np.searchsorted(grams, _grams(data, n))].tobytes() for data, n in rows]
-    return asked.drop(["shard"]).append_column("p", pa.array(answers, pa.binary()))
+    answers = pa.array(answers, pa.binary())
+    release()
+    return asked.drop(["shard"]).append_column("p", answers)
 
 
 def _add_up(packs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -226,7 +251,7 @@ def _add_up(packs: pa.Table, answers: pa.Table) -> pa.Table:
         data, offsets = text_bytes(rows.column("text"))
         sizes = np.diff(offsets)
         total = np.zeros(len(sizes))
-        for first, end in slices(sizes):
+        for first, end in slices(sizes, COUNT_BYTES):
             part = text_grams(data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first])
             row = np.repeat(np.arange(end - first), sizes[first:end])
             total[first:end] = np.bincount(row, logs[np.searchsorted(grams, part)], end - first)

@@ -2,10 +2,12 @@
 
 import math
 import os
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from fixtures import clashing, crc, empty, near_components, odd_documents, prose, read, rows, sha, tokens
 
@@ -88,6 +90,23 @@ def brute_perplexity(trusted, texts):
     return [2 ** (-sum(math.log2(p(g)) for g in grams(t)) / len(t)) if t else None for t in texts]
 
 
+def test_a_block_holds_its_distinct_grams_and_not_those_of_all_packs():
+    draw = np.random.default_rng(1)
+    text = "".join(map(chr, draw.integers(97, 123, 50_000)))
+    texts = pa.record_batch({"block": pa.array([7], pa.int32()), "text": pa.array([text])})
+    pack = next(kneser_ney._packed_rows(iter([texts])))
+    packs = pa.Table.from_batches([pack] * 200)
+    tracemalloc.start()
+    asked = kneser_ney._ask(packs, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    grams, counts = kneser_ney._counts(pa.array([text] * 30))  # several slices, merged several times
+    assert len(grams) == sum(asked["n"].to_pylist()) and counts.sum() == 30 * 50_000 and not (counts % 30).any()
+    got = np.concatenate([kneser_ney._grams(data, n) for data, n in zip(asked["grams"].to_pylist(), asked["n"].to_pylist())])
+    assert (np.sort(got) == grams).all()
+    assert peak < 32 << 20  # 200 packs of 50,000 n-grams are 80 MB before they are merged
+
+
 def test_perplexity_of_odd_documents(spark, odd, odd_rows):
     trusted = odd.where("doc_id >= 20")
     found = kneser_ney.perplexities(kneser_ney.Model(trusted), odd.select("doc_id", "text"))
