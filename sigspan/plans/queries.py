@@ -123,22 +123,18 @@ def segments_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("overlap_ratio", r("overlap_ratio"))
 
 
-_stored: dict[tuple[str, str], str] = {}
+def _segments_path(spark: SparkSession, sf: str) -> str:
+    """The segments as a stored table, written once per session."""
 
+    def write(path: str) -> None:
+        sinks.save_segments_dataset(seg.segments(tb.recordings(spark, sf), tb.intervals(spark, sf), HOURLY), path)
 
-def event_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """The segments as a stored table, which is what the checks read.
+    return tb.written_once(spark, sf, "events", "segments", write, ".parquet")
 
-    Written once per session; a check then scans only the columns it needs.
-    """
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _stored:
-        path = shared_dir(spark, "segments") + ".parquet"
-        sinks.save_segments_dataset(
-            seg.segments(tb.recordings(spark, sf), tb.intervals(spark, sf), HOURLY), path
-        )
-        _stored[key] = path
-    return load_segments(spark, _stored[key])
+
+def event_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored segments, which is what the checks read; a check scans only the columns it needs."""
+    return load_segments(spark, _segments_path(spark, sf))
 
 
 def first_segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -571,8 +567,7 @@ def stored_segments(spark: SparkSession, sf: str) -> DataFrame:
 def _inspected(spark: SparkSession, sf: str) -> str:
     """Audit the stored segments into a report folder."""
     folder = shared_dir(spark, "report")
-    event_segments(spark, sf)
-    config = inspection.InspectionConfig(_stored[spark.sparkContext.applicationId, sf], folder)
+    config = inspection.InspectionConfig(_segments_path(spark, sf), folder)
     result = inspection.inspect(load_dataset(spark, config.input_path), config)
     inspection.save(spark, result, config)
     result.summary.unpersist()

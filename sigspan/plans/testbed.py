@@ -9,19 +9,50 @@ The tables hold no recordings, so the registered queries derive them:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sigspan.session import shared_dir
+from sigspan.sources.tables import path_exists
+
 RECORDING_SEC = 30 * 86400.0
 EPOCH = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
 SLOT_SEC = 600
 SFREQ = 64.0
+_written: dict[tuple[str | None, ...], tuple[list, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _files_of(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of each file of a stored table: others, once it is another table."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
+
+
+def written_once(
+    spark: SparkSession, sf_dir: str, source: str, name: str, write: Callable[[str], None], ending: str = ""
+) -> str:
+    """The folder that ``write`` fills from the table ``source``, once per session.
+
+    It is written again where the folder is gone, the table has other files, or the
+    session's shared folder is another.
+    """
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf_dir, name)
+    state = _files_of(spark, f"{sf_dir}/{source}.parquet")
+    held, path = _written.get(key, (None, ""))
+    if held != state or not path_exists(spark, path):
+        path = shared_dir(spark, name) + ending
+        write(path)
+        _written[key] = state, path
+    return path
+
+
 def onset_sec() -> Column:
     """Seconds since the start of the recording."""
     return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), F.col("ts").cast("timestamp_ntz")) / 1e6

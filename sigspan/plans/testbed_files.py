@@ -18,8 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspan.plans.testbed import SFREQ, table
-from sigspan.session import shared_dir
+from sigspan.plans.testbed import SFREQ, table, written_once
 from sigspan.sources.remote import create_file
 
 CHANNELS = 4
@@ -27,7 +26,6 @@ SECONDS = 10
 SEIZURE_LABELS = 3
 STEPS = 65535
 NOTED = 1000  #: events in an annotation file with notes
-_written: dict[tuple[str, ...], str] = {}
 
 
 def _edf(signal: np.ndarray, recorded: np.ndarray) -> bytes:
@@ -100,17 +98,16 @@ def channel_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recording_tree(spark: SparkSession, sf_dir: str) -> str:
     """Write the folder once per session and table; return its path."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written:
-        root = shared_dir(spark, "recordings")
+
+    def write(root: str) -> None:
         names = (
             channel_seconds(spark, sf_dir)
             .groupBy("recording")
             .applyInPandas(_writer(root), "name string")
         )
         names.write.format("noop").mode("overwrite").save()
-        _written[key] = root
-    return _written[key]
+
+    return written_once(spark, sf_dir, "embeddings", "recordings", write)
 
 
 def _note_writer(root: str):
@@ -133,23 +130,21 @@ def _note_writer(root: str):
 
 def noted_annotations(spark: SparkSession, sf_dir: str) -> str:
     """A folder of annotation files with quoted notes, written from ``events``."""
-    key = (spark.sparkContext.applicationId, sf_dir, "notes")
-    if key not in _written:
-        root = shared_dir(spark, "notes")
+
+    def write(root: str) -> None:
         events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
         numbered = events.withColumn("number", F.floor(F.col("event_id") / NOTED))
         names = numbered.groupBy("number").applyInPandas(_note_writer(root), "name string")
         names.write.format("noop").mode("overwrite").save()
-        _written[key] = root
-    return _written[key]
+
+    return written_once(spark, sf_dir, "events", "notes", write)
 
 
 def ordered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stored table of several files, in order of their ids."""
-    key = (spark.sparkContext.applicationId, sf_dir, "events")
-    if key not in _written:
-        path = shared_dir(spark, "events")
+
+    def write(path: str) -> None:
         events = table(spark, sf_dir, "events").repartitionByRange(8, "event_id").sortWithinPartitions("event_id")
         events.write.parquet(path)
-        _written[key] = path
-    return spark.read.parquet(_written[key])
+
+    return spark.read.parquet(written_once(spark, sf_dir, "events", "events", write))

@@ -22,6 +22,7 @@ from sigspan.plans.oracles import DUCKDB_SQL, FILES_CTE
 from sigspan.plans.queries import SPARK_QUERIES
 from sigspan.plans.segments import build_segments_dataset
 from sigspan.plans import features as feature_plans
+from sigspan.plans import testbed
 from sigspan.sinks.tables import load_feature_parts, save_feature_parts, save_segments_dataset
 from sigspan.sources import edf, events_tsv, remote
 from sigspan.sources.events_tsv import read_events, read_seizure_intervals
@@ -414,3 +415,18 @@ def test_a_channel_without_samples_has_no_features(spark, tmp_path):
     row = segment_features(spark.createDataFrame([("s", None, None, path, 0.0, 4.0, 1)], keys)).first()
     assert row["mean_ch_02"] is None and row["alpha_power_ch_02"] is None
     assert np.isclose(row["mean_ch_03"], quantised(channels[2])[: 4 * SFREQ].mean())
+
+
+@pytest.mark.parametrize("key", ["src_edf_header", "src_events_tsv", "src_entities"])
+def test_recordings_are_written_again_when_gone_or_stale(spark, tmp_path, key):
+    def names(vectors):
+        rows = [(i, RNG.normal(scale=0.1, size=64).tolist(), i % 7) for i in range(vectors)]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
+        return {r["filename"] for r in SPARK_QUERIES[key](spark, str(tmp_path)).collect()}
+
+    assert len(names(40)) == 1
+    assert len(names(120)) == 3  # the same path, another table
+    at = next(k for k in testbed._written if k[2] == str(tmp_path))
+    state, _ = testbed._written[at]
+    testbed._written[at] = state, f"{tmp_path}/cleared"
+    assert len({r["filename"] for r in SPARK_QUERIES[key](spark, str(tmp_path)).collect()}) == 3
