@@ -27,6 +27,8 @@ from sigspan.sources.tables import load_segments
 
 # Samples (all channels) decoded and transformed at a time.
 READ_SAMPLES = 1 << 19
+# Recordings that may be sent to all executors at once.
+SENT_RECORDINGS = 10_000
 
 
 def _sample_bounds(header: EdfHeader, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -125,7 +127,9 @@ def limit_segments(segments: DataFrame, max_segments: int | None) -> DataFrame:
 
     Counts by recording place the cut: recordings before it are kept whole, and
     only the one that it falls into is ranked. No task gathers the kept segments, nor
-    the counts, which are summed by ranges (`running_sum`).
+    the counts, which are summed by ranges (`running_sum`). The recordings, at most
+    ``max_segments``, go to the segments: files of segments are so small for their rows
+    that Spark might send these through the driver instead.
     """
     if max_segments is None:
         return segments
@@ -140,6 +144,7 @@ def limit_segments(segments: DataFrame, max_segments: int | None) -> DataFrame:
     recordings = before.where(F.col("_before") < max_segments).select(
         F.col("subject").alias("_s"), F.col("path").alias("_p"), "_n", room
     )
+    recordings = F.broadcast(recordings) if max_segments <= SENT_RECORDINGS else recordings.hint("merge")
     same = F.col("subject").eqNullSafe(F.col("_s")) & F.col("path").eqNullSafe(F.col("_p"))
     placed = segments.join(recordings, same)
     whole = placed.where("_n <= _room")

@@ -17,7 +17,7 @@ from sigspan.errors import (
 )
 from sigspan.functions.windows import WindowSpec
 from sigspan.operators.intervals import extract_seizure_intervals, sort_intervals
-from sigspan.plans.features import build_features_dataset, segment_features
+from sigspan.plans.features import build_features_dataset, limit_segments, segment_features
 from sigspan.plans.oracles import DUCKDB_SQL, FILES_CTE
 from sigspan.plans.queries import SPARK_QUERIES
 from sigspan.plans.segments import build_segments_dataset
@@ -430,3 +430,22 @@ def test_recordings_are_written_again_when_gone_or_stale(spark, tmp_path, key):
     state, _ = testbed._written[at]
     testbed._written[at] = state, f"{tmp_path}/cleared"
     assert len({r["filename"] for r in SPARK_QUERIES[key](spark, str(tmp_path)).collect()}) == 3
+
+
+@pytest.mark.parametrize("most", [1000, 20_000])
+def test_the_first_segments_are_not_sought_by_sending_all_of_them(spark, tmp_path, most):
+    """Files of segments can be smaller than those of the counts by recording."""
+    number = F.col("id") / 700
+    rows = spark.range(0, 140_000, numPartitions=1).select(
+        F.lit("s").alias("subject"), F.format_string("p%05d", F.floor(number)).alias("path"), (F.col("id") % 700 * 4.0).alias("start_sec")
+    )
+    rows.write.parquet(f"{tmp_path}/segments")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        found = limit_segments(spark.read.parquet(f"{tmp_path}/segments"), most)
+        assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["path"], r["start_sec"]) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {(f"p{i // 700:05d}", i % 700 * 4.0) for i in range(most)}
