@@ -33,6 +33,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """`stored`, for operators of many steps: the driver lets go of what led to the table.
+
+    Each step leaves broadcasts, shuffles and plans whose memory and files are dropped
+    when the driver's JVM collects their handles; it would rather let its heap grow.
+    """
+    found = stored(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return found
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, with its session set to send at most BATCH_ROWS rows to Python at a time.
 

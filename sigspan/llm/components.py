@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspan.llm.common import stored
+from sigspan.llm.common import settled, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +37,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         grown = _star(both, large=True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        edges = stored(_star(grown, large=False), name)
+        edges = settled(_star(grown, large=False), name)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspan.llm import id_filter
-from sigspan.llm.common import release, schema_of, slices, small_batches, stored, text_bytes, text_key
+from sigspan.llm.common import release, schema_of, settled, slices, small_batches, text_bytes, text_key
 from sigspan.session import shuffle_partitions
 
 ORDER = 5
@@ -119,18 +119,15 @@ class Model:
 
     def __init__(self, trusted: DataFrame):
         counted = trusted.select("text").where("text is not null").mapInArrow(_count_batches, "gram long, n long")
-        counted = stored(counted.groupBy("gram").agg(F.sum("n").alias("n")), "kn-counts")
-        self.counts = {ORDER: counted}
+        self.counts = {ORDER: settled(counted.groupBy("gram").agg(F.sum("n").alias("n")), "kn-counts")}
         for order in range(ORDER - 1, 0, -1):
             suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")
             lower = self.counts[order + 1].select(suffix).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-            self.counts[order] = lower
+            self.counts[order] = settled(lower, "kn-counts")
         every = None
         for order, counts in self.counts.items():
-            tagged = counts.select(F.lit(order).alias("order"), "gram", "n")
+            tagged = counts.select(F.lit(order).alias("order"), "n")
             every = tagged if every is None else every.unionByName(tagged)
-        every = stored(every, "kn-orders")
-        self.counts = {k: every.where(F.col("order") == k).select("gram", "n") for k in self.counts}
         # three discounts an order: 4 * ORDER numbers at most
         few = every.where("n <= 4").groupBy("order", "n").count().collect()
         few = {(r["order"], r["n"]): r["count"] for r in few}
@@ -150,15 +147,28 @@ class Model:
         context = F.shiftright("gram", 8).alias("context")
         return self.counts[order].groupBy(context).agg(F.sum("n").alias("total"), free.alias("free"))
 
-    def probabilities(self, grams: DataFrame, order: int = ORDER) -> DataFrame:
-        """gram -> p of its last byte after the bytes before it; grams: distinct."""
+    def probabilities(self, grams: DataFrame) -> DataFrame:
+        """gram -> p of its last byte after the bytes before it; grams: distinct, of the highest order.
+
+        Each order is stored before the next one, so that no plan holds them all.
+        """
+        asked = {ORDER: grams}
+        for order in range(ORDER - 1, 0, -1):
+            shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")
+            asked[order] = settled(asked[order + 1].select(shorter).distinct(), "kn-asked")
+        found = self._resolved(asked[1], 1, None)
+        for order in range(2, ORDER + 1):
+            found = self._resolved(asked[order], order, settled(found, "kn-lower"))
+        return found
+
+    def _resolved(self, grams: DataFrame, order: int, below: DataFrame | None) -> DataFrame:
+        """gram -> p, from the probabilities of the next lower order."""
         seen = grams.join(self.terms(order), "gram", "left").withColumn("context", F.shiftright("gram", 8))
         seen = seen.join(self.contexts(order), "context", "left")
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
-        if order == 1:
+        if below is None:
             lower, base = seen, F.lit(1 / 256)
         else:
-            below = self.probabilities(grams.select(shorter.alias("gram")).distinct(), order - 1)
+            shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1))
             below = below.select(F.col("gram").alias("shorter"), F.col("p").alias("base"))
             lower, base = seen.withColumn("shorter", shorter).join(below, "shorter"), F.col("base")
         found = (F.coalesce("term", F.lit(0.0)) + F.col("free") * base) / F.col("total")
@@ -275,8 +285,8 @@ def perplexities(model: Model, docs: DataFrame) -> DataFrame:
     salted = docs.select(*rest, "text", F.pmod(F.xxhash64(*rest), F.lit(blocks)).cast("int").alias("block"))
     dealt = salted.mapInArrow(_packed_rows, "block int, pack binary").repartition(blocks, "block")
     grams = docs.select("text").where("text is not null").mapInArrow(_count_batches, "gram long, n long")
-    grams = stored(grams.select("gram").distinct(), "kn-grams")
-    found = stored(model.probabilities(grams).select("gram", F.col("p").cast("float").alias("p")), "kn-found")
+    grams = settled(grams.select("gram").distinct(), "kn-grams")
+    found = settled(model.probabilities(grams).select("gram", F.col("p").cast("float").alias("p")), "kn-found")
     # a shard is one group in memory, so their number follows from what is asked, not from the cluster
     shards = max(shuffle_partitions(docs.sparkSession), -(-size // SHARD_BYTES))
     asked = dealt.groupBy("block").applyInArrow(
@@ -320,9 +330,9 @@ def _rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = id_filter.thinned(docs.select("doc_id", "text").where(~fold), id_filter.bitmap(trusted, "_t"), "doc_id")
     model = Model(texts.join(trusted, F.col("doc_id") == F.col("_t"), "left_semi"))
     scored = perplexities(model, docs.select("doc_id", "lang", F.octet_length("text").alias("n_bytes"), text_key().alias("_text"), "text"))
-    scored = stored(scored, "kn-scored")
+    scored = settled(scored, "kn-scored")
     held = scored.where(fold & F.col("perplexity").isNotNull()).join(trusted, F.col("doc_id") == F.col("_t"), "left_semi")
-    held = stored(held.select("lang", "perplexity"), "kn-held")
+    held = settled(held.select("lang", "perplexity"), "kn-held")
     by_language, overall = thresholds(held)
     found = scored.join(by_language, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     # the mean of few bytes scatters: the allowance for it fades with the length

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigspan.llm.common import batches, release, schema_of, small_batches, stored, text_bytes, text_key
+from sigspan.llm.common import batches, release, schema_of, settled, small_batches, text_bytes, text_key
 from sigspan.llm.components import components
 from sigspan.llm.shingles import forget, mixed, shingle_sets
 from sigspan.session import shuffle_partitions
@@ -177,7 +177,7 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     hubs = stars.select(
         F.col("a").alias("set_id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
-    rows = _with_sets(docs, classes, stored(members.unionByName(hubs), "near-asked"))
+    rows = _with_sets(docs, classes, settled(members.unionByName(hubs), "near-asked"))
     rows = rows.repartition(shuffle_partitions(docs.sparkSession), "hub", "part")
     rows = rows.sortWithinPartitions("hub", "part", F.col("hub") != F.col("set_id"))
     return rows.select("hub", "set_id", "shingles").mapInArrow(_compare, "a binary, b binary")
@@ -266,7 +266,7 @@ def compared(docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFra
     dealt = dealt.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     side = F.signum(F.col("g") - F.col("h")).cast("int").alias("side")
     dealt = dealt.select("key", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), side, "set_id", "root")
-    rows = _with_sets(docs, classes, stored(dealt, "near-cells"))
+    rows = _with_sets(docs, classes, settled(dealt, "near-cells"))
     rows = rows.repartition(shuffle_partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.select("key", "i", "j", "set_id", "root", "side", "shingles").mapInArrow(_cells, "a binary, b binary")
 
@@ -280,7 +280,7 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(set_id, root) of every class that is linked with another, as the module says."""
     buckets = classes.select("set_id", "n_shingles", F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(buckets.join(sizes, "key"), "near-members")
+    members = settled(buckets.join(sizes, "key"), "near-members")
     weights = members.groupBy("set_id").agg(F.struct(F.sum("n").alias("weight"), "set_id").alias("who"))
     weighed = members.select("key", "set_id").join(weights, "set_id")
     hubs = weighed.groupBy("key").agg(F.max("who").alias("hub"))
@@ -291,7 +291,7 @@ def class_roots(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     labelled = _rooted(members.drop("n"), found)
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    labelled = stored(labelled.join(open_keys.select("key"), "key", "left_semi"), "near-open")
+    labelled = settled(labelled.join(open_keys.select("key"), "key", "left_semi"), "near-open")
     stars = found.where("set_id <> root").select(F.col("root").alias("a"), F.col("set_id").alias("b"))
     links = stars.unionByName(compared(docs, classes, labelled))
     return components(links, name="near-components").withColumnRenamed("vertex", "set_id")
@@ -301,9 +301,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = small_batches(docs).select("doc_id", "text")
     kinds = schema_of(docs.select("doc_id"), n_shingles="long", set_id="binary", bands=T.ArrayType(T.LongType()))
-    features = stored(docs.mapInArrow(_features, kinds), "near-features")
+    features = settled(docs.mapInArrow(_features, kinds), "near-features")
     classes = features.where("set_id is not null").groupBy("set_id")
-    classes = stored(classes.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "near-classes")
+    classes = settled(classes.agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "near-classes")
     named = _rooted(classes.select("set_id", "rep"), class_roots(docs, classes))
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.select("set_id", "root").join(names, "root").select("set_id", "component_id")

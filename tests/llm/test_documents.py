@@ -119,6 +119,14 @@ def test_perplexity_of_odd_documents(spark, odd, odd_rows):
         assert a is None and b is None or a == pytest.approx(b, rel=1e-6)
 
 
+def test_no_plan_holds_several_orders(spark):
+    trusted = spark.createDataFrame([("abracadabra " * 3,), ("alakazam",)], "text string")
+    model = kneser_ney.Model(trusted)
+    plan = model.probabilities(spark.createDataFrame([(0x6162726163,)], "gram long"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Join") == 3
+    assert all(c._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0 for c in model.counts.values())
+
+
 def test_discounts_follow_counts_of_counts():
     assert kneser_ney.discounts([10, 4, 2, 1]) == pytest.approx((10 / 18, 2 - 3 * 10 / 18 * 2 / 4, 3 - 4 * 10 / 18 / 2))
     assert kneser_ney.discounts([0, 0, 0, 0]) == (0.5, 0.5, 0.5)
