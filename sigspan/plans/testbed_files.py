@@ -9,17 +9,21 @@ A recording need not be whole: the last one ends where the table does, and ids m
 be missing. A channel without any vector is in the header and has no samples. A data
 record holds all channels that have some, so where a channel lacks a single second,
 or its vector is null, that second is silent; so are components that are no numbers.
+A second has 64 samples, the first 64 components of its vector, and is silent where
+these end before. A vector without an id has no place in any recording. Numbers are
+rounded down, so ids below 0 fill recordings below 0. A table without vectors is a
+folder without recordings.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspan.plans.testbed import SFREQ, table, written_once
-from sigspan.sources.remote import create_file
+from sigspan.sources.remote import create_file, file_system
 
 CHANNELS = 4
 SECONDS = 10
@@ -67,7 +71,8 @@ def _writer(root: str):
         signal = np.zeros((CHANNELS, int(vectors["second"].max()) + 1, int(SFREQ)))
         for channel, second, samples in zip(vectors["channel"], vectors["second"], vectors["embedding"]):
             if samples is not None:
-                signal[channel, second] = samples
+                samples = samples[: int(SFREQ)]
+                signal[channel, second, : len(samples)] = samples
         recorded = np.isin(np.arange(CHANNELS), vectors["channel"])
         first = vectors.loc[vectors["channel"] == 0]
         seizure = (first["label"] < SEIZURE_LABELS).to_numpy()
@@ -84,13 +89,19 @@ def _writer(root: str):
     return write
 
 
+def _quotient(number: Column, by: int) -> Column:
+    """Rounded down, and exact where a double is not."""
+    below = (F.pmod(number, F.lit(by)) != number % by).cast("bigint")
+    return F.call_function("div", number, F.lit(by)) - below
+
+
 def channel_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector with its place in a recording."""
-    place = F.floor(F.col("vec_id") / CHANNELS)
-    return table(spark, sf_dir, "embeddings").select(
-        F.floor(F.col("vec_id") / (CHANNELS * SECONDS)).alias("recording"),
-        (place % SECONDS).alias("second"),
-        (F.col("vec_id") % CHANNELS).alias("channel"),
+    number = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").where(number.isNotNull()).select(
+        _quotient(number, CHANNELS * SECONDS).alias("recording"),
+        F.pmod(_quotient(number, CHANNELS), F.lit(SECONDS)).alias("second"),
+        F.pmod(number, F.lit(CHANNELS)).alias("channel"),
         "embedding",
         "label",
     )
@@ -100,6 +111,8 @@ def recording_tree(spark: SparkSession, sf_dir: str) -> str:
     """Write the folder once per session and table; return its path."""
 
     def write(root: str) -> None:
+        system, folder = file_system(root)
+        system.create_dir(folder, recursive=True)
         names = (
             channel_seconds(spark, sf_dir)
             .groupBy("recording")

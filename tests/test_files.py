@@ -399,6 +399,48 @@ def test_recordings_of_a_table_that_ends_within_one(spark, tmp_path, n, seconds,
     assert {k for k, rms in cells.items() if rms < 1e-4} == {k for k in cells if 40 + k[0] * 4 + k[1] >= n}
 
 
+def _vectors(spark, folder, rows):
+    """A table of embeddings in this folder, and the SQL's view of its rows with ids."""
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    table.coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet') WHERE vec_id IS NOT NULL")
+    return duck
+
+
+WHOLE = [(i, RNG.uniform(-1, 1, SFREQ).astype("float32").tolist(), i % 10) for i in range(80)]
+
+
+@pytest.fixture(scope="module", params=["odd", "none"])
+def odd_vectors(request, spark, tmp_path_factory):
+    """Vectors without ids and with more components than a second has; a table without rows."""
+    folder = tmp_path_factory.mktemp(request.param)
+    odd = [(i, [*v, 0.5, 0.25] if i % 3 == 0 else v, label) for i, v, label in WHOLE]
+    rows = [*odd, (None, WHOLE[0][1], 1), (None, None, None)] if request.param == "odd" else []
+    return str(folder), _vectors(spark, folder, rows)
+
+
+@pytest.mark.parametrize("key", [k for k, sql in DUCKDB_SQL.items() if FILES_CTE in sql])
+def test_recordings_of_odd_vectors(spark, odd_vectors, key):
+    folder, duck = odd_vectors
+    assert difference(SPARK_QUERIES[key](spark, folder), duck, DUCKDB_SQL[key]) is None
+
+
+def test_seconds_of_short_vectors_and_of_ids_below_zero_and_far_above(spark, tmp_path):
+    def cells(name, rows):
+        _vectors(spark, tmp_path / name, rows)
+        found = SPARK_QUERIES["src_edf_samples"](spark, str(tmp_path / name)).collect()
+        return [tuple(r)[1:] for r in sorted(found, key=lambda r: (int(r.filename.split("run-")[1].split("_")[0]), r.start_sec, r.channel))]
+
+    whole = cells("whole", WHOLE)
+    assert len(whole) == 80
+    assert cells("below", [(i - 40, v, label) for i, v, label in WHOLE]) == whole
+    assert cells("far", [(i + 4 * 10**18, v, label) for i, v, label in WHOLE]) == whole  # beyond 2**53
+    short = [(i, v[:60] if i % 3 == 0 else [] if i % 20 == 1 else v, label) for i, v, label in WHOLE]
+    silent = [(i, [*v, *[0.0] * (SFREQ - len(v))], label) for i, v, label in short]
+    assert cells("short", short) == cells("silent", silent) != whole
+
+
 def test_a_channel_without_samples_has_no_features(spark, tmp_path):
     """The middle one of three channels is in the header only."""
     path, channels = str(tmp_path / "sub-1_eeg.edf"), noise(8, 3)
