@@ -544,7 +544,7 @@ def feature_parts(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_dir(spark, "parts")
     found = build_features_dataset(spark, _file_segments(spark, sf), False, None, files.CHANNELS)
     sinks.save_feature_parts(found, folder)
-    back = sinks.load_feature_parts(spark, folder)
+    back = sinks.load_feature_parts(spark, folder, schema=found.schema)
     part = F.col("_metadata.file_name").alias("part")
     place = F.col("_metadata.row_index").alias("row")
     return rounded(_named(back.select(part, place, *back.columns)), 9)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sigspan.errors import stage_errors
 from sigspan.operators.ranks import numbered
@@ -50,9 +51,14 @@ def save_feature_parts(features: DataFrame, folder: str) -> None:
         write_files(rows, folder)
 
 
-def load_feature_parts(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
-    """All features, or those of one recording; row-group statistics keep the other files closed to it."""
-    parts = spark.read.parquet(folder)
+def load_feature_parts(
+    spark: SparkSession, folder: str, path: str | None = None, schema: StructType | None = None
+) -> DataFrame:
+    """All features, or those of one recording; row-group statistics keep the other files closed to it.
+
+    Features without rows leave a folder without files, which has no columns but those of ``schema``.
+    """
+    parts = (spark.read.schema(schema) if schema else spark.read).parquet(folder)
     return parts if path is None else parts.where(F.col("path") == path)
 
 
