@@ -516,8 +516,8 @@ def tsv_intervals(spark: SparkSession, sf: str) -> DataFrame:
 def annotations_head(spark: SparkSession, sf: str) -> DataFrame:
     """The first ten annotations of the first recording."""
     root = files.recording_tree(spark, sf)
-    first = list_recordings(spark, root).agg(bids.events_path(F.min("path")).alias("path"))
-    return _annotations(read_paths(first)).orderBy("onset").limit(10)
+    first = list_recordings(spark, root).agg(F.min("path").alias("path")).where("path IS NOT NULL")
+    return _annotations(read_paths(first.select(bids.events_path(F.col("path")).alias("path")))).orderBy("onset").limit(10)
 
 
 def _file_segments(spark: SparkSession, sf: str) -> DataFrame:
