@@ -67,7 +67,7 @@ def text_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     at = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))  # place within its row
     for back in range(1, ORDER):
         previous = np.full(n, _START, np.int64)
-        previous[back:] = data[: n - back]
+        previous[back:] = data[: max(0, n - back)]
         previous[at < back] = _START
         grams |= previous << (8 * back)
     return grams

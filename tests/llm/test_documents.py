@@ -107,6 +107,23 @@ def test_a_block_holds_its_distinct_grams_and_not_those_of_all_packs():
     assert peak < 32 << 20  # 200 packs of 50,000 n-grams are 80 MB before they are merged
 
 
+def test_texts_of_any_length_are_counted_alone():
+    for n in range(9):
+        grams, counts = kneser_ney._counts(pa.array(["abcdefgh"[:n]]))
+        padded = b"\n" * (kneser_ney.ORDER - 1) + b"abcdefgh"[:n]
+        want = sorted(int.from_bytes(padded[i : i + kneser_ney.ORDER], "big") for i in range(n))
+        assert grams.tolist() == want and counts.tolist() == [1] * n
+
+
+def test_short_texts_that_are_alone_in_their_blocks(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 1)
+    texts = ["abcdefgh"[:n] for n in range(1, 9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = kneser_ney.perplexities(kneser_ney.Model(docs), docs).orderBy("doc_id").collect()
+    want = brute_perplexity([t.encode() for t in texts], [t.encode() for t in texts])
+    assert [r["perplexity"] for r in found] == pytest.approx(want, rel=1e-6)
+
+
 def test_perplexity_of_odd_documents(spark, odd, odd_rows):
     trusted = odd.where("doc_id >= 20")
     found = kneser_ney.perplexities(kneser_ney.Model(trusted), odd.select("doc_id", "text"))
