@@ -8,7 +8,9 @@ interpolated with the uniform distribution over bytes.
 
 Counts are shards, never one table in memory: n-grams are counted by slice in
 arrays, summed by a shuffle on the n-gram, and joined on it. Scoring goes the same
-way. Documents are dealt into blocks of `BLOCK_BYTES`; each block asks for its
+way. Documents are dealt into blocks of `BLOCK_BYTES`, in packs: a partition of the
+input gives rows to few blocks, about `LANE_BYTES` to each, so that the number of packs
+grows with the text and not with its square. Each block asks for its
 distinct n-grams only; what all blocks ask for is resolved order by order by joins
 with the counts and their contexts; the answers return to the blocks, which add
 them up to one perplexity (per byte) for each document. So what is shuffled is the
@@ -32,6 +34,7 @@ repeated rows are scored alike; other columns pass through.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +48,8 @@ from sigspan.session import shuffle_partitions
 
 ORDER = 5
 BLOCK_BYTES = 16 << 20
+LANE_BYTES = 1 << 20  #: of text that one partition of the input gives to one block
+PACK_BYTES = 8 << 20  #: of rows that wait in a task to be packed by block
 SHARD_BYTES = 64 << 20  #: of text, for which the blocks ask about as many bytes
 COUNT_BYTES = 512 << 10  #: of text counted at once; its arrays take some forty times that
 FOLD_GRAMS = 1 << 18  #: n-grams of parts that may wait to be merged
@@ -185,20 +190,35 @@ def discounts(few: list[int]) -> tuple[float, float, float]:
 
 
 def _packed_rows(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one block put together and compressed: a fraction of the text is shuffled."""
+    """Rows of one block put together and compressed: a fraction of the text is shuffled.
+
+    Batches wait for each other up to `PACK_BYTES`: one batch has few rows of a block, or
+    only one where there are many blocks, and each pack costs a schema and several calls.
+    """
+    waiting, size = [], 0
     for batch in arrow:
-        block = batch.column("block").to_numpy()
-        batch = batch.take(pa.array(np.argsort(block, kind="stable")))
-        blocks, first = np.unique(batch.column("block").to_numpy(), return_index=True)
-        for number, begin, end in zip(blocks, first, [*first[1:], len(batch)]):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(batch.slice(begin, end - begin))
-            pack = pa.array([sink.getvalue().to_pybytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pack], ["block", "pack"])
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= PACK_BYTES:
+            yield from _packs(pa.concat_batches(waiting))
+            waiting, size = [], 0
+    if waiting:
+        yield from _packs(pa.concat_batches(waiting))
     release()
 
 
+def _packs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    block = rows.column("block").to_numpy()
+    order = np.argsort(block, kind="stable")
+    blocks, first = np.unique(block[order], return_index=True)
+    for number, begin, end in zip(blocks, first, [*first[1:], len(rows)]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(rows.take(pa.array(order[begin:end])))
+        pack = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pack], ["block", "pack"])
+
+
 def _unpacked(packs: pa.Table) -> Iterator[pa.Table]:
     for pack in packs.column("pack"):
         yield pa.ipc.open_stream(pack.as_buffer()).read_all()
@@ -264,13 +284,37 @@ def _add_up(packs: pa.Table, answers: pa.Table) -> pa.Table:
         for first, end in slices(sizes, COUNT_BYTES):
             part = text_grams(data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first])
             row = np.repeat(np.arange(end - first), sizes[first:end])
-            total[first:end] = np.bincount(row, logs[np.searchsorted(grams, part)], end - first)
+            at = np.searchsorted(grams, part)
+            if not np.array_equal(grams.take(at, mode="clip"), part):
+                raise RuntimeError("a block has rows that it did not have when it asked")
+            total[first:end] = np.bincount(row, logs[at], end - first)
         perplexity = np.where(sizes > 0, np.exp2(-total / np.maximum(sizes, 1)), np.nan)
         found.append(rows.drop(["text", "block"]).append_column("perplexity", pa.array(perplexity, from_pandas=True)))
     release()
     return pa.concat_tables(found)
 
 
+def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Packs of docs, a partition for each block, and the bytes of text.
+
+    A row's block follows from its partition and from what it holds, not from its place: a task
+    that runs again deals alike. Rows of a partition go to `lanes` neighbouring blocks; multiples
+    of the golden ratio spread these evenly, whatever the pattern of the partitions' sizes.
+    """
+    sizes = docs.select(F.spark_partition_id().alias("part"), F.octet_length("text").alias("n"))
+    sizes = sizes.groupBy("part").agg(F.sum("n").cast("double").alias("n"))
+    size, squares = (x or 0 for x in sizes.agg(F.sum("n").cast("long"), F.sum(F.col("n") * F.col("n"))).first())
+    few = min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20)
+    blocks = max(1, few, -(-size // BLOCK_BYTES))
+    # by the size of a partition as most of the text finds it
+    lanes = min(blocks, math.ceil(squares / size / LANE_BYTES)) if size else 1
+    rest = [c for c in docs.columns if c != "text"]
+    begin = F.floor(F.spark_partition_id() * F.lit((math.sqrt(5) - 1) / 2 * blocks))
+    block = F.pmod(begin + F.pmod(F.xxhash64(*rest), F.lit(lanes)), F.lit(blocks)).cast("int")
+    salted = docs.select(*rest, "text", block.alias("block"))
+    return salted.mapInArrow(_packed_rows, "block int, pack binary").repartition(blocks, "block"), size
+
+
 def perplexities(model: Model, docs: DataFrame) -> DataFrame:
     """docs (any columns beside text) without their text but with `perplexity`.
 
@@ -278,26 +322,21 @@ def perplexities(model: Model, docs: DataFrame) -> DataFrame:
     The exchange of packed blocks is used twice, to ask and to add up; Spark
     reuses it within the plan.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    few = min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20)
-    blocks = max(1, few, -(-size // BLOCK_BYTES))
-    rest = [c for c in docs.columns if c != "text"]
-    salted = docs.select(*rest, "text", F.pmod(F.xxhash64(*rest), F.lit(blocks)).cast("int").alias("block"))
-    dealt = salted.mapInArrow(_packed_rows, "block int, pack binary").repartition(blocks, "block")
+    packs, size = dealt(docs)
     grams = docs.select("text").where("text is not null").mapInArrow(_count_batches, "gram long, n long")
     grams = settled(grams.select("gram").distinct(), "kn-grams")
     found = settled(model.probabilities(grams).select("gram", F.col("p").cast("float").alias("p")), "kn-found")
     # a shard is one group in memory, so their number follows from what is asked, not from the cluster
     shards = max(shuffle_partitions(docs.sparkSession), -(-size // SHARD_BYTES))
-    asked = dealt.groupBy("block").applyInArrow(
-        lambda packs: _ask(packs, shards), "shard int, block int, n long, grams binary"
+    asked = packs.groupBy("block").applyInArrow(
+        lambda held: _ask(held, shards), "shard int, block int, n long, grams binary"
     )
     sharded = found.withColumn("shard", _shard(F.col("gram"), shards).cast("int"))
     asked, sharded = asked.repartition(shards, "shard"), sharded.repartition(shards, "shard")
     answers = asked.groupBy("shard").cogroup(sharded.groupBy("shard"))
     answers = answers.applyInArrow(_answer, "block int, n long, grams binary, p binary")
     schema = schema_of(docs.drop("text"), perplexity="double")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_add_up, schema)
+    return packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_add_up, schema)
 
 
 def thresholds(held: DataFrame) -> tuple[DataFrame, float | None]:

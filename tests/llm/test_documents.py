@@ -122,6 +122,46 @@ def test_short_texts_that_are_alone_in_their_blocks(spark, monkeypatch):
     found = kneser_ney.perplexities(kneser_ney.Model(docs), docs).orderBy("doc_id").collect()
     want = brute_perplexity([t.encode() for t in texts], [t.encode() for t in texts])
     assert [r["perplexity"] for r in found] == pytest.approx(want, rel=1e-6)
+def test_packs_hold_the_rows_of_many_batches():
+    batches = [
+        pa.record_batch({"block": pa.array([i % 5, 7], pa.int32()), "text": pa.array([f"a{i}", f"b{i}"])}) for i in range(100)
+    ]
+    packs = list(kneser_ney._packed_rows(iter(batches)))
+    assert [p["block"][0].as_py() for p in packs] == [0, 1, 2, 3, 4, 7]
+    texts = [t["text"].to_pylist() for t in kneser_ney._unpacked(pa.Table.from_batches(packs))]
+    assert texts == [*([f"a{i}" for i in range(k, 100, 5)] for k in range(5)), [f"b{i}" for i in range(100)]]
+    assert list(kneser_ney._packed_rows(iter([batches[0].slice(0, 0)]))) == []
+
+
+def test_packs_grow_with_the_text_and_not_with_its_square(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 16 << 10)
+    monkeypatch.setattr(kneser_ney, "LANE_BYTES", 1 << 10)
+    for parts in (4, 32):  # partitions of 200 texts of 80 bytes
+        docs = spark.range(0, 200 * parts, 1, parts).selectExpr("id as doc_id", "rpad(cast(id as string), 80, 'x') as text")
+        packs, size = kneser_ney.dealt(docs)
+        assert size == 16_000 * parts
+        rows = packs.collect()
+        assert 0 < len(rows) <= 16 * parts
+        texts = Counter()
+        for r in rows:
+            texts[r["block"]] += len(next(kneser_ney._unpacked(pa.table({"pack": [r["pack"]]}))))
+        assert sum(texts.values()) == 200 * parts and max(texts.values()) < 1.5 * 200
+
+
+def test_equal_rows_are_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 1 << 10)
+    docs = spark.range(0, 400, 1, 8).selectExpr("1L as doc_id", "rpad('', 80, 'x') as text")
+    assert kneser_ney.dealt(docs)[0].select("block").distinct().count() > 4
+
+
+def test_a_block_that_has_changed_is_an_error():
+    rows = pa.record_batch({"block": pa.array([0], pa.int32()), "text": pa.array(["abc"])})
+    packs = pa.Table.from_batches(list(kneser_ney._packed_rows(iter([rows]))))
+    asked = kneser_ney._ask(packs, 1).drop(["shard"]).append_column("p", pa.array([np.ones(3, np.float32).tobytes()]))
+    assert kneser_ney._add_up(packs, asked)["perplexity"].to_pylist() == [1.0]
+    other = rows.set_column(1, "text", pa.array(["abd"]))
+    with pytest.raises(RuntimeError, match="did not have"):
+        kneser_ney._add_up(pa.Table.from_batches(list(kneser_ney._packed_rows(iter([other])))), asked)
 
 
 def test_perplexity_of_odd_documents(spark, odd, odd_rows):
